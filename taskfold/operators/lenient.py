@@ -75,7 +75,7 @@ def document_verdicts(
     sizes = contested.groupBy("project_id").agg(F.count("*").alias("n"))
     big = sizes.filter(F.col("n") > max_group_rows).select("project_id")
     small = contested.join(big, "project_id", "left_anti")
-    verdicts = small.groupBy("project_id").applyInPandas(_decide_in_order, "project_id string, batch_seq long, verdict int")
+    verdicts = _decide_in_order(small)
     if not big.isEmpty():
         by_rounds = _decide_in_rounds(contested.join(big, "project_id", "left_semi"), min_heavy_rows)
         verdicts = verdicts.unionByName(by_rounds)
@@ -89,16 +89,20 @@ def document_verdicts(
     )
 
 
-def _decide_in_order(touches: pd.DataFrame) -> pd.DataFrame:
-    """Verdicts of one small project: go through its documents and keep track of who is alive."""
-    alive: dict[str, bool] = dict(zip(touches["id"], touches["base_alive"]))
-    verdicts = []
-    for batch, rows in touches.groupby("batch_seq", sort=True):
-        valid = all(alive[item] for item in rows.loc[rows["needy"], "id"])
-        if valid:
-            alive.update(zip(rows["id"], ~rows["dead"]))
-        verdicts.append((touches["project_id"].iat[0], batch, VALID if valid else INVALID))
-    return pd.DataFrame(verdicts, columns=["project_id", "batch_seq", "verdict"])
+def _decide_in_order(contested: DataFrame) -> DataFrame:
+    """Verdicts of small projects: go through the documents in order and keep track of who is alive."""
+
+    def decide(touches: pd.DataFrame) -> pd.DataFrame:  # a closure, so that workers need not import this package
+        alive = dict(zip(touches["id"], touches["base_alive"]))
+        verdicts = []
+        for batch, rows in touches.groupby("batch_seq", sort=True):
+            valid = all(alive[item] for item in rows.loc[rows["needy"], "id"])
+            if valid:
+                alive.update(zip(rows["id"], ~rows["dead"]))
+            verdicts.append((touches["project_id"].iat[0], batch, VALID if valid else INVALID))
+        return pd.DataFrame(verdicts, columns=["project_id", "batch_seq", "verdict"])
+
+    return contested.groupBy("project_id").applyInPandas(decide, "project_id string, batch_seq long, verdict int")
 
 
 def _decide_in_rounds(contested: DataFrame, min_heavy_rows: int) -> DataFrame:
