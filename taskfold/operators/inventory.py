@@ -15,7 +15,6 @@ from taskfold.functions.paths import (
     under_skipped_directory,
 )
 from taskfold.functions.text import infer_domain, title_case
-from taskfold.operators.skew import HEAVY_ROWS, find_heavy_keys, number_rows
 
 PROJECT = "project_id"
 GROUP = (PROJECT, "source_root", "suggested_id")
@@ -140,7 +139,7 @@ def extension_summary(listing: DataFrame) -> DataFrame:
 def profile_counts(listing: DataFrame) -> DataFrame:
     """All counts of the profile in one scan and one shuffle.
 
-    Rows (project_id, kind, name, root, n): ``total`` counted files, ``ext`` per extension, ``dir`` per
+    Rows (project_id, kind, name, root, n): ``listed`` and ``total`` (counted) files, ``ext`` per extension, ``dir`` per
     visible top directory (all its files), ``sub`` per sub-directory of a source root, with its root.
     """
     path = F.col("path")
@@ -154,6 +153,7 @@ def profile_counts(listing: DataFrame) -> DataFrame:
 
     nothing = F.lit(None).cast("string")
     facts = F.array(
+        fact("listed", nothing, nothing, F.lit(True)),
         fact("total", nothing, nothing, kept),
         fact("ext", extension(path), nothing, kept & extension(path).isNotNull()),
         fact("dir", top_component(path), nothing, _is_top_directory(path)),
@@ -166,72 +166,85 @@ def profile_counts(listing: DataFrame) -> DataFrame:
     )
 
 
-def report_documents(
-    listing: DataFrame,
-    entries_per_document: int = fixed.MAX_FILES,
-    min_heavy_rows: int = HEAVY_ROWS,
-) -> DataFrame:
+def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_FILES) -> DataFrame:
     """(project_id, part, json): the discovery report of each project as nested JSON.
 
-    The entries of a report (suggestion files, then extensions, then directories) are numbered, and
-    each part nests a bounded slice of them; a project of ordinary size is part 0 alone. A suggestion
-    cut by a part border goes on in the next part under the same id. ``root`` and ``total_files`` are
-    in every part.
+    A project with up to ``entries_per_document`` entries (suggestion files, extensions, directories) is
+    one document, part 0. The entries of a bigger one are spread over several parts of about that size
+    by hash, so no task nests more than a part; a sub-directory stays whole unless it is bigger than a
+    part itself. ``root`` and ``total_files`` are in every part.
     """
     counts = profile_counts(listing)
-    number = lambda v: F.lit(v).cast("long")
-    files = suggestion_files(listing).select(
-        PROJECT,
-        number(0).alias("kind"),
-        F.col("suggested_id").alias("name"),
-        root_position(F.col("source_root")).cast("long").alias("n"),
-        "path",
-    )
-    extensions = counts.filter("kind = 'ext'").select(
-        PROJECT, number(1).alias("kind"), "name", "n", F.lit("").alias("path")
-    )
-    directories = counts.filter("kind = 'dir'").select(
-        PROJECT, number(2).alias("kind"), "name", number(0).alias("n"), F.lit("").alias("path")
-    )
-    entries = files.unionByName(extensions).unionByName(directories)
-    order = [F.col(c) for c in ("kind", "name", "n", "path")]
-    heavy = find_heavy_keys(entries, [PROJECT], order, min_heavy_rows)
-    numbered = number_rows(entries, [PROJECT], order, "_n", heavy).withColumn(
-        "part", F.floor((F.col("_n") - 1) / entries_per_document).cast("long")
-    )
-
-    name = F.col("name")
-    groups = numbered.groupBy(PROJECT, "part", "kind", "name", F.when(F.col("kind") == 0, F.col("n")).alias("root")).agg(
-        F.sum("n").alias("n"), F.sort_array(F.collect_list("path")).alias("files")
-    )
-    suggestion = F.struct(
-        name.alias("suggested_id"),
-        F.col("root"),
-        F.struct(
-            name.alias("suggested_id"),
-            title_case(name).alias("suggested_name"),
-            infer_domain(name).alias("suggested_domain"),
-            "files",
-        ).alias("body"),
-    )
-    parts = groups.groupBy(PROJECT, "part").agg(
-        F.collect_list(F.when(F.col("kind") == 1, F.struct("name", "n"))).alias("_ext"),
-        F.collect_list(F.when(F.col("kind") == 2, name)).alias("_dirs"),
-        F.collect_list(F.when(F.col("kind") == 0, suggestion)).alias("_sugg"),
-    )
-    totals = total_files(listing)
-    first = parts.select(PROJECT).distinct()
-    bare = totals.join(first, PROJECT, "left_anti").select(PROJECT, number(0).alias("part"), "total_files")
-    whole = parts.join(totals, PROJECT).unionByName(bare, allowMissingColumns=True)
-
-    def listed(column: str) -> Column:
-        return F.sort_array(F.coalesce(column, F.array().cast(whole.schema[column].dataType)))
-
+    is_sub = F.col("kind") == "sub"
+    entry_count = (
+        F.when(F.col("kind").isin("ext", "dir"), 1)
+        .when(is_sub & (F.col("n") >= fixed.MIN_SUGGESTION_FILES), F.col("n"))
+        .otherwise(0)
+    )
+    headers = counts.groupBy(PROJECT).agg(
+        F.greatest(F.lit(1), F.ceil(F.sum(entry_count) / entries_per_document)).cast("int").alias("_parts"),
+        F.coalesce(F.max(F.when(F.col("kind") == "total", F.col("n"))), F.lit(0).cast("long")).alias("total_files"),
+    )
+
+    def part(*parts: Column) -> Column:
+        return F.pmod(F.xxhash64(*parts), F.col("_parts")).cast("long").alias("part")
+
+    # Files: placed by sub-directory, and inside an oversized one by path.
+    sub_parts = F.ceil(F.col("n") / entries_per_document)
+    oversized = (
+        counts.filter(is_sub & (F.col("n") > entries_per_document))
+        .select(PROJECT, F.col("root").alias("source_root"), F.col("name").alias("suggested_id"), sub_parts.alias("_slices"))
+    )
+    slice_ = F.coalesce(F.pmod(F.xxhash64("path"), F.col("_slices")), F.lit(0).cast("long"))
+    suggestions = (
+        suggestion_files(listing)
+        .join(oversized, list(GROUP), "left")
+        .join(headers.select(PROJECT, "_parts"), PROJECT)
+        .groupBy(*GROUP, part(F.col("source_root"), F.col("suggested_id"), slice_))
+        .agg(F.sort_array(F.collect_list("path")).alias("files"))
+        .select(
+            PROJECT,
+            "part",
+            F.struct(
+                "suggested_id",
+                root_position(F.col("source_root")).alias("root"),
+                F.struct(
+                    "suggested_id",
+                    title_case(F.col("suggested_id")).alias("suggested_name"),
+                    infer_domain(F.col("suggested_id")).alias("suggested_domain"),
+                    "files",
+                ).alias("body"),
+            ).alias("_sugg"),
+        )
+    )
+    others = (
+        counts.filter(F.col("kind").isin("ext", "dir"))
+        .join(headers.select(PROJECT, "_parts"), PROJECT)
+        .select(
+            PROJECT,
+            part(F.col("kind"), F.col("name")),
+            F.when(F.col("kind") == "ext", F.struct("name", "n")).alias("_ext"),
+            F.when(F.col("kind") == "dir", F.col("name")).alias("_dir"),
+        )
+    )
+    # Every part is there, also one that got no entries.
+    every = F.sequence(F.lit(0).cast("long"), F.col("_parts") - F.lit(1).cast("long"))
+    frame = headers.select(PROJECT, F.explode(every).alias("part"), "total_files")
+    entries = suggestions.unionByName(others, allowMissingColumns=True).unionByName(frame, allowMissingColumns=True)
     report = F.struct(
         F.col(PROJECT).alias("root"),
-        F.map_from_entries(listed("_ext")).alias("languages"),
-        listed("_dirs").alias("directories"),
-        F.transform(listed("_sugg"), lambda s: s["body"]).alias("potential_features"),
+        F.map_from_entries(F.sort_array("_ext")).alias("languages"),
+        F.sort_array("_dir").alias("directories"),
+        F.transform(F.sort_array("_sugg"), lambda s: s["body"]).alias("potential_features"),
         "total_files",
     )
-    return whole.select(PROJECT, "part", F.to_json(report).alias("json"))
+    return (
+        entries.groupBy(PROJECT, "part")
+        .agg(
+            F.collect_list("_ext").alias("_ext"),
+            F.collect_list("_dir").alias("_dir"),
+            F.collect_list("_sugg").alias("_sugg"),
+            F.max("total_files").alias("total_files"),
+        )
+        .select(PROJECT, "part", F.to_json(report).alias("json"))
+    )

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from taskfold.functions.recency import recency_score
 from taskfold.operators.changelog import heavy_log_keys, log_order
 from taskfold.operators.skew import HEAVY_ROWS, prior_max
-from taskfold.schema import KEY, UPDATE_LOG, UPSERT
+from taskfold.schema import KEY, PATCH_NAMES, REMOVE, UPDATE_DOC, UPDATE_LOG, UPSERT
 
 AS_OF = 1711843200
 FIRST_DAY = 1704067200
+MIDDLE_DAY = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,3 +124,24 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN doc_id % 6 = 0 THEN CASE WHEN toxic = 1 THEN 'toxic' ELSE 'hq' END END AS tag",
         "CASE WHEN doc_id % 9 = 0 THEN 'BLOCKED' WHEN doc_id % 11 = 0 THEN 'in progress' END AS status",
     )
+
+
+def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per event, holding a single change; some open an item without its fields."""
+    log = raw_log(spark, sf_dir)
+    nothing = F.array().cast(UPDATE_DOC["features"].dataType)
+    patch = F.struct("id", *PATCH_NAMES)
+    removes = F.col("op_rank") == REMOVE
+    return log.select(
+        "project_id",
+        F.col("pos").alias("batch_seq"),
+        (F.col("batch_ts") + F.col("pos") % 86400).alias("batch_ts"),
+        F.when(removes, nothing).otherwise(F.array(patch)).alias("features"),
+        F.when(removes, F.array("id")).otherwise(F.array().cast("array<string>")).alias("remove_features"),
+    )
+
+
+def arrivals(documents: DataFrame) -> list[DataFrame]:
+    """Documents in two parts that follow each other in time."""
+    middle = FIRST_DAY + MIDDLE_DAY * 86400
+    return [documents.filter(F.col("batch_ts") < middle), documents.filter(F.col("batch_ts") >= middle)]
