@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taskfold import fixed
 from taskfold.functions.paths import (
+    below_source_root,
     extension,
-    has_directory,
-    has_two_directories,
-    is_hidden,
+    in_visible_top_directory,
     second_component,
     top_component,
     under_skipped_directory,
 )
 from taskfold.functions.text import infer_domain, title_case
+from taskfold.session import stored
 
 PROJECT = "project_id"
 GROUP = (PROJECT, "source_root", "suggested_id")
@@ -42,23 +42,10 @@ def total_files(listing: DataFrame) -> DataFrame:
     return listing.groupBy(PROJECT).agg(F.count_if(kept).alias("total_files"))
 
 
-def _is_top_directory(path: Column) -> Column:
-    name = top_component(path)
-    return has_directory(path) & ~is_hidden(name) & ~name.isin(*fixed.SKIP_DIRS)
-
-
 def top_directories(listing: DataFrame) -> DataFrame:
     """Visible first-level directories, also those whose files are all skipped."""
     path = F.col("path")
-    return listing.filter(_is_top_directory(path)).select(PROJECT, top_component(path).alias("directory")).distinct()
-
-
-def _in_source_root(path: Column) -> Column:
-    return (
-        top_component(path).isin(*fixed.SOURCE_ROOTS)
-        & has_two_directories(path)
-        & ~is_hidden(second_component(path))
-    )
+    return listing.filter(in_visible_top_directory(path)).select(PROJECT, top_component(path).alias("directory")).distinct()
 
 
 def source_files(listing: DataFrame) -> DataFrame:
@@ -66,7 +53,7 @@ def source_files(listing: DataFrame) -> DataFrame:
     path = F.col("path")
     return (
         counted_files(listing)
-        .filter(_in_source_root(path))
+        .filter(below_source_root(path))
         .select(PROJECT, top_component(path).alias("source_root"), second_component(path).alias("suggested_id"), "path")
     )
 
@@ -98,12 +85,13 @@ def suggestion_files(listing: DataFrame) -> DataFrame:
     on a unique key, which a huge sub-directory cannot skew.
     """
     files = source_files(listing)
-    small = (
-        files.groupBy(*GROUP)
-        .agg(F.count("*").alias("n"), F.min("path").alias("path"))
-        .filter(F.col("n") < fixed.MIN_SUGGESTION_FILES)
-    )
-    return files.join(small.select(PROJECT, "path"), [PROJECT, "path"], "left_anti").select(*GROUP, "path")
+    groups = files.groupBy(*GROUP).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    return _without_small(files, groups)
+
+
+def _without_small(files: DataFrame, groups: DataFrame) -> DataFrame:
+    small = groups.filter(F.col("n") < fixed.MIN_SUGGESTION_FILES).select(PROJECT, F.col("first_path").alias("path"))
+    return files.join(small, [PROJECT, "path"], "left_anti").select(*GROUP, "path")
 
 
 def count_suggestions(listing: DataFrame) -> DataFrame:
@@ -142,8 +130,19 @@ def profile_counts(listing: DataFrame) -> DataFrame:
     Rows (project_id, kind, name, root, n): ``listed`` and ``total`` (counted) files, ``ext`` per extension, ``dir`` per
     visible top directory (all its files), ``sub`` per sub-directory of a source root, with its root.
     """
+    return _counts(listing).drop("first_path")
+
+
+def _counts(listing: DataFrame) -> DataFrame:
+    """The counts, and for a sub-directory its first path: the only one where there is just one."""
     path = F.col("path")
-    kept = ~under_skipped_directory(path)
+    # Worked out once per path, as columns of their own.
+    looked_at = listing.select(PROJECT, "path", (~under_skipped_directory(path)).alias("kept")).select(
+        "*",
+        F.when(F.col("kept"), extension(path)).alias("ext"),
+        F.when(in_visible_top_directory(path), top_component(path)).alias("dir"),
+        F.when(F.col("kept") & below_source_root(path), second_component(path)).alias("sub"),
+    )
 
     def fact(kind: str, name: Column, root: Column, when: Column) -> Column:
         return F.when(
@@ -154,15 +153,15 @@ def profile_counts(listing: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("string")
     facts = F.array(
         fact("listed", nothing, nothing, F.lit(True)),
-        fact("total", nothing, nothing, kept),
-        fact("ext", extension(path), nothing, kept & extension(path).isNotNull()),
-        fact("dir", top_component(path), nothing, _is_top_directory(path)),
-        fact("sub", second_component(path), top_component(path), kept & _in_source_root(path)),
+        fact("total", nothing, nothing, F.col("kept")),
+        fact("ext", F.col("ext"), nothing, F.col("ext").isNotNull()),
+        fact("dir", F.col("dir"), nothing, F.col("dir").isNotNull()),
+        fact("sub", F.col("sub"), top_component(path), F.col("sub").isNotNull()),
     )
     return (
-        listing.select(PROJECT, F.explode(F.array_compact(facts)).alias("f"))
+        looked_at.select(PROJECT, "path", F.explode(F.array_compact(facts)).alias("f"))
         .groupBy(PROJECT, "f.kind", "f.name", "f.root")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.min(F.when(F.col("f.kind") == "sub", path)).alias("first_path"))
     )
 
 
@@ -174,7 +173,8 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
     by hash, so no task nests more than a part; a sub-directory stays whole unless it is bigger than a
     part itself. ``root`` and ``total_files`` are in every part.
     """
-    counts = profile_counts(listing)
+    # Used several times below; written once, it leaves two scans of the listing: for counts and for files.
+    counts = stored(_counts(listing), "profile")
     is_sub = F.col("kind") == "sub"
     entry_count = (
         F.when(F.col("kind").isin("ext", "dir"), 1)
@@ -197,7 +197,7 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
     )
     slice_ = F.coalesce(F.pmod(F.xxhash64("path"), F.col("_slices")), F.lit(0).cast("long"))
     suggestions = (
-        suggestion_files(listing)
+        _without_small(source_files(listing), counts.filter(is_sub))
         .join(oversized, list(GROUP), "left")
         .join(headers.select(PROJECT, "_parts"), PROJECT)
         .groupBy(*GROUP, part(F.col("source_root"), F.col("suggested_id"), slice_))
