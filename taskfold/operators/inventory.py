@@ -79,19 +79,26 @@ def suggested_features(listing: DataFrame) -> DataFrame:
 
 
 def suggestion_files(listing: DataFrame) -> DataFrame:
-    """The files of all suggested items, one row per file.
-
-    Too small sub-directories have a single file, so they are taken out by that file's path: a join
-    on a unique key, which a huge sub-directory cannot skew.
-    """
+    """The files of all suggested items, one row per file."""
     files = source_files(listing)
-    groups = files.groupBy(*GROUP).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    groups = files.groupBy(*GROUP).agg(F.count("*").alias("n"), F.min(_spread(F.col("path"))).alias("hash"))
     return _without_small(files, groups)
 
 
+def _spread(path: Column) -> Column:
+    return F.xxhash64(path)
+
+
 def _without_small(files: DataFrame, groups: DataFrame) -> DataFrame:
-    small = groups.filter(F.col("n") < fixed.MIN_SUGGESTION_FILES).select(PROJECT, F.col("first_path").alias("path"))
-    return files.join(small, [PROJECT, "path"], "left_anti").select(*GROUP, "path")
+    """Files of sub-directories that are not too small.
+
+    A too small one has a single file, so joining on that file's hash as well drops nothing else, and
+    spreads the files of a huge sub-directory over all tasks.
+    """
+    small = groups.filter(F.col("n") < fixed.MIN_SUGGESTION_FILES).select(*GROUP, "hash")
+    return (
+        files.withColumn("hash", _spread(F.col("path"))).join(small, [*GROUP, "hash"], "left_anti").select(*GROUP, "path")
+    )
 
 
 def count_suggestions(listing: DataFrame) -> DataFrame:
@@ -130,25 +137,28 @@ def profile_counts(listing: DataFrame) -> DataFrame:
     Rows (project_id, kind, name, root, n): ``listed`` and ``total`` (counted) files, ``ext`` per extension, ``dir`` per
     visible top directory (all its files), ``sub`` per sub-directory of a source root, with its root.
     """
-    return _counts(listing).drop("first_path")
+    return _counts(listing).drop("hash")
 
 
 def _counts(listing: DataFrame) -> DataFrame:
-    """The counts, and for a sub-directory its first path: the only one where there is just one."""
+    """The counts, and for a sub-directory the smallest hash of its paths."""
     path = F.col("path")
-    # Worked out once per path, as columns of their own.
     looked_at = listing.select(PROJECT, "path", (~under_skipped_directory(path)).alias("kept")).select(
-        "*",
+        PROJECT,
+        "kept",
         F.when(F.col("kept"), extension(path)).alias("ext"),
         F.when(in_visible_top_directory(path), top_component(path)).alias("dir"),
+        F.when(F.col("kept") & below_source_root(path), top_component(path)).alias("root"),
         F.when(F.col("kept") & below_source_root(path), second_component(path)).alias("sub"),
+        _spread(path).alias("hash"),
+    )
+    # Few combinations stand for many paths, so they are counted before being taken apart.
+    combined = looked_at.groupBy(PROJECT, "kept", "ext", "dir", "root", "sub").agg(
+        F.count("*").alias("n"), F.min("hash").alias("hash")
     )
 
     def fact(kind: str, name: Column, root: Column, when: Column) -> Column:
-        return F.when(
-            when,
-            F.struct(F.lit(kind).alias("kind"), name.alias("name"), root.cast("string").alias("root")),
-        )
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), name.alias("name"), root.alias("root")))
 
     nothing = F.lit(None).cast("string")
     facts = F.array(
@@ -156,12 +166,12 @@ def _counts(listing: DataFrame) -> DataFrame:
         fact("total", nothing, nothing, F.col("kept")),
         fact("ext", F.col("ext"), nothing, F.col("ext").isNotNull()),
         fact("dir", F.col("dir"), nothing, F.col("dir").isNotNull()),
-        fact("sub", F.col("sub"), top_component(path), F.col("sub").isNotNull()),
+        fact("sub", F.col("sub"), F.col("root"), F.col("sub").isNotNull()),
     )
     return (
-        looked_at.select(PROJECT, "path", F.explode(F.array_compact(facts)).alias("f"))
+        combined.select(PROJECT, "n", "hash", F.explode(F.array_compact(facts)).alias("f"))
         .groupBy(PROJECT, "f.kind", "f.name", "f.root")
-        .agg(F.count("*").alias("n"), F.min(F.when(F.col("f.kind") == "sub", path)).alias("first_path"))
+        .agg(F.sum("n").alias("n"), F.min("hash").alias("hash"))
     )
 
 
@@ -189,15 +199,13 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
     def part(*parts: Column) -> Column:
         return F.pmod(F.xxhash64(*parts), F.col("_parts")).cast("long").alias("part")
 
+    subs = counts.filter(is_sub).withColumnsRenamed({"root": "source_root", "name": "suggested_id"})
     # Files: placed by sub-directory, and inside an oversized one by path.
     sub_parts = F.ceil(F.col("n") / entries_per_document)
-    oversized = (
-        counts.filter(is_sub & (F.col("n") > entries_per_document))
-        .select(PROJECT, F.col("root").alias("source_root"), F.col("name").alias("suggested_id"), sub_parts.alias("_slices"))
-    )
+    oversized = subs.filter(F.col("n") > entries_per_document).select(*GROUP, sub_parts.alias("_slices"))
     slice_ = F.coalesce(F.pmod(F.xxhash64("path"), F.col("_slices")), F.lit(0).cast("long"))
     suggestions = (
-        _without_small(source_files(listing), counts.filter(is_sub))
+        _without_small(source_files(listing), subs)
         .join(oversized, list(GROUP), "left")
         .join(headers.select(PROJECT, "_parts"), PROJECT)
         .groupBy(*GROUP, part(F.col("source_root"), F.col("suggested_id"), slice_))

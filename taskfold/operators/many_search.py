@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from taskfold import fixed
 from taskfold.operators.search import TEXT_FIELDS, keyword_predicate
 from taskfold.schema import KEY, STORED_ORDER
+from taskfold.session import stored
 
 # Keywords up to this number and total size are sent to all executors; more take the gram join.
 MAX_SHIPPED_KEYWORDS = 100_000
@@ -149,17 +150,18 @@ def hits_by_gram(features: DataFrame, words: DataFrame) -> DataFrame:
     their first character.
     """
     text = F.concat_ws("\u0000", *[F.lower(c) for c in TEXT_FIELDS], F.transform("tags", F.lower))
-    grams = F.array_union(
-        F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1))
-    )
-    item_grams = features.select(*KEY, F.explode(grams).alias("gram"))
+    grams = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+    if not words.filter(F.length("word") < _GRAM).isEmpty():
+        grams = F.array_union(grams, F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1)))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - (_GRAM - 1)))
     width = F.when(F.length("word") >= _GRAM, _GRAM).otherwise(1)
     word_grams = words.select(
         "word", F.explode(F.array_distinct(F.transform(starts, lambda i: F.col("word").substr(i, width)))).alias("gram")
     )
     known = word_grams.select("gram").distinct()
-    frequency = item_grams.join(known, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # Counted first and joined then; taking the texts apart is the costly step, so it is done once.
+    item_grams = stored(features.select(*KEY, F.explode(grams).alias("gram")).join(known, "gram", "left_semi"), "grams")
+    frequency = item_grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
         word_grams.join(frequency, "gram", "left")
         .groupBy("word")
