@@ -61,55 +61,49 @@ def fold_log(log: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     are the first and last upsert of it. ``bad`` is the first re-creation without a required field;
     ``head`` tells the same of the very first change, which is bad only for an item unknown before.
     """
-    upsert = F.col("op_rank") == UPSERT
     rows = with_liveness(log, min_heavy_rows).withColumn("_missing", missing_field())
-    at = F.struct("batch_seq", "pos")
-    stamp = F.struct("batch_seq", "pos", "batch_ts")
-    flaw = F.struct(F.col("batch_seq"), F.col("pos"), F.col("_missing").alias("field"))
-
-    def last_value(name: str) -> Column:
-        # A null ordering value is ignored, so this is the last *provided* value.
-        return F.max_by(
-            F.struct(F.col(name).alias("v"), F.col("batch_seq").alias("b")), F.when(upsert & F.col(name).isNotNull(), at)
-        ).alias(name)
-
+    upsert = f"op_rank = {UPSERT}"
+    stamp = "struct(batch_seq, pos, batch_ts)"
+    flaw = "named_struct('batch_seq', batch_seq, 'pos', pos, 'field', _missing)"
+    # max_by ignores rows with a null ordering value, so it takes the last *provided* value.
+    last_value = (
+        "max_by(named_struct('v', {0}, 'b', batch_seq), CASE WHEN " + upsert + " AND {0} IS NOT NULL THEN struct(batch_seq, pos) END) AS {0}"
+    )
     folded = rows.groupBy(*KEY).agg(
-        F.max(F.when(~upsert, F.col("batch_seq"))).alias("removed_at"),
-        F.max(F.when(F.col("opens"), stamp)).alias("opened"),
-        F.max(F.when(upsert, stamp)).alias("touched"),
-        F.min(F.when(F.col("opens") & ~F.col("is_first") & F.col("_missing").isNotNull(), flaw)).alias("bad"),
-        F.min(F.when(F.col("opens") & F.col("is_first") & F.col("_missing").isNotNull(), flaw)).alias("head"),
-        *[last_value(n) for n in PATCH_NAMES],
+        F.expr(f"max(CASE WHEN NOT {upsert} THEN batch_seq END) AS removed_at"),
+        F.expr(f"max(CASE WHEN opens THEN {stamp} END) AS opened"),
+        F.expr(f"max(CASE WHEN {upsert} THEN {stamp} END) AS touched"),
+        F.expr(f"min(CASE WHEN opens AND NOT is_first AND _missing IS NOT NULL THEN {flaw} END) AS bad"),
+        F.expr(f"min(CASE WHEN opens AND is_first AND _missing IS NOT NULL THEN {flaw} END) AS head"),
+        *[F.expr(last_value.format(n)) for n in PATCH_NAMES],
     )
-
-    def after_removal(batch: Column) -> Column:
-        return F.col("removed_at").isNull() | (batch > F.col("removed_at"))
-
-    return folded.select(
+    after_removal = "(removed_at IS NULL OR {} > removed_at)"
+    return folded.selectExpr(
         *KEY,
         "removed_at",
-        F.coalesce(after_removal(F.col("touched.batch_seq")), F.lit(False)).alias("alive"),
+        f"coalesce({after_removal.format('touched.batch_seq')}, false) AS alive",
         "opened",
         "touched",
         "bad",
         "head",
-        *[F.when(after_removal(F.col(f"{n}.b")), F.col(f"{n}.v")).alias(n) for n in PATCH_NAMES],
+        *[f"CASE WHEN {after_removal.format(f'{n}.b')} THEN {n}.v END AS {n}" for n in PATCH_NAMES],
     )
 
 
 def _joined(base: DataFrame, folded: DataFrame) -> DataFrame:
     """Registry and net changes side by side, with the first flaw of each item as ``flaw``."""
-    b, d = base.alias("b"), folded.alias("d")
-    same = (F.col("b.project_id") == F.col("d.project_id")) & (F.col("b.id") == F.col("d.id"))
-    known = F.col("b.id").isNotNull()
-    return b.join(d, same, "full_outer").select(
-        F.coalesce("b.project_id", "d.project_id").alias("project_id"),
-        F.coalesce("b.id", "d.id").alias("id"),
-        F.struct("b.*").alias("old"),
-        F.struct("d.*").alias("new"),
-        known.alias("known"),
-        F.col("d.id").isNotNull().alias("changed"),
-        F.least(F.col("d.bad"), F.when(~known, F.col("d.head"))).alias("flaw"),
+    return (
+        base.alias("b")
+        .join(folded.alias("d"), F.expr("b.project_id = d.project_id AND b.id = d.id"), "full_outer")
+        .selectExpr(
+            "coalesce(b.project_id, d.project_id) AS project_id",
+            "coalesce(b.id, d.id) AS id",
+            "struct(b.*) AS old",
+            "struct(d.*) AS new",
+            "b.id IS NOT NULL AS known",
+            "d.id IS NOT NULL AS changed",
+            "least(d.bad, CASE WHEN b.id IS NULL THEN d.head END) AS flaw",
+        )
     )
 
 
@@ -128,7 +122,6 @@ def replay(
     :func:`first_bad_documents` tells which document it was.
     """
     both = _joined(base, fold_log(log, min_heavy_rows))
-    removed = F.col("new.removed_at").isNotNull()
     stays = F.when(F.col("changed"), F.col("new.alive")).otherwise(F.col("known"))
     if check:
         flaw = F.col("flaw")
@@ -142,29 +135,24 @@ def replay(
         stays = F.when(flaw.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(stays)
     both = both.filter(stays)
 
-    keeps_old = F.col("known") & ~removed  # true for every unchanged item
-    no_strings = F.array().cast("array<string>")
-    defaults = {"status": F.lit(fixed.DEFAULT_STATUS), "tags": no_strings, "files_involved": no_strings}
-
-    def patched(name: str) -> Column:
-        given = F.col(f"new.{name}")
-        old = F.when(keeps_old, F.col(f"old.{name}"))
-        return F.coalesce(given, old, *([defaults[name]] if name in defaults else [])).alias(name)
-
-    def stamped(name: str, opened: str) -> Column:
-        return F.when(keeps_old, F.col(f"old.{name}")).otherwise(F.col(f"new.opened.{opened}")).alias(name)
-
-    merged = both.select(
-        "project_id",
-        "id",
-        *[patched(n) for n in PATCH_NAMES],
-        stamped("created_at", "batch_ts"),
-        F.when(F.col("changed"), F.col("new.touched.batch_ts")).otherwise(F.col("old.last_updated")).alias("last_updated"),
-        F.when(F.col("changed") & ~keeps_old, F.lit(fixed.INITIAL_SCORE))
-        .otherwise(F.col("old.recency_score"))
-        .alias("recency_score"),
-        stamped("ord_batch", "batch_seq"),
-        stamped("ord_pos", "pos"),
+    keeps_old = "known AND new.removed_at IS NULL"  # true for every unchanged item
+    nothing = "CAST(array() AS ARRAY<STRING>)"
+    default = {"status": f"'{fixed.DEFAULT_STATUS}'", "tags": nothing, "files_involved": nothing}
+
+    def kept_or(name: str, otherwise: str) -> str:
+        return f"CASE WHEN {keeps_old} THEN old.{name} ELSE {otherwise} END AS {name}"
+
+    merged = both.selectExpr(
+        *KEY,
+        *[
+            f"coalesce(new.{n}, CASE WHEN {keeps_old} THEN old.{n} END, {default.get(n, 'NULL')}) AS {n}"
+            for n in PATCH_NAMES
+        ],
+        kept_or("created_at", "new.opened.batch_ts"),
+        "CASE WHEN changed THEN new.touched.batch_ts ELSE old.last_updated END AS last_updated",
+        kept_or("recency_score", f"CAST({fixed.INITIAL_SCORE} AS DOUBLE)"),
+        kept_or("ord_batch", "new.opened.batch_seq"),
+        kept_or("ord_pos", "new.opened.pos"),
     )
     return _scored(merged, as_of).select(*FEATURE.fieldNames())
 
