@@ -16,8 +16,9 @@ from taskfold.operators.search import TEXT_FIELDS, keyword_predicate
 from taskfold.schema import KEY, STORED_ORDER
 from taskfold.session import stored
 
-# Keywords up to this number and total size are sent to all executors; more take the gram join.
-MAX_SHIPPED_KEYWORDS = 100_000
+# Query tables up to this number of rows and characters are sent to all executors; larger ones are
+# joined by shuffle, and their keywords by gram.
+MAX_SHIPPED_QUERIES = 100_000
 MAX_SHIPPED_CHARS = 8_000_000
 _GRAM = 3
 _SMALL = ["_domain", "_status", "_tags", *STORED_ORDER]
@@ -26,28 +27,34 @@ _SMALL = ["_domain", "_status", "_tags", *STORED_ORDER]
 def search_many(
     features: DataFrame,
     queries: DataFrame,
-    max_keywords: int = MAX_SHIPPED_KEYWORDS,
+    max_shipped: int = MAX_SHIPPED_QUERIES,
     max_chars: int = MAX_SHIPPED_CHARS,
 ) -> DataFrame:
     """(query_id, project_id, id, ord_batch, ord_pos) of every match. A null filter is absent."""
     asked = _normalised(queries)
     with_word = asked.filter("q_word is not null")
+    without_word = asked.filter("q_word is null").select("*", F.explode(_query_keys()).alias("key"))
     words = with_word.select(F.col("q_word").alias("word")).distinct()
-    small = words.limit(max_keywords + 1).agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
-    if small[0] > max_keywords or small[1] > max_chars:
-        hits = hits_by_gram(features, words)
-    else:
+    if _fits(asked, max_shipped, max_chars):
         hits = hits_by_automaton(features, [r["word"] for r in words.collect()])
+        with_word, without_word = F.broadcast(with_word), F.broadcast(without_word)
+    else:
+        hits = hits_by_gram(features, words)
     by_word = hits.join(with_word, F.col("word") == F.col("q_word"))
-
     keyed = _small_columns(features).select(*KEY, *_SMALL, F.explode(_item_keys()).alias("key"))
-    without_word = asked.filter("q_word is null").select("*", F.explode(_query_keys()).alias("key"))
     by_key = keyed.join(without_word, "key")
 
     out = ["query_id", *KEY, *STORED_ORDER]
     return by_word.filter(_other_filters()).select(*out).unionByName(by_key.filter(_other_filters()).select(*out))
 
 
+def _fits(asked: DataFrame, max_rows: int, max_chars: int) -> bool:
+    """Whether the query table is small; looks at no more than one row over the limit."""
+    chars = F.length(F.concat_ws("", "q_word", "q_domain", "q_tag", "q_status"))
+    seen = asked.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(chars).alias("chars")).first()
+    return seen["n"] <= max_rows and (seen["chars"] or 0) <= max_chars
+
+
 def _normalised(queries: DataFrame) -> DataFrame:
     given = [F.col(c).isNotNull() for c in ("keyword", "domain", "tag", "status")]
     some = given[0] | given[1] | given[2] | given[3]

@@ -114,7 +114,7 @@ def search_many_queries(spark, sf):
 @query
 def search_many_queries_by_gram(spark, sf):
     """The same through the join used for query tables too large to ship."""
-    return many_search.search_many(st.features(spark, sf), st.search_queries(spark, sf), max_keywords=0)
+    return many_search.search_many(st.features(spark, sf), st.search_queries(spark, sf), max_shipped=0)
 
 
 @query

@@ -28,11 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a session that names none (a local test) gets a temporary one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or tempfile.mkdtemp(prefix="spark-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

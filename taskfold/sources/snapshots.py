@@ -13,18 +13,19 @@ from taskfold.schema import FEATURE, KEY, PROJECT
 _STORED = T.StructType([*FEATURE.fields, T.StructField("domain_lc", T.StringType())])
 
 
-def save_snapshot(features: DataFrame, root: str, version: int, cluster: bool = True) -> str:
+def save_snapshot(features: DataFrame, root: str, version: int, cluster: bool = False) -> str:
     """Write version ``version`` below ``root``; writing it again replaces it.
 
-    ``cluster`` sorts by range of (project_id, id), so the file statistics let a reader of one project
-    or item skip the rest, and a big project spans many files. ``domain_lc`` makes the
-    case-insensitive domain filter a plain equality the scan can push down.
+    Files are sorted by (project_id, id), so the page statistics let a reader of one project or item skip
+    the rest. A replay leaves rows partitioned by that key, so this adds no shuffle; ``cluster`` adds one
+    by range, after which a project lies in few files (a big one still spans many). ``domain_lc`` makes
+    the case-insensitive domain filter a plain equality the scan can push down.
     """
     out = features.select(*FEATURE.fieldNames()).withColumn("domain_lc", F.lower("domain"))
     if cluster:
-        out = out.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+        out = out.repartitionByRange(*KEY)
     path = f"{root}/v={version}"
-    out.write.mode("overwrite").parquet(path)
+    out.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -60,7 +61,7 @@ def create_registry(spark: SparkSession, root: str) -> bool:
     """Write an empty registry as version 0, unless there is one. Tells whether it did."""
     if latest_version(spark, root) is not None:
         return False
-    save_snapshot(spark.createDataFrame([], FEATURE), root, 0, cluster=False)
+    save_snapshot(spark.createDataFrame([], FEATURE), root, 0)
     return True
 
 

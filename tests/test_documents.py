@@ -103,7 +103,7 @@ def test_snapshots(spark, registry, tmp_path):
         snapshots.load_snapshot(spark, root)
     assert snapshots.create_registry(spark, root) and not snapshots.create_registry(spark, root)
     assert snapshots.load_snapshot(spark, root).count() == 0
-    snapshots.save_snapshot(registry, root, 1)
+    snapshots.save_snapshot(registry, root, 1, cluster=True)
     stored = snapshots.load_snapshot(spark, root)
     assert stored.drop("domain_lc").exceptAll(registry).isEmpty() and stored.count() == registry.count()
     assert snapshots.load_snapshot(spark, root, 0).count() == 0

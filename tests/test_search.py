@@ -140,6 +140,13 @@ def test_report(spark):
     assert {r.domain for r in shown} == {"a-very-long.."} and all(len(r.id) <= 19 for r in shown)
 
 
+def test_top_k_is_cut_before_the_shuffle(items):
+    plan = report.top_by_recency_per_project(items, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    plan = report.top_by_recency(items, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
 def test_completion(spark, items):
     projects = spark.createDataFrame([("p",), ("void",)], "project_id string")
     got = {r.project_id: r.label for r in report.completion_summary(items, projects).collect()}
