@@ -10,6 +10,7 @@ DONE_STATUS = "Complete"
 
 # A new item cannot be created without these, checked in this order.
 REQUIRED_ON_CREATE = ("name", "domain", "description")
+MISSING_FIELD_TEXT = "New feature '%s' requires '%s' field"
 
 # Name given to a project nobody has named yet.
 DEFAULT_PROJECT_NAME = "My Project"

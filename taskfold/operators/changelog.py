@@ -35,6 +35,17 @@ def missing_field() -> Column:
     return out
 
 
+def is_unreadable() -> Column:
+    """A change no document may hold: a status not spelled as stored, or no id."""
+    odd_status = F.col("status").isNotNull() & ~F.col("status").isin(*fixed.STATUSES)
+    return F.col("id").isNull() | odd_status
+
+
+def bad_status_documents(log: DataFrame) -> DataFrame:
+    """Documents with a status outside the domain or a change without an id: rejected as a whole."""
+    return log.filter(is_unreadable()).select("project_id", "batch_seq").distinct()
+
+
 def with_liveness(log: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Add ``is_first`` (no earlier change of the item in the log) and ``opens`` (upsert of an item not alive).
 
@@ -59,7 +70,8 @@ def fold_log(log: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     ``removed_at``: batch of the last removal; ``alive``: the item exists at the end of the log;
     the patch columns hold the last provided value of the live generation; ``opened`` and ``touched``
     are the first and last upsert of it. ``bad`` is the first re-creation without a required field;
-    ``head`` tells the same of the very first change, which is bad only for an item unknown before.
+    ``head`` tells the same of the very first change, which is bad only for an item unknown before; ``odd``
+    is the first change no document may hold.
     """
     rows = with_liveness(log, min_heavy_rows).withColumn("_missing", missing_field())
     upsert = f"op_rank = {UPSERT}"
@@ -75,6 +87,7 @@ def fold_log(log: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
         F.expr(f"max(CASE WHEN {upsert} THEN {stamp} END) AS touched"),
         F.expr(f"min(CASE WHEN opens AND NOT is_first AND _missing IS NOT NULL THEN {flaw} END) AS bad"),
         F.expr(f"min(CASE WHEN opens AND is_first AND _missing IS NOT NULL THEN {flaw} END) AS head"),
+        F.min(F.when(is_unreadable(), F.expr(flaw.replace("_missing", "CAST(NULL AS STRING)")))).alias("odd"),
         *[F.expr(last_value.format(n)) for n in PATCH_NAMES],
     )
     after_removal = "(removed_at IS NULL OR {} > removed_at)"
@@ -86,6 +99,7 @@ def fold_log(log: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
         "touched",
         "bad",
         "head",
+        "odd",
         *[f"CASE WHEN {after_removal.format(f'{n}.b')} THEN {n}.v END AS {n}" for n in PATCH_NAMES],
     )
 
@@ -102,7 +116,7 @@ def _joined(base: DataFrame, folded: DataFrame) -> DataFrame:
             "struct(d.*) AS new",
             "b.id IS NOT NULL AS known",
             "d.id IS NOT NULL AS changed",
-            "least(d.bad, CASE WHEN b.id IS NULL THEN d.head END) AS flaw",
+            "least(d.odd, d.bad, CASE WHEN b.id IS NULL THEN d.head END) AS flaw",
         )
     )
 
@@ -118,19 +132,18 @@ def replay(
 
     ``as_of`` is the clock of the recomputed scores: epoch seconds for all projects, or a table
     (project_id, as_of), in which case projects it does not name keep their stored scores.
-    With ``check``, an invalid creation fails the whole job, so nothing half-applied can be stored;
-    :func:`first_bad_documents` tells which document it was.
+    With ``check``, an invalid creation or an unknown status fails the whole job, so nothing half-applied
+    can be stored; :func:`first_bad_documents` and :func:`bad_status_documents` tell which document it was.
     """
     both = _joined(base, fold_log(log, min_heavy_rows))
     stays = F.when(F.col("changed"), F.col("new.alive")).otherwise(F.col("known"))
     if check:
         flaw = F.col("flaw")
-        message = F.format_string(
-            "New feature '%s' requires '%s' field (project %s, document %s)",
-            F.col("id"),
-            flaw["field"],
-            F.col("project_id"),
-            flaw["batch_seq"].cast("string"),
+        place = [F.col("project_id"), flaw["batch_seq"].cast("string")]
+        message = F.when(
+            flaw["field"].isNull(), F.format_string("unknown status or missing id (project %s, document %s)", *place)
+        ).otherwise(
+            F.format_string(f"{fixed.MISSING_FIELD_TEXT} (project %s, document %s)", F.col("id"), flaw["field"], *place)
         )
         stays = F.when(flaw.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(stays)
     both = both.filter(stays)
@@ -238,11 +251,18 @@ def set_status(features: DataFrame, condition: Column, status: str, now: int) ->
     if status not in fixed.STATUSES:
         raise ValueError(f"unknown status {status!r}")
     chosen = F.coalesce(condition, F.lit(False))
+    time = F.when(chosen, F.lit(now).cast("long")).otherwise(F.col("last_updated"))
+    # Both at once, so that the condition sees the old values.
     return features.withColumns(
-        {
-            "status": F.when(chosen, F.lit(status)).otherwise(F.col("status")),
-            "last_updated": F.when(chosen, F.lit(now).cast("long")).otherwise(F.col("last_updated")),
-        }
+        {"status": F.when(chosen, F.lit(status)).otherwise(F.col("status")), "last_updated": time}
+    )
+
+
+def touch(features: DataFrame, condition: Column, now: int) -> DataFrame:
+    """Give the chosen items the current time."""
+    chosen = F.coalesce(condition, F.lit(False))
+    return features.withColumn(
+        "last_updated", F.when(chosen, F.lit(now).cast("long")).otherwise(F.col("last_updated"))
     )
 
 

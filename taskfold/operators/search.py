@@ -27,7 +27,7 @@ def keyword_predicate(keyword: str | Column) -> Column:
 
 def domain_predicate(domain: str | Column, lowered: str | None = None) -> Column:
     """Case-insensitive equality. ``lowered`` names a stored lower-case column, which reaches the scan."""
-    wanted = F.lower(domain) if isinstance(domain, Column) else F.lit(domain.lower())
+    wanted = F.lower(domain if isinstance(domain, Column) else F.lit(domain))
     return (F.col(lowered) if lowered else F.lower("domain")) == wanted
 
 

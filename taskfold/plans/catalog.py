@@ -235,7 +235,7 @@ def document_errors(spark, sf):
 @query
 def bad_status_documents(spark, sf):
     odd = F.when(F.col("pos") % 17 == 0, F.lower("status")).otherwise(F.col("status"))
-    return lenient.bad_status_documents(st.raw_log(spark, sf).withColumn("status", odd))
+    return changelog.bad_status_documents(st.raw_log(spark, sf).withColumn("status", odd))
 
 
 @query

@@ -56,7 +56,7 @@ def change_feed(documents: DataFrame) -> DataFrame:
 def _processor() -> StatefulProcessor:
     required, statuses, patch_names = fixed.REQUIRED_ON_CREATE, fixed.STATUSES, PATCH_NAMES
     defaults = {"status": fixed.DEFAULT_STATUS, "tags": [], "files_involved": []}
-    columns = CHANGE_FEED.fieldNames()
+    columns, missing_field_text = CHANGE_FEED.fieldNames(), fixed.MISSING_FIELD_TEXT
 
     class Merge(StatefulProcessor):  # defined here, so that workers need not import this package
         def init(self, handle):
@@ -102,7 +102,7 @@ def _processor() -> StatefulProcessor:
                 if old is None:
                     for name in required:
                         if name not in given:
-                            raise ValueError(f"New feature '{item}' requires '{name}' field")
+                            raise ValueError(missing_field_text % (item, name))
                     old = {"id": item, "context": None, **defaults, "created_at": doc.batch_ts,
                            "ord_batch": doc.batch_seq, "ord_pos": pos}
                 changed[item] = {**old, **given, "last_updated": doc.batch_ts}

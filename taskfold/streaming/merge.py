@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from taskfold.operators.changelog import first_bad_documents, project_clock, replay
+from taskfold import fixed
+from taskfold.operators.changelog import bad_status_documents, first_bad_documents, project_clock, replay
 from taskfold.operators.lenient import replay_lenient
 from taskfold.schema import UPDATE_DOC
 from taskfold.sources.documents import flatten_documents, with_empty_lists
@@ -19,7 +20,7 @@ from taskfold.sources.snapshots import committed, create_registry, load_snapshot
 
 
 class InvalidDocument(ValueError):
-    """A document creates an item without a required field."""
+    """A document creates an item without a required field, or cannot be read."""
 
 
 def document_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -45,11 +46,14 @@ def merge_stream(
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         if not lenient:
-            before = current(spark, root, epoch)
-            bad = first_bad_documents(flatten_documents(batch), before).first()
+            log = flatten_documents(batch)
+            odd = bad_status_documents(log).first()
+            if odd is not None:
+                raise InvalidDocument(f"unknown status or missing id (project {odd[0]}, document {odd[1]})")
+            bad = first_bad_documents(log, current(spark, root, epoch)).first()
             if bad is not None:
-                raise InvalidDocument(f"New feature '{bad['id']}' requires '{bad['field']}' field "
-                                      f"(project {bad['project_id']}, document {bad['batch_seq']})")
+                reason = fixed.MISSING_FIELD_TEXT % (bad["id"], bad["field"])
+                raise InvalidDocument(f"{reason} (project {bad['project_id']}, document {bad['batch_seq']})")
         batch.write.mode("overwrite").parquet(f"{root}/batches/epoch={epoch}")
         if (epoch + 1) % compact_every == 0:
             merged = current(spark, root, epoch + 1, lenient, rebuild=True)

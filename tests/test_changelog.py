@@ -107,8 +107,10 @@ def test_known_items_need_no_fields(spark):
 
 def test_status_is_case_sensitive_on_write(spark):
     log = log_of(spark, [doc(1, [{"id": "a", **NEW, "status": "complete"}]), doc(2, [{"id": "b", **NEW, "status": "Complete"}])])
-    assert one(lenient.bad_status_documents(log)).batch_seq == 1
+    assert one(changelog.bad_status_documents(log)).batch_seq == 1
     assert one(lenient.replay_lenient(empty(spark), log, 1000)).id == "b"
+    with pytest.raises(Exception, match="unknown status"):
+        changelog.replay(empty(spark), log, 1000).collect()
 
 
 def test_scores_follow_the_clock(spark):
@@ -199,6 +201,8 @@ def test_small_operations(spark):
     assert twice.count() == 4 and one(changelog.duplicate_keys(twice)).id == "a"
     done = {r.id: (r.status, r.last_updated) for r in changelog.mark_complete(items, F.col("id") == "b", 777).collect()}
     assert done == {"a": ("Pending", 100), "b": ("Complete", 777), "c": ("Pending", 100)}
+    touched = {r.id: r.last_updated for r in changelog.touch(items, F.col("id") == "c", 5).collect()}
+    assert touched == {"a": 100, "b": 100, "c": 5}
     with pytest.raises(ValueError):
         changelog.set_status(items, F.lit(True), "done", 1)
 

@@ -36,6 +36,8 @@ def test_bad_document_stops_the_stream_and_changes_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="New feature 'b' requires 'name' field"):
         run([doc(2, [{"id": "a", "name": "changed"}, {"id": "b"}])])
     assert [(r.id, r.name) for r in merge.current(spark, root).collect()] == [("a", "N")]
+    with pytest.raises(Exception, match="unknown status"):
+        feeds.merged_by_batches(spark, [model.spark_documents(spark, [doc(1, [{"id": "a", **NEW, "status": "done"}])])])
     assert committed(spark, f"{root}/snapshots") == [0, 1]
 
 
