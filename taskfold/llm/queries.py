@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from taskfold.llm import minhash
+from taskfold.llm import chunks, decontaminate, minhash
 
 QUERIES = {
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+    "op8_substring_dedup": chunks.op8_substring_dedup,
+}
+ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
 }
-ORACLE: dict[str, str] = {}
