@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from taskfold.llm import chunks, decontaminate, minhash
+from taskfold.llm import chunks, decontaminate, minhash, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op8_substring_dedup": chunks.op8_substring_dedup,
 }
