@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from taskfold.llm import chunks, decontaminate, minhash, toxicity
+from taskfold.llm import chunks, decontaminate, minhash, mixing, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_mixing_sources": mixing.op4_mixing_sources,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op8_substring_dedup": chunks.op8_substring_dedup,
 }
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op4_mixing_sources": mixing.OP4_SQL,
 }
