@@ -120,11 +120,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
 
     Equal sets are one class, whose smallest doc_id stands for all. In a bucket, one document is the centre of
     a star: it is compared with all others. Members that the star has not joined to one component get further
-    centres, twice as many each round, until no bucket holds two members of different components that have not
-    been compared. So a group of n copies costs about n comparisons, and no pair that matters is left out.
+    centres, twice as many each round (and all of them where few are left), until no bucket holds two members of
+    different components that have not been compared, and that the elements each has alone don't keep apart. So
+    a group of n copies costs about n comparisons, and no pair that matters is left out.
 
     Null text and text without words: empty set, linked with nothing. Rows with a null doc_id: linked with
-    nothing, component_id null, kept. Rows that share a doc_id are one document. Other columns are not read.
+    nothing, component_id null, kept. Rows that share a doc_id are one document; if their texts differ, a text
+    that a smaller document has speaks for all. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(sketched(docs, k, bands, rows), "sketches")
@@ -139,15 +141,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
     same = stored(same, "copies")
     alone = usable.join(same.select("doc_id").distinct(), "doc_id", "left_anti")
     members = alone.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    crowd = stored(members.join(shared.select("bucket"), "bucket").withColumn("comp", F.col("rep")), "crowd")
+    crowd = stored(_in_open_buckets(members.withColumn("comp", F.col("rep"))), "crowd")
     wanted = crowd.select(F.col("rep").alias("doc_id")).distinct()
     whole = stored(full_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k), "sets")
-    links = _star_rounds(crowd, whole, least_percent)
-    reached = components(links.select("a", "b").union(same.select("doc_id", "rep")))
-    out = sets.join(reached, F.col("doc_id") == F.col("node"), "left").withColumn(
-        "component_id", F.coalesce("component", "doc_id")
-    )
+    out = sets.join(same.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("component_id", F.coalesce("rep", "doc_id"))
+    for joined in _star_rounds(crowd, whole, least_percent):
+        out = out.join(joined, F.col("component_id") == F.col("node"), "left").select(
+            "doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id")
+        )
     return out.select(
         "doc_id",
         "n_shingles",
@@ -156,48 +157,77 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
     )
 
 
-def _star_rounds(crowd: DataFrame, whole: DataFrame, least_percent: int) -> DataFrame:
-    """Confirmed links, enough to join all that are linked.
+#: Members of a bucket that are all compared in one round from the second round on, unless joined already.
+SMALL_BUCKET = 32
+
 
-    ``crowd``: bucket, rep, n (size of its set), comp (its component so far).
+def _star_rounds(crowd: DataFrame, whole: DataFrame, least_percent: int) -> list[DataFrame]:
+    """Which components each round joins (node, component), where a round's nodes are the components before it.
+
+    ``crowd``: bucket, rep, n (size of its set), size (of the bucket), comp (component of rep so far), own (elements
+    of its set known to be in no member of another component).
     """
-    links, turn = None, 0
+    rounds, turn = [], 0
+    crowd = crowd.withColumn("own", F.lit(0).cast("long"))
     while True:
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(2**turn))
-        centres = crowd.groupBy("bucket", slot.alias("slot")).agg(F.min("rep").alias("centre")).select("bucket", "centre")
-        centres = centres.join(
-            crowd.select("bucket", F.col("rep").alias("centre"), F.col("comp").alias("centre_comp"), F.col("n").alias("centre_n")).distinct(),
-            ["bucket", "centre"],
-        )
+        if turn:
+            slot = F.when(F.col("size") <= SMALL_BUCKET, F.col("rep")).otherwise(slot)
+        picked = crowd.groupBy("bucket", slot.alias("slot")).agg(F.min("rep").alias("centre")).select("bucket", "centre")
+        centres = crowd.select("bucket", F.col("rep").alias("centre"), F.col("comp").alias("ccomp"), F.col("n").alias("cn"), F.col("own").alias("cown"))
+        centres = picked.join(centres, ["bucket", "centre"])
+        # no more can be common, no less can be in either
+        possible = F.least(F.expr("n - own"), F.expr("cn - cown")) * 100 >= F.greatest(F.expr("n + cown"), F.expr("cn + own")) * least_percent
         pairs = (
             crowd.join(centres, "bucket")
-            .filter("comp <> centre_comp")
-            .filter(F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * least_percent)
+            .filter((F.col("comp") != F.col("ccomp")) & possible)
             .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"),
-                    F.least("comp", "centre_comp").alias("ca"), F.greatest("comp", "centre_comp").alias("cb"))
+                    F.least("comp", "ccomp").alias("ca"), F.greatest("comp", "ccomp").alias("cb"))
             .distinct()
-        )
-        checked = (
+        )
+        found = (
             pairs.join(whole.alias("x"), F.col("a") == F.col("x.doc_id"))
             .join(whole.alias("y"), F.col("b") == F.col("y.doc_id"))
             .filter(_close_enough(least_percent))
-            .select("a", "b", "ca", "cb")
+            .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         )
-        found = stored(checked, "links")
-        links = found if links is None else links.union(found)
-        joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        joined = components(found)
+        rounds.append(joined)
         rest = (
-            crowd.join(centres.select("bucket", F.col("centre").alias("rep")), ["bucket", "rep"], "left_anti")
+            crowd.join(picked.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_anti")
             .join(joined, F.col("comp") == F.col("node"), "left")
             .select("bucket", "rep", "n", F.coalesce("component", "comp").alias("comp"))
         )
-        rest = stored(rest, "rest")
-        open_buckets = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        left = stored(rest.join(open_buckets.select("bucket"), "bucket"), "crowd")
-        dropped(rest, crowd)
-        if left.isEmpty():
-            return links
-        crowd, turn = left, turn + 1
+        rest = stored(_in_open_buckets(rest), "rest")
+        dropped(crowd)
+        if rest.isEmpty():
+            return rounds
+        crowd, turn = stored(_in_open_buckets(_that_may_link(rest, whole, least_percent)), "crowd"), turn + 1
+        dropped(rest)
+
+
+def _in_open_buckets(crowd: DataFrame) -> DataFrame:
+    """The rows of buckets with members of two components, with the number of members."""
+    still = crowd.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    return crowd.drop("size").join(still.filter("low < high").select("bucket", "size"), "bucket")
+
+
+def _that_may_link(crowd: DataFrame, whole: DataFrame, least_percent: int) -> DataFrame:
+    """The rows of members that may have a link to another component, with ``own``.
+
+    Own elements occur in the set of no open member of another component, so they are never common. Copies
+    with changes of their own are told apart by these without a comparison of each two.
+    """
+    members = crowd.select("rep", "n", "comp").distinct()
+    elements = members.join(whole.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", F.explode("shingles").alias("e"))
+    alone = elements.groupBy("e").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("rep"), F.count("*").alias("k"))
+    alone = alone.filter("low = high")
+    single = alone.filter("k = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    within = elements.join(alone.filter("k > 1").select("e"), "e").groupBy("rep").agg(F.count("*").alias("own"))
+    own = single.union(within).groupBy("rep").agg(F.sum("own").alias("own"))
+    able = members.select("rep", "n").join(own, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    able = able.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * least_percent)
+    return crowd.join(able.select("rep", "own"), "rep")
 
 
 def op6_minhash_near_dedup(spark, sf_dir) -> DataFrame:

@@ -77,3 +77,25 @@ def test_one_permutation_estimates_similarity():
     values, owner = np.concatenate([a, b]), np.repeat([0, 1], 1000)
     s = minhash.one_permutation(values, owner, 2, 2048)
     assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.05
+
+
+@pytest.mark.parametrize("task_links", [5, 500_000])
+def test_components(spark, task_links):
+    from taskfold.llm.components import components
+
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    links += [(5, 5), (None, 3), (3, None)] + links[:5] + [(b, a) for a, b in links[5:9]]
+    root = {x: x for e in links for x in e if x is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = components(spark.createDataFrame(links, "a long, b long"), task_links).distinct().collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root if find(x) != x)
