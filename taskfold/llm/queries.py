@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskfold.llm import chunks, decontaminate, minhash, mixing, toxicity
+from taskfold.llm import chunks, decontaminate, language_model, minhash, mixing, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing_sources": mixing.op4_mixing_sources,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op8_substring_dedup": chunks.op8_substring_dedup,
+    "op9_lm_scoring": language_model.op9_lm_scoring,
 }
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
