@@ -14,7 +14,7 @@ from taskfold.llm.tables import table
 
 _WORD = re.compile(r"[^\W_]+")
 #: Labelled rows of each class that the model is fitted on, at most.
-SAMPLE_PER_CLASS = 5_000
+SAMPLE_PER_CLASS = 4_000
 MAX_TERMS = 2_000
 LEAST_STEM = 4
 #: Words of a context window, to either side of a hit.
@@ -109,8 +109,10 @@ class Matcher:
         found = self.seen.get(word, _DEAD)
         if found != _DEAD:
             return found
-        if len(self.states) > self.max_states or len(self.seen) > 200_000:
+        if len(self.states) > self.max_states:
             self._restart()
+        if len(self.seen) > 200_000:
+            self.seen.clear()
         state = 0
         for letter in word:
             after = self.next[state].get(letter)
@@ -194,34 +196,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     ).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that hold a word, summed up as far as this task goes."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+def _word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (word, word before, toxic)."""
+    seen: tuple[set, set] = (set(), set())
 
     def flush() -> pa.RecordBatch:
-        words = list(counts[0].keys() | counts[1].keys())
-        out = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)]
-        for c in counts:
-            c.clear()
-        return pa.RecordBatch.from_arrays(out, ["word", "clean", "toxic"])
+        rows = [(w, b, t) for t in (0, 1) for w, b in seen[t]]
+        for s in seen:
+            s.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))],
+            ["word", "before", "toxic"],
+        )
 
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-            counts[toxic].update(set(_WORD.findall(text.as_py().lower())))
-            if len(counts[0]) + len(counts[1]) > 300_000:
+            words = _WORD.findall(text.as_py().lower())
+            seen[toxic].update(zip(words, ["", *words]))
+            if len(seen[0]) + len(seen[1]) > 200_000:
                 yield flush()
     yield flush()
 
 
-def lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_docs: int = 8, least_share: float = 0.9) -> list[Term]:
+def lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least: int = 8, least_share: float = 0.9) -> list[Term]:
     """Words, and starts that many words share, that tell toxic documents from clean ones.
 
+    Counted are the different words before a word, in toxic and in clean documents: however often a toxic document
+    was copied, its own rare words gain no weight by it.
     A start counts if at least five words have it. Of a start and its continuations the shortest that is as
     telling is kept.
     """
-    words = sample.mapInArrow(_word_counts, "word string, clean long, toxic long").groupBy("word").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
-    )
+    contexts = sample.mapInArrow(_word_contexts, "word string, before string, toxic int").groupBy("word", "before")
+    contexts = contexts.agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
+    words = contexts.groupBy("word").agg(F.count_if(F.col("low") == 0).alias("clean"), F.sum("high").alias("toxic"))
     starts = (
         words.select(
             "*", F.explode(F.expr(f"sequence({LEAST_STEM}, least(12, greatest({LEAST_STEM}, length(word) - 1)))")).alias("n")
@@ -233,7 +240,7 @@ def lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least_docs: int = 8,
     )
     both = words.selectExpr("word", "clean", "toxic", "false AS stem").union(starts.selectExpr("word", "clean", "toxic", "true AS stem"))
     telling = both.filter(
-        (F.col("toxic") >= least_docs)
+        (F.col("toxic") >= least)
         & (F.length("word") > 2)
         & ((F.col("toxic") - 1) / (F.col("toxic") + F.col("clean")) >= least_share)
     )
