@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from taskfold.llm.tables import table
+from taskfold.llm.tables import dropped, stored, table
 
 _WORD = re.compile(r"[^\W_]+")
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -31,7 +31,7 @@ _DEAD = -1
 @dataclass(frozen=True)
 class Term:
     text: str
-    stem: bool  # matches the start of a word, else the whole word
+    stem: bool  # matches the start of a longer word, else the whole word
 
     @property
     def edits(self) -> int:
@@ -47,8 +47,8 @@ class Matcher:
     are met, so a word costs one dictionary step per letter and ends at the first letter that leaves no term.
     """
 
-    def __init__(self, terms: list[Term], max_states: int = 50_000):
-        self.terms, self.max_states = terms, max_states
+    def __init__(self, terms: list[Term], exceptions: frozenset[str] = frozenset(), max_states: int = 50_000):
+        self.terms, self.exceptions, self.max_states = terms, exceptions, max_states
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.limit = [0]  # most edits that a term below allows
@@ -74,6 +74,10 @@ class Matcher:
 
     def _step(self, state: int, letter: str) -> int:
         nodes, best = self.states[state]
+        for node, edits in nodes:  # another letter follows, so starts that end here match
+            for i in self.ends[node]:
+                if self.terms[i].stem and edits <= self.terms[i].edits:
+                    best = min(best or (99, 0), (edits, i))
         reached: dict[int, int] = {}
 
         def reach(node: int, edits: int) -> None:
@@ -89,10 +93,6 @@ class Matcher:
                 reach(node, edits + 1)
                 for child in self.children[node].values():
                     reach(child, edits + 1)
-        for node, edits in reached.items():
-            for i in self.ends[node]:
-                if self.terms[i].stem and edits <= self.terms[i].edits:
-                    best = min(best or (99, 0), (edits, i))
         if not reached and best is None:
             target = _DEAD
         else:
@@ -120,11 +120,11 @@ class Matcher:
             if state == _DEAD:
                 break
         found = None
-        if state != _DEAD:
+        if state != _DEAD and word not in self.exceptions:
             nodes, found = self.states[state]
             for node, edits in nodes:
                 for i in self.ends[node]:
-                    if edits <= self.terms[i].edits:
+                    if not self.terms[i].stem and edits <= self.terms[i].edits:
                         found = min(found or (99, 0), (edits, i))
         self.seen[word] = found
         return found
@@ -161,6 +161,7 @@ def quoted(text: str, words: list[re.Match], n: int) -> bool:
 @dataclass(frozen=True)
 class Model:
     terms: tuple[Term, ...]
+    exceptions: frozenset[str]
     weights: dict[tuple[int, int, bool], float]  # chance of label 1 by (term, edits, quoted)
     without: float  # chance of label 1 with no hit
 
@@ -197,7 +198,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
 
 
 def _word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, word before, toxic)."""
+    """Distinct (word, word before, toxic), where a word first stands in a document."""
     seen: tuple[set, set] = (set(), set())
 
     def flush() -> pa.RecordBatch:
@@ -212,31 +213,36 @@ def _word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
             words = _WORD.findall(text.as_py().lower())
-            seen[toxic].update(zip(words, ["", *words]))
+            before = ["", *words[:-1]]
+            seen[toxic].update(dict(zip(reversed(words), reversed(before))).items())
             if len(seen[0]) + len(seen[1]) > 200_000:
                 yield flush()
     yield flush()
 
 
-def lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least: int = 8, least_share: float = 0.9) -> list[Term]:
+def lexicon(
+    sample: DataFrame, max_terms: int = MAX_TERMS, max_exceptions: int = 20_000, least: int = 8, least_share: float = 0.9
+) -> tuple[list[Term], frozenset[str]]:
     """Words, and starts that many words share, that tell toxic documents from clean ones.
 
-    Counted are the different words before a word, in toxic and in clean documents: however often a toxic document
-    was copied, its own rare words gain no weight by it.
-    A start counts if at least five words have it. Of a start and its continuations the shortest that is as
-    telling is kept.
+    Counted are the different words before a word where it first stands in a document, in toxic and in clean ones:
+    however long a toxic document is or however often it was copied, its own rare words gain no weight by it.
+    A start counts if at least five longer words have it, nine tenths of which are met more among toxic documents.
+    Of a start and its continuations the shortest that is as telling is kept. Words that a term would match, but
+    that clean documents use as much, are the exceptions.
     """
     contexts = sample.mapInArrow(_word_contexts, "word string, before string, toxic int").groupBy("word", "before")
     contexts = contexts.agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
     words = contexts.groupBy("word").agg(F.count_if(F.col("low") == 0).alias("clean"), F.sum("high").alias("toxic"))
+    words = stored(words, "words")
     starts = (
         words.select(
             "*", F.explode(F.expr(f"sequence({LEAST_STEM}, least(12, greatest({LEAST_STEM}, length(word) - 1)))")).alias("n")
         )
         .filter("length(word) > n")
         .groupBy(F.expr("substring(word, 1, n)").alias("word"))
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") > 0).alias("words"))
-        .filter("words >= 5")
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") > F.col("clean")).alias("bad"), F.count("*").alias("words"))
+        .filter((F.col("bad") >= 5) & (F.col("bad") >= least_share * F.col("words")))
     )
     both = words.selectExpr("word", "clean", "toxic", "false AS stem").union(starts.selectExpr("word", "clean", "toxic", "true AS stem"))
     telling = both.filter(
@@ -246,18 +252,28 @@ def lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, least: int = 8, least
     )
     found = telling.orderBy(F.col("toxic").desc(), "word", "stem").limit(max_terms).collect()
     stems = {r["word"] for r in found if r["stem"]}
-    covered = lambda word, stem: any(word[:n] in stems for n in range(LEAST_STEM, len(word) + (not stem)))
-    return [Term(r["word"], r["stem"]) for r in found if not covered(r["word"], r["stem"])]
+    covered = lambda word: any(word[:n] in stems for n in range(LEAST_STEM, len(word)))
+    terms = [Term(r["word"], r["stem"]) for r in found if not covered(r["word"])]
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms)
+        for batch in batches:
+            yield batch.filter(pa.array([matcher.find(w) is not None for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    usual = words.filter("clean >= toxic").select("word", "clean").mapInArrow(matched, "word string, clean long")
+    usual = usual.orderBy(F.col("clean").desc(), "word").limit(max_exceptions).collect()
+    dropped(words)
+    return terms, frozenset(r["word"] for r in usual)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """The lexicon, and the weight of each (term, letters that differ, quoted): the share of toxic documents
     among those of the sample with such a hit, drawn towards a prior by four pseudo-documents."""
     sample = labelled_sample(docs, labels, per_class)
-    terms = lexicon(sample)
+    terms, exceptions = lexicon(sample)
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, seen = Matcher(terms), Counter()
+        matcher, seen = Matcher(terms, exceptions), Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 found = {(t, e, q) for _, e, t, q in matcher.hits(text.as_py())} or {(-1, 0, False)}
@@ -286,7 +302,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
                 prior = 0.35 if q else 0.9 - 0.15 * edits
                 weights[i, edits, q] = min(0.995, (toxic + 4 * prior) / (all_ + 4))
     toxic, all_ = seen.get((-1, 0, False), (0, 0))
-    return Model(tuple(terms), weights, min(0.45, (toxic + 0.02) / (all_ + 1)))
+    return Model(tuple(terms), exceptions, weights, min(0.45, (toxic + 0.02) / (all_ + 1)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -299,7 +315,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        matcher = Matcher(list(own.terms))
+        matcher = Matcher(list(own.terms), own.exceptions)
         for batch in batches:
             found = [matcher.hits(t.as_py() or "") for t in batch.column(0).field("text")]
             yield pa.RecordBatch.from_arrays(
