@@ -12,7 +12,7 @@ from taskfold.llm.tables import table
 
 #: Sources that a mix may have, at most; one row for each goes through the driver.
 MAX_SOURCES = 10_000
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 10_000
 
 
 def shares(weights: Mapping[str, float], quantum: int) -> dict[str, int]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from taskfold.llm import chunks, decontaminate, language_model, minhash, mixing, toxicity
+from taskfold.llm import chunks, decontaminate, language_model, minhash, mixing, toxicity, warc
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing_sources": mixing.op4_mixing_sources,
+    "op5_warc": warc.op5_warc,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op8_substring_dedup": chunks.op8_substring_dedup,
     "op9_lm_scoring": language_model.op9_lm_scoring,
@@ -15,4 +16,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op4_mixing_sources": mixing.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
 }

@@ -51,7 +51,7 @@ def brute(rows, weights, block_bytes, quantum):
     return [(*r, r[4] is not None and r[4] < horizon) for r in out]
 
 
-@pytest.mark.parametrize("chunk_rows", [50_000, 20])
+@pytest.mark.parametrize("chunk_rows", [10_000, 20])
 def test_positions(spark, monkeypatch, chunk_rows):
     monkeypatch.setattr(mx, "CHUNK_ROWS", chunk_rows)
     rng = random.Random(3)
