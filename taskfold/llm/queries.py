@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskfold.llm import chunks, decontaminate, language_model, minhash, mixing, toxicity, warc
+from taskfold.llm import chunks, decontaminate, embeddings, language_model, minhash, mixing, toxicity, warc
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing_sources": mixing.op4_mixing_sources,
     "op5_warc": warc.op5_warc,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+    "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
     "op8_substring_dedup": chunks.op8_substring_dedup,
     "op9_lm_scoring": language_model.op9_lm_scoring,
 }
@@ -17,4 +18,5 @@ ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op4_mixing_sources": mixing.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op7_embedding_near_dedup": embeddings.OP7_SQL,
 }
