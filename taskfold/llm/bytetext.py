@@ -115,8 +115,9 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray):
     """(hashes, text number, start, end) of all words in lower case."""
     if len(data) > 8 * SLICE_BYTES:
         return _hashed_in_pieces(data, word_bytes)
+    data = LOWER[data]
     start, end, owner = words(data, offsets, word_bytes)
-    return range_hashes(prefix_sums(LOWER[data]), start, end), owner, start, end
+    return range_hashes(prefix_sums(data), start, end), owner, start, end
 
 
 def _hashed_in_pieces(data: np.ndarray, word_bytes: np.ndarray):
@@ -124,32 +125,34 @@ def _hashed_in_pieces(data: np.ndarray, word_bytes: np.ndarray):
     parts, at = [], 0
     while at < len(data):
         end = min(len(data), at + 4 * SLICE_BYTES)
-        while end < len(data) and word_bytes[data[end - 1]] and word_bytes[data[end]]:
+        while end < len(data) and word_bytes[LOWER[data[end - 1]]] and word_bytes[LOWER[data[end]]]:
             end += 1
-        h, _, s, e = hashed_words_of(data[at:end], word_bytes)
+        piece = LOWER[data[at:end]]
+        s, e, _ = words(piece, np.array([0, len(piece)]), word_bytes)
+        h = range_hashes(prefix_sums(piece), s, e)
         parts.append((h, s + at, e + at))
         at = end
     h, s, e = (np.concatenate(x) for x in zip(*parts))
     return h, np.zeros(len(h), np.int64), s, e
 
 
-def hashed_words_of(data: np.ndarray, word_bytes: np.ndarray):
-    start, end, owner = words(data, np.array([0, len(data)]), word_bytes)
-    return range_hashes(prefix_sums(LOWER[data]), start, end), owner, start, end
-
-
 _STEP = [U(x | 1) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 
 
 def shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, k: int):
     """(hashes, text number) of all runs of k words; a text with fewer words, but not none, has one of them all."""
+    return placed_shingles(hashes, owner, n_texts, k)[:2]
+
+
+def placed_shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, k: int):
+    """The same, with the number of the first word. Those of short texts come last."""
     full = max(0, len(hashes) - k + 1)
     h = np.full(full, U(k))
     for i in range(k):
         h = (h ^ hashes[i : i + full]) * _STEP[i % len(_STEP)]
         h ^= h >> U(29)
     whole = owner[:full] == owner[k - 1 :] if full else np.empty(0, bool)
-    h, of = h[whole], owner[:full][whole]
+    h, of, at = h[whole], owner[:full][whole], np.flatnonzero(whole)
     counts = np.bincount(owner, minlength=n_texts) if len(owner) else np.zeros(n_texts, np.int64)
     few = np.flatnonzero((counts > 0) & (counts < k))
     if len(few):
@@ -159,8 +162,8 @@ def shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, k: int):
             has = counts[few] > i
             step = (short[has] ^ hashes[first[has] + i]) * _STEP[i % len(_STEP)]
             short[has] = step ^ (step >> U(29))
-        h, of = np.concatenate([h, mix(short)]), np.concatenate([of, few])
-    return mix(h), of
+        h, of, at = np.concatenate([h, mix(short)]), np.concatenate([of, few]), np.concatenate([at, first])
+    return mix(h), of, at
 
 
 def distinct(values: np.ndarray, owner: np.ndarray):

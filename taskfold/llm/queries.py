@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskfold.llm import chunks, decontaminate, embeddings, language_model, minhash, mixing, toxicity, warc
+from taskfold.llm import chunks, decontaminate, embeddings, language_model, licenses, minhash, mixing, toxicity, warc
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
     "op8_substring_dedup": chunks.op8_substring_dedup,
     "op9_lm_scoring": language_model.op9_lm_scoring,
+    "op10_license_scans": licenses.op10_license_scans,
 }
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
