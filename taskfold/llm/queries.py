@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from taskfold.llm import chunks, decontaminate, embeddings, language_model, licenses, minhash, mixing, toxicity, warc
+from taskfold.llm import chunks, decontaminate, embeddings, language_model, licenses, minhash, mixing, suffixes, toxicity, warc
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffixes.op1_suffix_array_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing_sources": mixing.op4_mixing_sources,
