@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
 
     Equal sets are one class, whose smallest doc_id stands for all. In a bucket, one document is the centre of
     a star: it is compared with all others. Members that the star has not joined to one component get further
-    centres, twice as many each round (and all of them where few are left), until no bucket holds two members of
+    centres, eight times as many each round (and all of them where few are left), until no bucket holds two members of
     different components that have not been compared, and that the elements each has alone don't keep apart. So
     a group of n copies costs about n comparisons, and no pair that matters is left out.
 
@@ -157,8 +157,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
     )
 
 
-#: Members of a bucket that are all compared in one round from the second round on, unless joined already.
-SMALL_BUCKET = 32
+#: Members of a bucket that are all compared in the second round, unless joined already; four times as many in each later.
+SMALL_BUCKET = 128
 
 
 def _star_rounds(crowd: DataFrame, whole: DataFrame, least_percent: int) -> list[DataFrame]:
@@ -170,9 +170,9 @@ def _star_rounds(crowd: DataFrame, whole: DataFrame, least_percent: int) -> list
     rounds, turn = [], 0
     crowd = crowd.withColumn("own", F.lit(0).cast("long"))
     while True:
-        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(2**turn))
+        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(8**turn))
         if turn:
-            slot = F.when(F.col("size") <= SMALL_BUCKET, F.col("rep")).otherwise(slot)
+            slot = F.when(F.col("size") <= SMALL_BUCKET * 4 ** (turn - 1), F.col("rep")).otherwise(slot)
         picked = crowd.groupBy("bucket", slot.alias("slot")).agg(F.min("rep").alias("centre")).select("bucket", "centre")
         centres = crowd.select("bucket", F.col("rep").alias("centre"), F.col("comp").alias("ccomp"), F.col("n").alias("cn"), F.col("own").alias("cown"))
         centres = picked.join(centres, ["bucket", "centre"])
