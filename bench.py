@@ -52,7 +52,6 @@ def main() -> None:
         "search_keyword": lambda: search.search(items, keyword="eau"),
         "search_domain_status": lambda: search.search(items, domain="FR", status="pending"),
         "search_many": lambda: many_search.search_many(items, asked),
-        "search_many_by_gram": lambda: many_search.search_many(items, asked, max_shipped=0),
         "top_by_recency": lambda: report.top_by_recency(items),
         "ranked_report": lambda: report.report_rows(report.ranked(items)),
         "completion_summary": lambda: report.completion_summary(items, projects),

@@ -25,7 +25,7 @@ INITIAL_SCORE = 1.0
 # Directory names whose contents never count, at any depth.
 SKIP_DIRS = (
     ".git",
-    ".legend",
+    ".taskfold",
     "target",
     "node_modules",
     ".vscode",

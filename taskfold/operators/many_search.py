@@ -1,58 +1,38 @@
 """A table of search queries against the registry, as equi-joins.
 
-Comparing every query with every item is what this avoids. Each item is turned into the keys a query
-can ask for: its domain, its status, its tags, and the searched-for keywords that occur in it. A query
-is joined on one key (keyword, else tag, else domain, else status) and its other filters are checked
-on the few small columns that travel along; texts never leave the first step.
+Comparing every query with every item is what this avoids. Each item is turned into the keys a query can ask
+for: the combinations of its tag, domain and status that occur among the queries, and the searched-for
+keywords that occur in it. A query is joined on all it asks for at once, so nothing is left to test.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from taskfold import fixed
 from taskfold.operators.search import TEXT_FIELDS, keyword_predicate
 from taskfold.schema import KEY, STORED_ORDER
 from taskfold.session import stored
 
-# Query tables up to this number of rows and characters are sent to all executors; larger ones are
-# joined by shuffle, and their keywords by gram.
-MAX_SHIPPED_QUERIES = 100_000
-MAX_SHIPPED_CHARS = 8_000_000
 _GRAM = 3
 _SMALL = ["_domain", "_status", "_tags", *STORED_ORDER]
 
 
-def search_many(
-    features: DataFrame,
-    queries: DataFrame,
-    max_shipped: int = MAX_SHIPPED_QUERIES,
-    max_chars: int = MAX_SHIPPED_CHARS,
-) -> DataFrame:
+def search_many(features: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, project_id, id, ord_batch, ord_pos) of every match. A null filter is absent."""
-    asked = _normalised(queries)
-    with_word = asked.filter("q_word is not null")
-    without_word = asked.filter("q_word is null").select("*", F.explode(_query_keys()).alias("key"))
-    words = with_word.select(F.col("q_word").alias("word")).distinct()
-    if _fits(asked, max_shipped, max_chars):
-        hits = hits_by_automaton(features, [r["word"] for r in words.collect()])
-        with_word, without_word = F.broadcast(with_word), F.broadcast(without_word)
-    else:
-        hits = hits_by_gram(features, words)
-    by_word = hits.join(with_word, F.col("word") == F.col("q_word"))
-    keyed = _small_columns(features).select(*KEY, *_SMALL, F.explode(_item_keys()).alias("key"))
-    by_key = keyed.join(without_word, "key")
-
-    out = ["query_id", *KEY, *STORED_ORDER]
-    return by_word.filter(_other_filters()).select(*out).unionByName(by_key.filter(_other_filters()).select(*out))
+    asked = _normalised(queries).withColumn("mask", _mask()).withColumn("key", _query_key())
+    masks = [r["mask"] for r in asked.select("mask").distinct().collect()]  # at most eight
+    with_word = asked.filter("q_word is not null").select("query_id", "key", F.col("q_word").alias("word"))
+    without_word = asked.filter("q_word is null").select("query_id", "key")
+    words = with_word.select("word").distinct()
+    features = features.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
+    def keyed(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(*KEY, *STORED_ORDER, *more, F.explode(_item_keys(masks)).alias("key"))
 
-def _fits(asked: DataFrame, max_rows: int, max_chars: int) -> bool:
-    """Whether the query table is small; looks at no more than one row over the limit."""
-    chars = F.length(F.concat_ws("", "q_word", "q_domain", "q_tag", "q_status"))
-    seen = asked.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(chars).alias("chars")).first()
-    return seen["n"] <= max_rows and (seen["chars"] or 0) <= max_chars
+    out = ["query_id", *KEY, *STORED_ORDER]
+    by_word = keyed(hits_by_gram(features, words), "word").join(with_word, ["word", "key"])
+    by_key = keyed(_small_columns(features)).join(without_word, "key")
+    return by_word.select(*out).unionByName(by_key.select(*out))
 
 
 def _normalised(queries: DataFrame) -> DataFrame:
@@ -81,76 +61,36 @@ def _small_columns(features: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _key(kind: str, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+def _mask() -> Column:
+    """Which of tag, domain and status a query gives, as bits."""
+    given = [F.col(c).isNotNull().cast("int") for c in ("q_tag", "q_domain", "q_status")]
+    return given[0] + given[1] * 2 + given[2] * 4
 
 
-def _item_keys() -> Column:
-    tags = F.transform(F.array_distinct("_tags"), lambda t: _key("tag", t))
-    return F.concat(F.array(_key("domain", F.col("_domain")), _key("status", F.col("_status"))), tags)
+def _key(mask: int | Column, tag: Column, domain: Column, status: Column) -> Column:
+    return F.struct((F.lit(mask) if isinstance(mask, int) else mask).alias("mask"), tag.alias("tag"), domain.alias("domain"), status.alias("status"))
 
 
-def _query_keys() -> Column:
-    """One key; a query that asks for nothing else takes each status in turn, which covers all items."""
-    every = F.array(*[_key("status", F.lit(s.lower())) for s in fixed.STATUSES])
-    return (
-        F.when(F.col("q_tag").isNotNull(), F.array(_key("tag", F.col("q_tag"))))
-        .when(F.col("q_domain").isNotNull(), F.array(_key("domain", F.col("q_domain"))))
-        .when(F.col("q_status").isNotNull(), F.array(_key("status", F.col("q_status"))))
-        .otherwise(every)
-    )
-
+def _query_key() -> Column:
+    none = F.lit("")
+    return _key(F.col("mask"), *[F.coalesce(c, none) for c in ("q_tag", "q_domain", "q_status")])
 
-def _other_filters() -> Column:
-    def absent_or(name: str, test: Column) -> Column:
-        return F.col(name).isNull() | test
 
-    return (
-        absent_or("q_domain", F.col("_domain") == F.col("q_domain"))
-        & absent_or("q_status", F.col("_status") == F.col("q_status"))
-        & absent_or("q_tag", F.array_contains("_tags", F.col("q_tag")))
-    )
-
-
-def hits_by_automaton(features: DataFrame, words: list[str]) -> DataFrame:
-    """Small columns and ``word`` for every keyword that occurs in an item; one pass over each text.
-
-    ``words`` are lower-case, distinct, and few enough to ship (checked by the caller).
-    """
-    spark = features.sparkSession
-    shipped = spark.sparkContext.broadcast(words)
-    ready = {}
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def found(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        if "automaton" not in ready:
-            automaton = ahocorasick.Automaton()
-            for word in shipped.value:
-                automaton.add_word(word, word)
-            automaton.make_automaton()
-            ready["automaton"] = automaton
-        scan = ready["automaton"].iter
-        return texts.map(lambda fields: list({word for text in fields for _, word in scan(text)}))
-
-    if not words:
-        return _small_columns(features).withColumn("word", F.lit("")).filter(F.lit(False))
-    fields = F.concat(F.array(*[F.lower(c) for c in TEXT_FIELDS]), F.transform("tags", F.lower))
-    return (
-        features.select(
-            *KEY,
-            F.lower("domain").alias("_domain"),
-            F.lower("status").alias("_status"),
-            F.transform("tags", F.lower).alias("_tags"),
-            *STORED_ORDER,
-            F.explode(found(F.array_compact(fields))).alias("word"),
-        )
-    )
+def _item_keys(masks: list[int]) -> Column:
+    """The keys under which queries with the given masks find an item: one, or one for each of its tags."""
+    none, every = F.lit(""), []
+    for mask in masks:
+        domain = F.col("_domain") if mask & 2 else none
+        status = F.col("_status") if mask & 4 else none
+        if mask & 1:
+            every.append(F.transform(F.array_distinct("_tags"), lambda t: _key(mask, t, domain, status)))  # noqa: B023
+        else:
+            every.append(F.array(_key(mask, none, domain, status)))
+    return F.concat(*every) if every else F.array().cast("array<struct<mask:int,tag:string,domain:string,status:string>>")
 
 
 def hits_by_gram(features: DataFrame, words: DataFrame) -> DataFrame:
-    """The same for any number of keywords: a join on the rarest three-character gram of each.
+    """Small columns and ``word`` for every keyword that occurs in an item: a join on its rarest three-character gram.
 
     An item that contains a keyword contains all its grams, so joining on one of them misses nothing;
     what it brings too much is taken out by the exact test. Keywords of one or two characters go by

@@ -17,67 +17,68 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from taskfold.session import stored
+
 HEAVY_ROWS = 5_000_000  # a key below this is left to one task
-MAX_HEAVY_KEYS = 256  # a key outside the 256 largest holds less than 1/256 of the rows
-MAX_CHUNKS = 256
-_SAMPLE_PER_KEY = 4096
-_TRACKED = 16_384  # counters of the heavy-hitter sketch
+_POINTS_PER_CHUNK = 16  # sampled to place the cut points
 
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Cut points of at most ``MAX_HEAVY_KEYS`` keys, known by the hash of the key columns."""
+    """Cut points of the heavy keys, known by the hash of the key columns."""
 
     keys: tuple[str, ...]
     order: tuple[Column, ...]
-    hashes: tuple[int, ...]
-    splits: DataFrame  # _hash, _splits; at most MAX_HEAVY_KEYS rows
+    splits: DataFrame  # _hash, _splits; about one cut point per ``min_rows`` rows of the table
 
     def rows_of(self, df: DataFrame) -> DataFrame:
-        return df.filter(F.xxhash64(*self.keys).isin(list(self.hashes)))
+        hashed = df.withColumn("_hash", F.xxhash64(*self.keys))
+        return hashed.join(self.splits.select("_hash"), "_hash", "left_semi").drop("_hash")
 
     def with_chunk(self, df: DataFrame) -> DataFrame:
-        """Add ``_chunk``: 0 for ordinary keys, else the number of cut points at or before the row."""
+        """Add ``_chunk``: 0 for ordinary keys, else the number of cut points at or before the row.
+
+        Cut points are looked up in two steps, among every n-th and then among the n after it.
+        """
         here = F.struct(*_named(self.order))
+        step = F.ceil(F.sqrt(F.size("_splits"))).cast("int")
+        coarse = F.filter("_splits", lambda s, i: (i % F.col("_step") == 0) & (s <= here))
+        fine = F.slice("_splits", (F.col("_coarse") - 1) * F.col("_step") + 1, F.col("_step"))
         return (
             df.withColumn("_hash", F.xxhash64(*self.keys))
-            .join(F.broadcast(self.splits), "_hash", "left")
+            .join(self.splits, "_hash", "left")
+            .withColumn("_step", step)
+            .withColumn("_coarse", F.size(coarse))
             .withColumn(
                 "_chunk",
-                F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
-                    F.size(F.filter("_splits", lambda s: s <= here))
+                F.when(F.col("_splits").isNull() | (F.col("_coarse") == 0), F.lit(0)).otherwise(
+                    (F.col("_coarse") - 1) * F.col("_step") + F.size(F.filter(fine, lambda s: s <= here))
                 ),
             )
-            .drop("_hash", "_splits")
+            .drop("_hash", "_splits", "_step", "_coarse")
         )
 
 
 def find_heavy_keys(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], min_rows: int = HEAVY_ROWS
 ) -> HeavyKeys | None:
-    """The keys with more than ``min_rows`` rows, or None (the usual case: one light job, no shuffle by key).
+    """The keys with more than ``min_rows`` rows, or None (the usual case: one aggregate that counts by key).
 
-    Needs non-null keys and an ``order`` without ties inside a key. An input that Spark estimates at less
-    than a byte per heavy row is not looked at.
+    Needs non-null keys and an ``order`` without ties inside a key. All heavy keys are found, and each is cut into
+    chunks of about ``min_rows`` rows, however many that takes.
     """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < min_rows:
-        return None
     hashed = df.select(F.xxhash64(*keys).alias("_hash"))
-    top = hashed.agg(F.expr(f"approx_top_k(_hash, {MAX_HEAVY_KEYS}, {_TRACKED})").alias("top")).first()["top"]
-    found = {row["item"]: row["count"] for row in top or [] if row["count"] > min_rows}
-    if not found:
+    counted = stored(hashed.groupBy("_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_rows), "heavy")
+    if counted.isEmpty():
         return None
-
-    spark = df.sparkSession
-    rates = spark.createDataFrame(
-        [(h, max(1, n // _SAMPLE_PER_KEY), max(2, min(MAX_CHUNKS, -(-n // min_rows)))) for h, n in found.items()],
-        "_hash long, _every long, _chunks int",
+    chunks = F.ceil(F.col("_n") / min_rows).cast("long")
+    rates = counted.select(
+        "_hash", chunks.alias("_chunks"), F.greatest(F.lit(1), F.expr(f"_n div (ceil(_n / {min_rows}) * {_POINTS_PER_CHUNK})")).alias("_every")
     )
     point = F.struct(*_named(order))
     sampled = (
-        df.filter(F.xxhash64(*keys).isin(list(found)))
-        .select(F.xxhash64(*keys).alias("_hash"), point.alias("_point"))
-        .join(F.broadcast(rates), "_hash")
+        df.select(F.xxhash64(*keys).alias("_hash"), point.alias("_point"))
+        .join(rates, "_hash")
         .filter(F.pmod(F.xxhash64(F.col("_point")), F.col("_every")) == 0)
         .groupBy("_hash", "_chunks")
         .agg(F.sort_array(F.collect_set("_point")).alias("_points"))
@@ -87,8 +88,7 @@ def find_heavy_keys(
             F.filter("_points", lambda p, i: (i > 0) & (i % F.col("_step") == 0)).alias("_splits"),
         )
     )
-    splits = spark.createDataFrame(sampled.collect(), sampled.schema)
-    return HeavyKeys(tuple(keys), tuple(order), tuple(found), splits)
+    return HeavyKeys(tuple(keys), tuple(order), stored(sampled, "splits"))
 
 
 def prior_max(
@@ -110,9 +110,8 @@ def prior_max(
     )
     earlier = _before(Window.partitionBy(*keys).orderBy("_chunk"))
     carry = summary.select(*keys, "_chunk", *[F.max(n).over(earlier).alias(f"_carry_{n}") for n in exprs])
-    # At most MAX_HEAVY_KEYS * MAX_CHUNKS rows (plus hash twins), so it is safe to broadcast.
     return (
-        rows.join(F.broadcast(carry), [*keys, "_chunk"], "left")
+        rows.join(carry, [*keys, "_chunk"], "left")
         .withColumns({n: F.greatest(F.col(n), F.col(f"_carry_{n}")) for n in exprs})
         .drop("_chunk", *[f"_carry_{n}" for n in exprs])
     )
@@ -132,7 +131,7 @@ def number_rows(
     earlier = _before(Window.partitionBy(*keys).orderBy("_chunk"))
     carry = summary.select(*keys, "_chunk", F.sum("_n").over(earlier).alias("_carry"))
     return (
-        rows.join(F.broadcast(carry), [*keys, "_chunk"], "left")
+        rows.join(carry, [*keys, "_chunk"], "left")
         .withColumn(name, F.col(name) + F.coalesce(F.col("_carry"), F.lit(0).cast(T.LongType())))
         .drop("_chunk", "_carry")
     )

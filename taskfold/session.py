@@ -25,10 +25,16 @@ def builder(app_name: str = "taskfold") -> SparkSession.Builder:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary one.
+    A session that names none gets a temporary one, but only where driver and executors are one process: elsewhere
+    each machine would write to its own disk, and rows would be missing when the table is read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="spark-")
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

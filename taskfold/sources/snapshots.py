@@ -13,13 +13,13 @@ from taskfold.schema import FEATURE, KEY, PROJECT
 _STORED = T.StructType([*FEATURE.fields, T.StructField("domain_lc", T.StringType())])
 
 
-def save_snapshot(features: DataFrame, root: str, version: int, cluster: bool = False) -> str:
+def save_snapshot(features: DataFrame, root: str, version: int, cluster: bool = True) -> str:
     """Write version ``version`` below ``root``; writing it again replaces it.
 
-    Files are sorted by (project_id, id), so the page statistics let a reader of one project or item skip
-    the rest. A replay leaves rows partitioned by that key, so this adds no shuffle; ``cluster`` adds one
-    by range, after which a project lies in few files (a big one still spans many). ``domain_lc`` makes
-    the case-insensitive domain filter a plain equality the scan can push down.
+    Rows are dealt by ranges of (project_id, id) and sorted inside files, so a project lies in few files (a big one
+    still spans many) and statistics let a reader of one project or item skip the rest. ``cluster=False``
+    saves that shuffle. ``domain_lc`` makes the case-insensitive domain filter a plain equality the scan can
+    push down.
     """
     out = features.select(*FEATURE.fieldNames()).withColumn("domain_lc", F.lower("domain"))
     if cluster:
@@ -30,12 +30,12 @@ def save_snapshot(features: DataFrame, root: str, version: int, cluster: bool =
 
 
 def load_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """Read a version (default: the newest complete one). A missing registry is an error."""
+    """Read a version (default: the newest complete one). A missing registry is an error, as is an item stored twice."""
     if version is None:
         version = latest_version(spark, root)
     if version is None:
         raise FileNotFoundError(f"registry not initialized: {root}")
-    return spark.read.schema(_STORED).parquet(f"{root}/v={version}")
+    return reject_duplicates(spark.read.schema(_STORED).parquet(f"{root}/v={version}"))
 
 
 def committed(spark: SparkSession, root: str, name: str = "v") -> list[int]:

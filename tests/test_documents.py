@@ -7,7 +7,7 @@ from taskfold.operators import changelog
 from taskfold.schema import FEATURE, PROJECT
 from taskfold.sources import documents, listings, snapshots
 
-FULL = {"id": "auth", "name": "Authentication", "domain": "security", "description": "User login system"}
+FULL = {"id": "door", "name": "Front Door", "domain": "access", "description": "Opens at nine"}
 
 
 def texts(spark, *docs):
@@ -15,10 +15,10 @@ def texts(spark, *docs):
 
 
 def test_parse_full_and_sparse(spark):
-    docs = texts(spark, {"features": [FULL, {"id": "auth", "status": "Complete", "extra": {"id": 1}}], "other": 5}, {})
+    docs = texts(spark, {"features": [FULL, {"id": "door", "status": "Complete", "extra": {"id": 1}}], "other": 5}, {})
     parsed = documents.parse_documents(docs).collect()
     first, second = parsed[0].features
-    assert first.id == "auth" and first.name == "Authentication" and first.tags is None
+    assert first.id == "door" and first.name == "Front Door" and first.tags is None
     assert second.name is None and second.status == "Complete"
     assert parsed[1].features == [] and parsed[1].remove_features == []
 
@@ -46,13 +46,13 @@ def test_flatten(spark):
                                           "features": [FULL, {"id": "b", "tags": []}], "remove_features": ["c", "c"]}])
     rows = documents.flatten_documents(docs).orderBy("op_rank", "pos").collect()
     assert [(r.op_rank, r.pos, r.id, r.name, r.tags) for r in rows] == [
-        (0, 0, "auth", "Authentication", None), (0, 1, "b", None, []), (1, 0, "c", None, None), (1, 1, "c", None, None)]
+        (0, 0, "door", "Front Door", None), (0, 1, "b", None, []), (1, 0, "c", None, None), (1, 1, "c", None, None)]
     assert {(r.project_id, r.batch_seq, r.batch_ts) for r in rows} == {("p", 4, 9)}
 
 
 def test_read_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"project_id": "p", "batch_seq": 1, "batch_ts": 2, "features": [FULL]}, indent=2))
-    assert documents.read_documents(spark, str(tmp_path)).first().features[0].id == "auth"
+    assert documents.read_documents(spark, str(tmp_path)).first().features[0].id == "door"
     (tmp_path / "b.json").write_text('{"features": [')
     with pytest.raises(Exception):
         documents.read_documents(spark, str(tmp_path)).collect()

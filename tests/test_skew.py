@@ -20,7 +20,7 @@ def order():
 
 def test_only_the_hot_key_is_cut(table):
     heavy = find_heavy_keys(table, ["k"], order(), min_rows=100)
-    assert len(heavy.hashes) == 1
+    assert heavy.splits.count() == 1
     chunked = heavy.with_chunk(table)
     sizes = {r.k: (r.n, r.m) for r in chunked.groupBy("k").agg(F.countDistinct("_chunk").alias("n"), F.max("_chunk").alias("m")).collect()}
     assert sizes.pop("hot")[0] > 20 and set(sizes.values()) == {(1, 0)}
@@ -52,3 +52,15 @@ def test_no_task_gets_the_whole_hot_key(table):
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     by_key = [line for line in plan.splitlines() if "hashpartitioning(k#" in line and "_chunk" not in line]
     assert len(by_key) == 1
+
+
+def test_any_number_of_heavy_keys_and_chunks(spark):
+    """300 hot keys, and one that needs more than 256 chunks."""
+    rows = spark.range(30_000).selectExpr("concat('k', id % 300) AS k", "id AS o", "id % 11 AS v")
+    rows = rows.union(spark.range(12_000).selectExpr("'hot' AS k", "id AS o", "id % 11 AS v")).cache()
+    heavy = find_heavy_keys(rows, ["k"], [F.col("o")], min_rows=40)
+    assert heavy.splits.count() == 301
+    sizes = heavy.with_chunk(rows).groupBy("k", "_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] < 400 and sizes.filter("k = 'hot'").count() > 256
+    plain, cut = number_rows(rows, ["k"], [F.col("o")], "n"), number_rows(rows, ["k"], [F.col("o")], "n", heavy)
+    assert plain.exceptAll(cut).isEmpty() and cut.count() == 42_000
