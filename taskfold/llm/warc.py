@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -93,21 +94,23 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Write the records of ``pages`` to files of about ``file_bytes``, each a run of captures sorted by URL and time.
+    """Write the records of ``pages`` to compressed files, each a run of captures sorted by URL key and time.
 
     Spark's text writer puts the two line ends after a record that the format asks for, and commits whole
-    files, so a task that is repeated leaves nothing behind.
+    files, so a task that is repeated leaves nothing behind. Files hold as many records as make about
+    ``file_bytes`` on average. Pages are shuffled once, by digest.
     """
-    total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string"))), F.count("*")).first()
-    files = max(1, -(-((total[0] or 0) + 600 * total[1]) // file_bytes))
-    own = records(pages, least_bytes).repartition(files, "page_id", "key").sortWithinPartitions("key", "date", "page_id")
-    most = max(1, 4 * total[1] // files)
+    html = F.col("html").cast("string")
+    total = pages.agg(F.sum(F.octet_length(html)), F.count("*")).first()
+    each = ((total[0] or 0) + 600 * total[1]) // max(1, total[1])
+    own = records(pages, least_bytes).sortWithinPartitions("key", "date", "page_id").select("record")
+    most = max(1, file_bytes // max(1, each))
     with shuffles_dropped(pages.sparkSession):
-        own.select("record").write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(path)
+        own.write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 def parsed(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record of an archive."""
+    """(offset, length, headers, block) of each record of an unpacked archive."""
     at = 0
     while at < len(content):
         head = content.index(END, at)
@@ -139,7 +142,7 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             rows = []
-            for offset, length, h, block in parsed(content.as_py()):
+            for offset, length, h, block in parsed(gzip.decompress(content.as_py())):
                 digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
                 if h["WARC-Type"] == "response":
                     payload = block[block.index(END) + len(END) :]
