@@ -2,60 +2,121 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from taskfold import fixed
 from taskfold.operators.skew import HEAVY_ROWS, find_heavy_keys, number_rows
 from taskfold.schema import FEATURE_BODY, PATCH, PATCH_NAMES, REMOVE, STORED_ORDER, UPDATE_DOC, UPDATE_LOG, UPSERT
 
+_LISTS = ("tags", "files_involved")  # fields of a change that hold lists
+
 
 def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """JSON files of change documents; malformed input fails the job."""
-    reader = spark.read.schema(UPDATE_DOC).option("mode", "FAILFAST")
-    return with_empty_lists(reader.option("multiLine", multi_line).json(path))
+    """Files of change documents, one a file, or one a line without ``multi_line``; an invalid one fails the job."""
+    return parse_documents(spark.read.text(path, wholetext=multi_line), "value")
 
 
 def parse_documents(texts: DataFrame, column: str = "json") -> DataFrame:
-    """Parse a text column strictly; blank or malformed text fails the job."""
-    text = F.col(column)
-    parsed = F.from_json(
-        F.when(F.trim(text) == "", F.raise_error(F.lit("No input provided"))).otherwise(text),
-        UPDATE_DOC,
-        {"mode": "FAILFAST"},
-    )
+    """Parse a text column strictly: any structural error of :func:`document_errors` fails the job."""
     others = [c for c in texts.columns if c != column]
-    return with_empty_lists(texts.select(*others, parsed.alias("_doc")).select(*others, "_doc.*"))
+    found = checked_documents(texts, column)
+    failed = F.raise_error(F.concat(F.lit("invalid document: "), F.col("error")))
+    kept = found.filter(F.when(F.col("error").isNull(), True).otherwise(failed.cast("boolean")))
+    return kept.select(*others, *UPDATE_DOC.fieldNames())
+
+
+def checked_documents(texts: DataFrame, column: str = "json") -> DataFrame:
+    """All columns, ``error`` and those of a document; an invalid text has its error and null or empty fields."""
+    checked = texts.withColumn("error", _structural_error(F.col(column)))
+    text = F.when(F.col("error").isNull(), F.col(column)).otherwise("{}")
+    parsed = checked.withColumn("_doc", F.from_json(text, UPDATE_DOC))
+    return with_empty_lists(parsed.select(*checked.columns, "_doc.*"))
 
 
 def document_errors(texts: DataFrame, column: str = "json") -> DataFrame:
     """Add ``error``: why a text is not a valid document, or null.
 
-    A missing list means an empty one, but an explicit ``null`` list is an error, as are a change without
-    an id and a status spelled in any other way than the stored ones.
+    A text is one JSON object, without a repeated key and with nothing after it. A missing list means an
+    empty one, but an explicit ``null`` list is an error, as are a value of another type than its field's, a
+    change without an id and a status spelled in any other way than the stored ones. Optional fields of a
+    change may be null; entries of their lists may not.
     """
     raw = F.col(column)
-    tree = F.try_parse_json(raw)
     doc = F.from_json(raw, UPDATE_DOC)
-    explicit_null = lambda key: F.coalesce(
-        F.is_variant_null(F.try_variant_get(tree, f"$.{key}", "variant")), F.lit(False)
-    )
-    is_object = F.coalesce(F.schema_of_variant(tree).startswith("OBJECT"), F.lit(False))
     no_id = F.exists(doc["features"], lambda p: p.isNull() | p["id"].isNull())
     odd_status = F.exists(
         doc["features"], lambda p: p["status"].isNotNull() & ~p["status"].isin(*fixed.STATUSES)
     )
     null_id = F.exists(doc["remove_features"], lambda r: r.isNull())
     yes = lambda c: F.coalesce(c, F.lit(False))
-    error = (
-        F.when(F.trim(raw) == "", "blank input")
-        .when(tree.isNull() | ~is_object, "malformed document")
-        .when(explicit_null("features") | explicit_null("remove_features"), "null list")
-        .when(yes(no_id) | yes(null_id), "change without id")
-        .when(yes(odd_status), "unknown status")
+    error = F.coalesce(
+        _structural_error(raw),
+        F.when(yes(no_id) | yes(null_id), "change without id").when(yes(odd_status), "unknown status"),
     )
     return texts.withColumn("error", error)
 
 
+def _structural_error(raw: Column) -> Column:
+    """What is wrong with a text before its changes are looked at; null if nothing is.
+
+    Spark's parsers stop at the end of the first value. Text that is one value is so inside an array and inside
+    an object, which no text with something behind its first value can be.
+    """
+    tree = F.try_parse_json(raw)
+    in_array = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
+    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), raw, F.lit("}")))
+    one_value = tree.isNotNull() & in_object.isNotNull() & F.coalesce(F.size(in_array) == 1, F.lit(False))
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
+    at = lambda v, field: F.try_variant_get(v, f"$.{field}", "variant")
+    listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    is_null = lambda v: v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))
+
+    def of(value: Column, *kinds: str) -> Column:
+        return kind(value).isin("ABSENT", "VOID", *kinds)
+
+    def strings(value: Column, null_allowed: bool) -> Column:
+        entry = (lambda v: is_null(v) | (kind(v) == "STRING")) if null_allowed else (lambda v: kind(v) == "STRING")
+        return of(value) | F.coalesce(F.forall(listed(value), entry), F.lit(False))
+
+    def change(value: Column) -> Column:
+        texts = of(at(value, "id"), "STRING")
+        for field in PATCH_NAMES:
+            texts = texts & (strings(at(value, field), False) if field in _LISTS else of(at(value, field), "STRING"))
+        return is_null(value) | (kind(value).startswith("OBJECT") & texts)
+
+    features, removals = at(tree, "features"), at(tree, "remove_features")
+    typed = (
+        of(at(tree, "project_id"), "STRING")
+        & of(at(tree, "batch_seq"), "BIGINT")
+        & of(at(tree, "batch_ts"), "BIGINT")
+        & ((kind(features) == "ABSENT") | F.coalesce(F.forall(listed(features), change), F.lit(False)))
+        & strings(removals, True)
+    )
+    return (
+        F.when(raw.isNull() | (F.trim(raw) == ""), "blank input")
+        .when(~one_value | ~kind(tree).startswith("OBJECT"), "malformed document")
+        .when((kind(features) == "VOID") | (kind(removals) == "VOID"), "null list")
+        .when(~typed, "wrong type")
+    )
+
+
+def stamped(documents: DataFrame, project_id: str, batch_ts: int, first_seq: int) -> DataFrame:
+    """Documents as users write them, which name no project, number or time, as arrivals of one project.
+
+    ``documents`` has ``arrival``, a column to number them by from ``first_seq`` on; values must differ.
+    """
+    numbered = documents.drop("project_id", "batch_seq", "batch_ts").withColumn(
+        "batch_seq", F.lit(first_seq - 1) + F.row_number().over(Window.orderBy("arrival"))
+    )
+    stamps = numbered.withColumn("project_id", F.lit(project_id)).withColumn("batch_ts", F.lit(batch_ts).cast("long"))
+    return stamps.select(*[F.col(f.name).cast(f.dataType) for f in UPDATE_DOC])
+
+
+def repeated_numbers(documents: DataFrame) -> DataFrame:
+    """(project_id, batch_seq, n_documents) of numbers that two documents of a project share: an error to replay."""
+    return documents.groupBy("project_id", "batch_seq").agg(F.count("*").alias("n_documents")).filter("n_documents > 1")
+
+
 def with_empty_lists(documents: DataFrame) -> DataFrame:
     """Absent lists become empty ones."""
     return documents.withColumns(

@@ -25,6 +25,15 @@ def merged_by_batches(
     return merge.current(spark, root, lenient=lenient)
 
 
+def rejects_of_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Feed lines of text (``value``) to a lenient merge and read what it rejected."""
+    root = scratch_path(spark, "registry")
+    lines.write.text(f"{root}/inbox")
+    stream = merge.document_stream(spark, f"{root}/inbox")
+    merge.merge_stream(stream, root, f"{root}/checkpoint", lenient=True).awaitTermination()
+    return merge.rejected(spark, root)
+
+
 def merged_by_keyed_state(spark: SparkSession, arrivals: list[DataFrame], as_of: int) -> DataFrame:
     """The same through the state store and its change feed, kept in a Parquet sink."""
     root = scratch_path(spark, "feed")

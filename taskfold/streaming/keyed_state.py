@@ -39,7 +39,12 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def change_feed(documents: DataFrame) -> DataFrame:
-    """Turn a stream of change documents into the stream of resulting item states."""
+    """Turn a stream of change documents into the stream of resulting item states.
+
+    Lines that are no documents name no project; they are left to the merge's folder of rejects.
+    """
+    if "error" in documents.columns:
+        documents = documents.filter("error IS NULL")
     # Lists travel as JSON: a field that is not provided is simply absent there.
     slim = documents.select(
         "project_id",
@@ -92,10 +97,10 @@ def _processor() -> StatefulProcessor:
             """Items after the document (None: removed). Raises, changing nothing, if it is invalid."""
             changed = {}
             for pos, patch in enumerate(json.loads(doc.features)):
-                item = patch.get("id")
-                given = {name: patch[name] for name in patch_names if patch.get(name) is not None}
+                item = None if patch is None else patch.get("id")
                 if item is None:
                     raise ValueError("change without id")
+                given = {name: patch[name] for name in patch_names if patch.get(name) is not None}
                 if given.get("status", statuses[0]) not in statuses:
                     raise ValueError(f"unknown status '{given['status']}'")
                 old = changed[item] if item in changed else self.stored(item)
@@ -107,6 +112,8 @@ def _processor() -> StatefulProcessor:
                            "ord_batch": doc.batch_seq, "ord_pos": pos}
                 changed[item] = {**old, **given, "last_updated": doc.batch_ts}
             for item in json.loads(doc.removals):
+                if item is None:
+                    raise ValueError("change without id")
                 changed[item] = None
             return changed
 

@@ -15,7 +15,7 @@ from taskfold import fixed
 from taskfold.operators.changelog import bad_status_documents, first_bad_documents, project_clock, replay
 from taskfold.operators.lenient import replay_lenient
 from taskfold.schema import UPDATE_DOC
-from taskfold.sources.documents import flatten_documents, with_empty_lists
+from taskfold.sources.documents import checked_documents, flatten_documents
 from taskfold.sources.snapshots import committed, create_registry, load_snapshot, save_snapshot
 
 
@@ -24,13 +24,13 @@ class InvalidDocument(ValueError):
 
 
 def document_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """JSON-lines files of change documents, as they arrive."""
-    return with_empty_lists(
-        spark.readStream.schema(UPDATE_DOC)
-        .option("mode", "FAILFAST")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(folder)
-    )
+    """Files with a change document on each line, as they arrive: its text, ``error`` and the document's columns.
+
+    Lines are read as text and parsed strictly, so one that is no document reaches the sink with its error
+    instead of stopping the stream in the reader.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    return checked_documents(lines.withColumnRenamed("value", "json"))
 
 
 def merge_stream(
@@ -38,14 +38,25 @@ def merge_stream(
 ) -> StreamingQuery:
     """Start merging what has arrived into the registry at ``root`` (created when missing).
 
-    Snapshot N holds the first N micro-batches. With ``lenient`` invalid documents are skipped;
-    otherwise the first one stops the stream before its micro-batch is stored.
+    Snapshot N holds the first N micro-batches. With ``lenient`` invalid documents are skipped, and those that
+    cannot be read are kept in the folder ``rejected`` of the micro-batch; otherwise the first one stops the
+    stream before its micro-batch is stored.
     """
     create_registry(documents.sparkSession, f"{root}/snapshots")
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        if not lenient:
+        arrived = f"{root}/arrived/epoch={epoch}"
+        batch.write.mode("overwrite").parquet(arrived)  # parsed once, for all that follows
+        batch = spark.read.schema(batch.schema).parquet(arrived)
+        unread = batch.filter("error IS NOT NULL").select("json", "error")
+        batch = batch.filter("error IS NULL").select(*UPDATE_DOC.fieldNames())
+        if lenient:
+            unread.write.mode("overwrite").parquet(f"{root}/rejected/epoch={epoch}")
+        else:
+            first = unread.first()
+            if first is not None:
+                raise InvalidDocument(f"{first['error']}: {first['json'][:200]}")
             log = flatten_documents(batch)
             odd = bad_status_documents(log).first()
             if odd is not None:
@@ -67,6 +78,12 @@ def merge_stream(
     )
 
 
+def rejected(spark: SparkSession, root: str) -> DataFrame:
+    """(epoch, json, error) of all lines that a lenient merge could not read."""
+    folder = spark.read.schema("json string, error string, epoch long")
+    return folder.option("basePath", f"{root}/rejected").parquet(f"{root}/rejected").select("epoch", "json", "error")
+
+
 def current(
     spark: SparkSession, root: str, batches: int | None = None, lenient: bool = False, rebuild: bool = False
 ) -> DataFrame:

@@ -37,10 +37,31 @@ def test_errors(spark):
         '{"features": [{"id": "a", "status": "complete"}]}': "unknown status",
         '{"features": [{"id": "a", "tags": null, "context": null}]}': None, '{"remove_features": [null]}': "change without id",
     }
+    cases |= {
+        '{"features": []} trailing': "malformed document", '{}{}': "malformed document", '{}],[{}': "malformed document",
+        '{"features": [], "features": []}': "malformed document", '{"features": {}}': "wrong type", '{"features": [1]}': "wrong type",
+        '{"features": [{"id": 1}]}': "wrong type", '{"remove_features": [1]}': "wrong type", '{"remove_features": "x"}': "wrong type",
+        '{"features": [{"id": "a", "tags": "x"}]}': "wrong type", '{"features": [{"id": "a", "tags": ["x", 1]}]}': "wrong type",
+        '{"features": [{"id": "a", "tags": ["x", null]}]}': "wrong type", '{"features": [{"id": "a", "files_involved": [], "tags": ["x"]}]}': None,
+        '{"features": [{"id": "a", "description": {}}]}': "wrong type", '{"batch_seq": "1"}': "wrong type", '{"features": [null]}': "change without id",
+    }
     got = {r.json: r.error for r in documents.document_errors(texts(spark, *cases)).collect()}
     assert got == cases
 
 
+def test_parse_refuses_what_the_check_refuses(spark):
+    for bad in ('{"features": null}', '{} x', '{"features": [{"id": 1}]}', '{"features": [{"id": "a", "tags": "x"}]}', "[{}, {}]", ""):
+        with pytest.raises(Exception, match="invalid document"):
+            documents.parse_documents(texts(spark, bad)).collect()
+
+
+def test_stamped(spark):
+    plain = documents.parse_documents(texts(spark, {"features": [FULL]}, {"features": [{"id": "door", "status": "Complete"}]}).selectExpr("json", "length(json) AS arrival"))
+    docs = documents.stamped(plain, "p", 77, 5)
+    assert sorted((r.project_id, r.batch_seq, r.batch_ts) for r in docs.collect()) == [("p", 5, 77), ("p", 6, 77)]
+    assert documents.repeated_numbers(docs).isEmpty() and documents.repeated_numbers(docs.union(docs)).count() == 2
+
+
 def test_flatten(spark):
     docs = model.spark_documents(spark, [{"project_id": "p", "batch_seq": 4, "batch_ts": 9,
                                           "features": [FULL, {"id": "b", "tags": []}], "remove_features": ["c", "c"]}])
