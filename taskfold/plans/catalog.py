@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from taskfold.functions import paths, text
 from taskfold.functions.recency import percent_label, recency_score
@@ -12,7 +12,7 @@ from taskfold.operators import changelog, housekeeping, inventory, lenient, many
 from taskfold.plans import standins as st
 from taskfold.schema import FEATURE, FEATURE_BODY, KEY, PATCH_NAMES, STORED_ORDER
 from taskfold.session import scratch_path
-from taskfold.sources import documents, snapshots
+from taskfold.sources import documents, listings, snapshots
 from taskfold.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,7 +113,7 @@ def search_many_queries(spark, sf):
 
 @query
 def search_many_queries_by_gram(spark, sf):
-    """The same through the join used for query tables too large to ship."""
+    """The same; kept under its former name, as there is one way now."""
     return many_search.search_many(st.features(spark, sf), st.search_queries(spark, sf))
 
 
@@ -218,18 +218,57 @@ def parse_and_flatten_documents(spark, sf):
     )
 
 
+#: Texts by event_id % 16, with the event's user in them; most are broken in one way.
+_TEXTS = (
+    "  ",
+    '{"features": [',
+    '{"features": null}',
+    '{"features": [{"name": "x@"}]}',
+    "{}",
+    '{"features": [{"id": "f-@", "status": "complete"}]}',
+    '{"remove_features": null}',
+    "[1]",
+    '{"features": [{"id": "f-@", "status": "Complete", "tags": ["t@"], "context": null}]}',
+    '{"features": [{"id": @}]}',
+    '{"features": [{"id": "f-@", "tags": "t@"}]}',
+    '{"features": [{"id": "f-@"}]} @',
+    '{"features": {"id": "f-@"}}',
+    '{"remove_features": ["f-@", null]}',
+    '{"features": [], "features": [{"id": "f-@"}]}',
+    '{"features": [{"id": "f-@", "files_involved": ["a", @]}]}',
+)
+
+
+def _event_texts(spark, sf):
+    texts = F.element_at(F.array(*[F.lit(t) for t in _TEXTS]), (F.col("event_id") % 16 + 1).cast("int"))
+    user = F.col("user_id").cast("string")
+    return st.table(spark, sf, "events").select("event_id", F.replace(texts, F.lit("@"), user).alias("json"))
+
+
 @query
 def document_errors(spark, sf):
-    """Texts made of the event table, some of them broken in one of the ways a document can be."""
-    texts = st.table(spark, sf, "events").selectExpr(
-        "event_id",
-        "CASE event_id % 9 WHEN 0 THEN '  ' WHEN 1 THEN '{\"features\": [' WHEN 2 THEN '{\"features\": null}'"
-        " WHEN 3 THEN '{\"features\": [{\"name\": \"x\"}]}' WHEN 4 THEN '{}'"
-        " WHEN 5 THEN concat('{\"features\": [{\"id\": \"f-', user_id, '\", \"status\": \"complete\"}]}')"
-        " WHEN 6 THEN '{\"remove_features\": null}' WHEN 7 THEN '[1]'"
-        " ELSE concat('{\"features\": [{\"id\": \"f-', user_id, '\", \"status\": \"Complete\"}]}') END AS json",
+    """Texts made of the event table, varied over every way in which a document can be broken."""
+    return documents.document_errors(_event_texts(spark, sf)).select("event_id", "error")
+
+
+@query
+def stream_rejects(spark, sf):
+    """The lines that a lenient merge of all these texts keeps apart."""
+    lines = _event_texts(spark, sf).filter("event_id % 16 NOT IN (3, 5, 8, 13)").select(F.col("json").alias("value"))
+    return feeds.rejects_of_lines(spark, lines).groupBy("json", "error").agg(F.count("*").alias("n"))
+
+
+@query
+def ingest_plain_documents(spark, sf):
+    """Documents that name no project, number or time, stamped as arrivals of one project and replayed."""
+    creation = F.format_string(
+        '{"features": [{"id": "f-%d", "name": "n%d", "domain": "d", "description": "e%d"}, {"id": "f-%d", "tags": ["t"]}]}',
+        *[F.col(c) for c in ("user_id", "user_id", "event_id", "user_id")],
     )
-    return documents.document_errors(texts).select("event_id", "error")
+    texts = st.table(spark, sf, "events").filter("event_type = 'purchase'").select(creation.alias("json"), F.col("event_id").alias("arrival"))
+    docs = documents.stamped(documents.parse_documents(texts), "inbox", st.AS_OF, 1)
+    merged = changelog.replay(_empty(spark), documents.flatten_documents(docs), st.AS_OF)
+    return merged.select(*KEY, "name", "description", F.array_join("tags", ",").alias("tags"), "created_at", "status")
 
 
 @query
@@ -318,6 +357,42 @@ def mark_complete(spark, sf):
     return done.select(*KEY, "status", "last_updated")
 
 
+@query
+def touch_items(spark, sf):
+    return changelog.touch(st.features(spark, sf), F.col("status") == "Blocked", st.AS_OF).select(*KEY, "last_updated")
+
+
+def _with_positions(ordered: DataFrame, project: str) -> DataFrame:
+    """Places in a project, from 1, as the rows of a sorted table come."""
+    here = Window.partitionBy(project).orderBy("_come")
+    return ordered.withColumn("_come", F.monotonically_increasing_id()).withColumn("position", F.row_number().over(here).cast("long"))
+
+
+@query
+def search_in_stored_order(spark, sf):
+    hits = search.in_stored_order(search.search(st.features(spark, sf), keyword="eau"))
+    return _with_positions(hits, "project_id").select(*KEY, "position")
+
+
+@query
+def sorted_by_recency(spark, sf):
+    return _with_positions(report.sorted_by_recency(st.features(spark, sf)), "project_id").select(*KEY, "position")
+
+
+@query
+def suggestions_in_order(spark, sf):
+    ordered = inventory.in_suggestion_order(inventory.suggested_features(st.file_listing(spark, sf)))
+    return _with_positions(ordered, "project_id").select("project_id", "source_root", "suggested_id", "position")
+
+
+@query
+def stored_listing(spark, sf):
+    """A manifest written and read back."""
+    path = scratch_path(spark, "manifest")
+    st.file_listing(spark, sf).write.parquet(path)
+    return listings.read_listing(spark, path)
+
+
 @query
 def lenient_replay(spark, sf):
     """Invalid documents of many changes are skipped as a whole."""

@@ -256,9 +256,39 @@ def statements() -> dict[str, str]:
             UNION ALL
             SELECT project_id, pos, batch_ts, 0, 1, id || '-copy', name, NULL, NULL, NULL, array_to_string(tags, ','), NULL, NULL
             FROM u WHERE op_rank = 0""",
-        "document_errors": """SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'blank input' WHEN 1 THEN 'malformed document'
+        "document_errors": """SELECT event_id, CASE event_id % 16 WHEN 0 THEN 'blank input' WHEN 1 THEN 'malformed document'
             WHEN 2 THEN 'null list' WHEN 3 THEN 'change without id' WHEN 5 THEN 'unknown status' WHEN 6 THEN 'null list'
-            WHEN 7 THEN 'malformed document' END AS error FROM events""",
+            WHEN 7 THEN 'malformed document' WHEN 9 THEN 'wrong type' WHEN 10 THEN 'wrong type' WHEN 11 THEN 'malformed document'
+            WHEN 12 THEN 'wrong type' WHEN 13 THEN 'change without id' WHEN 14 THEN 'malformed document' WHEN 15 THEN 'wrong type'
+            END AS error FROM events""",
+        "stream_rejects": """WITH t AS (SELECT CASE event_id % 16 WHEN 0 THEN '  ' WHEN 1 THEN '{"features": [' WHEN 2 THEN '{"features": null}'
+              WHEN 6 THEN '{"remove_features": null}' WHEN 7 THEN '[1]' WHEN 9 THEN concat('{"features": [{"id": ', user_id, '}]}')
+              WHEN 10 THEN concat('{"features": [{"id": "f-', user_id, '", "tags": "t', user_id, '"}]}')
+              WHEN 11 THEN concat('{"features": [{"id": "f-', user_id, '"}]} ', user_id)
+              WHEN 12 THEN concat('{"features": {"id": "f-', user_id, '"}}')
+              WHEN 14 THEN concat('{"features": [], "features": [{"id": "f-', user_id, '"}]}')
+              WHEN 15 THEN concat('{"features": [{"id": "f-', user_id, '", "files_involved": ["a", ', user_id, ']}]}') END AS json,
+            CASE WHEN event_id % 16 = 0 THEN 'blank input' WHEN event_id % 16 IN (1, 7, 11, 14) THEN 'malformed document'
+              WHEN event_id % 16 IN (2, 6) THEN 'null list' ELSE 'wrong type' END AS error
+            FROM events WHERE event_id % 16 NOT IN (3, 4, 5, 8, 13)) SELECT json, error, count(*) AS n FROM t GROUP BY json, error""",
+        "ingest_plain_documents": f"""SELECT 'inbox' AS project_id, concat('f-', user_id) AS id, concat('n', user_id) AS name,
+            concat('e', max(event_id)) AS description, 't' AS tags, {AS_OF}::bigint AS created_at, 'Pending' AS status
+            FROM events WHERE event_type = 'purchase' GROUP BY user_id""",
+        "touch_items": _features(
+            f"SELECT project_id, id, CASE WHEN status = 'Blocked' THEN {AS_OF}::bigint ELSE last_updated END AS last_updated FROM f"
+        ),
+        "search_in_stored_order": _features(
+            "SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY ord_batch, ord_pos) AS position FROM f "
+            f"WHERE {keyword(chr(39) + 'eau' + chr(39))}"
+        ),
+        "sorted_by_recency": _features(
+            "SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY recency_score DESC, ord_batch, ord_pos) AS position FROM f"
+        ),
+        "suggestions_in_order": _listing(
+            "SELECT project_id, source_root, suggested_id, row_number() OVER (PARTITION BY project_id "
+            "ORDER BY suggested_id, list_position(['src', 'lib', 'app', 'pkg'], source_root)) AS position FROM big"
+        ),
+        "stored_listing": _listing("SELECT project_id, path FROM p"),
         "bad_status_documents": f"""WITH {RAW_LOG} SELECT DISTINCT project_id, batch_seq FROM u
             WHERE status IS NOT NULL AND pos % 17 = 0""",
         "invalid_creations": f"WITH {RAW_LOG}, {OPENERS} SELECT * FROM bad",
