@@ -89,24 +89,29 @@ class Templates:
         return [x for x, i, j in zip(found, *at) if j > i]
 
 
-def matches_of(t: Templates, shingles: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
-    """(template, first shingle, last shingle, containment) in one text; of overlapping places the fullest."""
-    at = np.minimum(np.searchsorted(t.known, shingles), len(t.known) - 1)
-    hits = np.flatnonzero(t.known[at] == shingles)
-    best: dict[int, list[tuple[int, int, int, float]]] = defaultdict(list)
-    if not len(hits):
-        return []
-    for m, table_of in t.classes.items():
-        windows = t.windows(m, len(shingles), hits)
-        if not windows:
-            continue
-        for (a, b), own in zip(windows, t.buckets([np.unique(shingles[a:b]) for a, b in windows])):
-            for template in {x for bucket in own.tolist() for x in table_of.get(bucket, ())}:
-                inside = np.isin(shingles[a:b], t.sets[template])
-                share = len(np.unique(shingles[a:b][inside])) / len(t.sets[template])
-                if share >= least:
-                    places = a + np.flatnonzero(inside)
-                    best[template].append((template, int(places[0]), int(places[-1]), share))
+def matches_of(t: Templates, texts: list[np.ndarray], least: float) -> list[list[tuple[int, int, int, float]]]:
+    """(template, first shingle, last shingle, containment) in each text, given by its shingles in order; of
+    overlapping places the fullest. The windows of all texts are sketched together."""
+    windows: list[tuple[int, int, int, int]] = []  # text, size class, first shingle, end
+    for i, shingles in enumerate(texts):
+        at = np.minimum(np.searchsorted(t.known, shingles), len(t.known) - 1)
+        hits = np.flatnonzero(t.known[at] == shingles)
+        if len(hits):
+            windows += [(i, m, a, b) for m in t.classes for a, b in t.windows(m, len(shingles), hits)]
+    best: list[dict[int, list[tuple[int, int, int, float]]]] = [defaultdict(list) for _ in texts]
+    buckets = t.buckets([np.unique(texts[i][a:b]) for i, _, a, b in windows]).tolist() if windows else ()
+    for (i, m, a, b), own in zip(windows, buckets):
+        table_of = t.classes[m]
+        for template in {x for bucket in own for x in table_of.get(bucket, ())}:
+            inside = np.isin(texts[i][a:b], t.sets[template])
+            share = len(np.unique(texts[i][a:b][inside])) / len(t.sets[template])
+            if share >= least:
+                places = a + np.flatnonzero(inside)
+                best[i][template].append((template, int(places[0]), int(places[-1]), share))
+    return [_apart(found) for found in best]
+
+
+def _apart(best: dict[int, list[tuple[int, int, int, float]]]) -> list[tuple[int, int, int, float]]:
     out = []
     for found in best.values():
         found.sort(key=lambda x: (-x[3], x[2] - x[1], x[1]))
@@ -150,10 +155,12 @@ def scanned(
                 s, of, word = s[order], of[order], word[order]
                 near = np.minimum(np.searchsorted(t.known, s), max(0, len(t.known) - 1))
                 found: list[list] = [[] for _ in range(end - first)]
-                for i in np.unique(of[t.known[near] == s]).tolist() if len(t.known) else ():
-                    low, high = np.searchsorted(of, [i, i + 1])
+                some = np.unique(of[t.known[near] == s]) if len(t.known) else np.empty(0, np.int64)
+                lows, highs = np.searchsorted(of, some), np.searchsorted(of, some + 1)
+                matches = matches_of(t, [s[a:b] for a, b in zip(lows, highs)], least)
+                for i, low, own in zip(some.tolist(), lows, matches):
                     text = data[offsets[i] : offsets[i + 1]]
-                    for template, a, b, share in matches_of(t, s[low:high], least):
+                    for template, a, b, share in own:
                         last = min(word[low + b] + t.k - 1, np.searchsorted(owner, i, "right") - 1)
                         from_, to = start[word[low + a]] - offsets[i], stop[last] - offsets[i]
                         chars = [int(((text[:x] & 0xC0) != 0x80).sum()) for x in (from_, to)]
