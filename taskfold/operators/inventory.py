@@ -181,7 +181,8 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
     A project with up to ``entries_per_document`` entries (suggestion files, extensions, directories) is
     one document, part 0. The entries of a bigger one are spread over several parts of about that size
     by hash, so no task nests more than a part; a sub-directory stays whole unless it is bigger than a
-    part itself. ``root`` and ``total_files`` are in every part.
+    part itself. ``root`` and ``total_files`` are in every part, and where there is more than one, so are
+    ``part`` and ``parts``: its number and how many there are.
     """
     # Used several times below; written once, it leaves two scans of the listing: for counts and for files.
     counts = stored(_counts(listing), "profile")
@@ -237,7 +238,7 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
     )
     # Every part is there, also one that got no entries.
     every = F.sequence(F.lit(0).cast("long"), F.col("_parts") - F.lit(1).cast("long"))
-    frame = headers.select(PROJECT, F.explode(every).alias("part"), "total_files")
+    frame = headers.select(PROJECT, F.explode(every).alias("part"), "total_files", "_parts")
     entries = suggestions.unionByName(others, allowMissingColumns=True).unionByName(frame, allowMissingColumns=True)
     report = F.struct(
         F.col(PROJECT).alias("root"),
@@ -245,6 +246,8 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
         F.sort_array("_dir").alias("directories"),
         F.transform(F.sort_array("_sugg"), lambda s: s["body"]).alias("potential_features"),
         "total_files",
+        F.when(F.col("_parts") > 1, F.col("part")).alias("part"),
+        F.when(F.col("_parts") > 1, F.col("_parts")).alias("parts"),
     )
     return (
         entries.groupBy(PROJECT, "part")
@@ -253,6 +256,7 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
             F.collect_list("_dir").alias("_dir"),
             F.collect_list("_sugg").alias("_sugg"),
             F.max("total_files").alias("total_files"),
+            F.max("_parts").alias("_parts"),
         )
         .select(PROJECT, "part", F.to_json(report).alias("json"))
     )

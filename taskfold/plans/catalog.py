@@ -291,7 +291,8 @@ def first_bad_documents(spark, sf):
 def fold_one_document(spark, sf):
     """Net patch of each item within each document."""
     return changelog.fold_document(st.raw_log(spark, sf)).selectExpr(
-        *KEY, "batch_seq", "n_patches", "removed", "name", "status", _LIST.format("tags"), "context"
+        *KEY, "batch_seq", "n_patches", "removed", "name", "status", _LIST.format("tags"), "context",
+        "domain", "description", _LIST.format("files_involved"),
     )
 
 
@@ -446,7 +447,8 @@ def state_documents(spark, sf):
         "project_id", "part", "d.project_name", F.posexplode_outer("d.features").alias("pos", "f")
     ).selectExpr(
         "project_id", "part", "project_name", "CAST(pos AS BIGINT) AS pos", "f.id", "f.name", "f.status", "f.context",
-        "array_join(f.tags, ',') AS tags", "f.created_at", "round(f.recency_score, 6) AS recency_score",
+        "array_join(f.tags, ',') AS tags", "f.created_at", "round(f.recency_score, 6) AS recency_score", "f.domain",
+        "f.description", "array_join(f.files_involved, ',') AS files_involved", "f.last_updated",
     )
 
 

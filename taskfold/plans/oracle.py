@@ -299,7 +299,10 @@ def statements() -> dict[str, str]:
               arg_max(name, pos) FILTER (op_rank = 0 AND name IS NOT NULL) AS name,
               arg_max(status, pos) FILTER (op_rank = 0 AND status IS NOT NULL) AS status,
               array_to_string(arg_max(tags, pos) FILTER (op_rank = 0 AND tags IS NOT NULL), ',') AS tags,
-              arg_max(context, pos) FILTER (op_rank = 0 AND context IS NOT NULL) AS context
+              arg_max(context, pos) FILTER (op_rank = 0 AND context IS NOT NULL) AS context,
+              arg_max(domain, pos) FILTER (op_rank = 0 AND domain IS NOT NULL) AS domain,
+              arg_max(description, pos) FILTER (op_rank = 0 AND description IS NOT NULL) AS description,
+              array_to_string(arg_max(files_involved, pos) FILTER (op_rank = 0 AND files_involved IS NOT NULL), ',') AS files_involved
             FROM up GROUP BY project_id, id, batch_seq""",
         "replay_log": f"WITH {CLEAN}, {registry()}",
         "replay_log_split_keys": f"WITH {CLEAN}, {registry()}",
@@ -326,7 +329,8 @@ def statements() -> dict[str, str]:
                         UNION ALL SELECT concat('region-', r_regionkey), r_name FROM region),
             num AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ord_batch, ord_pos) - 1 AS rn FROM f)
             SELECT project_id, coalesce(rn // 1000, 0)::bigint AS part, project_name, (rn % 1000)::bigint AS pos, id, name, status,
-                   context, array_to_string(tags, ',') AS tags, created_at, round(recency_score, 6) AS recency_score
+                   context, array_to_string(tags, ',') AS tags, created_at, round(recency_score, 6) AS recency_score,
+                   domain, description, array_to_string(files_involved, ',') AS files_involved, last_updated
             FROM pr LEFT JOIN num USING (project_id)"""
         ),
         "item_json": _features(

@@ -170,8 +170,8 @@ def state_documents(
     """(project_id, part, json): whole projects as nested documents, items in stored order.
 
     A project within the size limit is one document, part 0. A bigger one continues in further parts,
-    so that no task ever holds more than one part; together they hold every item. Projects without
-    items get a document with an empty list.
+    so that no document ever holds more than one part; together they hold every item, and each says its number
+    in ``part`` and how many there are in ``parts``. Projects without items get a document with an empty list.
     """
     order = [F.col(c) for c in STORED_ORDER]
     heavy = find_heavy_keys(features, ["project_id"], order, min_heavy_rows)
@@ -188,14 +188,15 @@ def state_documents(
     )
     nothing = F.array().cast(parts.schema["features"].dataType)
     # An inner join and an anti join: unlike one outer join, both let Spark split a big project.
-    filled = parts.join(projects, "project_id")
+    sizes = features.groupBy("project_id").agg(F.ceil(F.count("*") / features_per_document).cast("long").alias("parts"))
+    filled = parts.join(projects.join(sizes, "project_id"), "project_id")
     empty = projects.join(features.select("project_id").distinct(), "project_id", "left_anti").select(
-        "*", F.lit(0).cast("long").alias("part"), nothing.alias("features")
-    )
-    document = F.struct("project_name", "features", "created_at", "last_updated")
-    return filled.unionByName(empty).select(
-        "project_id", "part", F.to_json(document, {"ignoreNullFields": "false"}).alias("json")
+        "*", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), nothing.alias("features")
     )
+    fields = ["project_name", "features", "created_at", "last_updated"]
+    nulls = {"ignoreNullFields": "false"}
+    whole, piece = F.to_json(F.struct(*fields), nulls), F.to_json(F.struct(*fields, "part", "parts"), nulls)
+    return filled.unionByName(empty).select("project_id", "part", F.when(F.col("parts") > 1, piece).otherwise(whole).alias("json"))
 
 
 def write_json_rows(features: DataFrame, path: str) -> None:

@@ -107,6 +107,7 @@ def test_state_documents_in_parts(registry, projects, min_heavy_rows):
     rows = documents.state_documents(registry, projects, 4, min_heavy_rows).orderBy("project_id", "part").collect()
     parts = [[f["id"] for f in json.loads(r.json)["features"]] for r in rows if r.project_id == "q"]
     assert [len(p) for p in parts] == [4, 4, 4, 3]
+    assert [(json.loads(r.json)["part"], json.loads(r.json)["parts"]) for r in rows if r.project_id == "q"] == [(i, 4) for i in range(4)]
     assert sum(parts, []) == [f"i{b}-{k}" for b in range(1, 4) for k in range(5)]
 
 

@@ -95,6 +95,7 @@ def test_reports_in_parts_hold_everything(listing, projects):
         e = brute(fs)
         docs = [json.loads(r.json) for r in rows if r.project_id == p]
         assert {d["total_files"] for d in docs} == {e["total_files"]}
+        assert {d.get("parts", 1) for d in docs} == {len(docs)} and {d.get("part", 0) for d in docs} == set(range(len(docs)))
         assert Counter(k for d in docs for k in d["languages"].items()) == Counter(e["languages"].items())
         assert sorted(x for d in docs for x in d["directories"]) == e["directories"]
         files = sorted(f for d in docs for s in d["potential_features"] for f in s["files"])
