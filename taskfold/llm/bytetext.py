@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # small enough for the working arrays to stay in the processor's cache
 U = np.uint64
 #: Lower case for A-Z alone.
 LOWER = np.arange(256, dtype=np.uint8)

@@ -27,8 +27,8 @@ U = np.uint64
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # windows around an anchor begin up to this many bytes before it
 KEY = LENGTH + REACH + 2  # right context, left context outwards, and how much of both there is
-PIECE = 4 << 20
-ASK_ROWS, RUN_ROWS = 1_000_000, 200_000
+PIECE = bt.SLICE_BYTES
+ASK_ROWS, RUN_ROWS = 400_000, 100_000
 _MAX = U(2**64 - 1)
 
 
@@ -77,7 +77,8 @@ _ASKED = "part long, doc_id long, keys binary, docs binary, numbers array<int>"
 
 def _asker(parts: int):
     """Rows of two kinds. With a doc_id: numbers of its anchors that another document of this task has too.
-    With a part: the anchors of the task for which that part's hashes are to tell, one for each hash."""
+    With a part: the anchors of the task for which that part's hashes are to tell; one for each of those hashes, and
+    all of a document that alone has a hash here."""
 
     def flush(found: list) -> Iterator[dict]:
         h, doc, number = (np.concatenate(x) for x in zip(*found))
@@ -90,9 +91,10 @@ def _asker(parts: int):
         by_doc = np.flatnonzero(repeated)[np.argsort(doc[repeated], kind="stable")]
         for own in np.split(by_doc, np.flatnonzero(np.diff(doc[by_doc])) + 1) if len(by_doc) else ():
             yield {"part": None, "doc_id": int(doc[own[0]]), "keys": None, "docs": None, "numbers": number[own]}
-        part = ((h[first] >> U(31)) * U(parts) >> U(32)).astype(np.int64)
+        sent = np.flatnonzero(new | ~repeated)
+        part = ((h[sent] >> U(31)) * U(parts) >> U(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(part)) + 1
-        for own in np.split(first, cuts):
+        for own in np.split(sent, cuts):
             p = int((h[own[0]] >> U(31)) * U(parts) >> U(32))
             yield {"part": p, "doc_id": None, "keys": h[own].tobytes(), "docs": doc[own].tobytes(), "numbers": number[own]}
 
@@ -105,7 +107,7 @@ def _asker(parts: int):
                 _, h, owner = anchors(data, offsets)
                 found.append((h, ids[first:][owner], _numbers(owner)))
                 n += len(h)
-                if n > 3_000_000:
+                if n > 1_000_000:
                     yield pa.RecordBatch.from_pylist(list(flush(found)), schema)
                     found, n = [], 0
         if n:
@@ -266,7 +268,7 @@ def _runner(parts: int):
                         keys = contexts(data[offsets[i] : offsets[i + 1]], own)
                         found.append((keys, np.full(len(own), ids[first + i]), own))
                         n += len(own)
-                if n > 300_000:
+                if n > 150_000:
                     yield from flush(found)
                     found, n = [], 0
         if n:

@@ -61,6 +61,16 @@ def test_repeated_rows_and_empty(spark):
     assert sx.deduplicated(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_a_string_twice_in_the_later_document(spark):
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    s = some(80)
+    rows = [(i, some(300) + s + some(40) + (s + some(50)) * (i % 3)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    got = sx.deduplicated(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
 def test_windows_share_their_anchor():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 100, 30_000, dtype=np.uint8)
