@@ -164,20 +164,21 @@ SMALL_BUCKET = 128
 def _star_rounds(crowd: DataFrame, whole: DataFrame, least_percent: int) -> list[DataFrame]:
     """Which components each round joins (node, component), where a round's nodes are the components before it.
 
-    ``crowd``: bucket, rep, n (size of its set), size (of the bucket), comp (component of rep so far), own (elements
-    of its set known to be in no member of another component).
+    ``crowd``: bucket, rep, n (size of its set), size (of the bucket), comp (component of rep so far); from the
+    second round on also common (see ``_that_may_link``).
     """
     rounds, turn = [], 0
-    crowd = crowd.withColumn("own", F.lit(0).cast("long"))
     while True:
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(8**turn))
         if turn:
             slot = F.when(F.col("size") <= SMALL_BUCKET * 4 ** (turn - 1), F.col("rep")).otherwise(slot)
         picked = crowd.groupBy("bucket", slot.alias("slot")).agg(F.min("rep").alias("centre")).select("bucket", "centre")
-        centres = crowd.select("bucket", F.col("rep").alias("centre"), F.col("comp").alias("ccomp"), F.col("n").alias("cn"), F.col("own").alias("cown"))
+        more = [F.col("common").alias("ccommon")] if turn else []
+        centres = crowd.select("bucket", F.col("rep").alias("centre"), F.col("comp").alias("ccomp"), F.col("n").alias("cn"), *more)
         centres = picked.join(centres, ["bucket", "centre"])
-        # no more can be common, no less can be in either
-        possible = F.least(F.expr("n - own"), F.expr("cn - cown")) * 100 >= F.greatest(F.expr("n + cown"), F.expr("cn + own")) * least_percent
+        # more elements can't be common
+        most = F.expr("aggregate(zip_with(common, ccommon, (a, b) -> least(a, b)), 0L, (s, v) -> s + v)") if turn else F.least("n", "cn")
+        possible = most * 100 >= (F.col("n") + F.col("cn") - most) * least_percent
         pairs = (
             crowd.join(centres, "bucket")
             .filter((F.col("comp") != F.col("ccomp")) & possible)
@@ -212,22 +213,27 @@ def _in_open_buckets(crowd: DataFrame) -> DataFrame:
     return crowd.drop("size").join(still.filter("low < high").select("bucket", "size"), "bucket")
 
 
+#: Hash groups in which the elements that members may have in common are counted.
+GROUPS = 64
+
+
 def _that_may_link(crowd: DataFrame, whole: DataFrame, least_percent: int) -> DataFrame:
-    """The rows of members that may have a link to another component, with ``own``.
+    """The rows of members that may have a link to another component, with ``common``.
 
-    Own elements occur in the set of no open member of another component, so they are never common. Copies
-    with changes of their own are told apart by these without a comparison of each two.
+    An element that no open member of another component has is never common to a linked pair. ``common`` counts
+    the others of a set in GROUPS hash groups; two sets have at most the sum of the smaller counts in common. So
+    copies with changes of their own are told apart, exactly, without a look at their sets.
     """
     members = crowd.select("rep", "n", "comp").distinct()
     elements = members.join(whole.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", F.explode("shingles").alias("e"))
-    alone = elements.groupBy("e").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("rep"), F.count("*").alias("k"))
-    alone = alone.filter("low = high")
-    single = alone.filter("k = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    within = elements.join(alone.filter("k > 1").select("e"), "e").groupBy("rep").agg(F.count("*").alias("own"))
-    own = single.union(within).groupBy("rep").agg(F.sum("own").alias("own"))
-    able = members.select("rep", "n").join(own, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    able = able.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * least_percent)
-    return crowd.join(able.select("rep", "own"), "rep")
+    spread = elements.groupBy("e").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    group = F.pmod("e", F.lit(GROUPS)).cast("int").alias("g")
+    counts = elements.join(spread.select("e"), "e").groupBy("rep", group).agg(F.count("*").alias("c"))
+    each = F.map_from_entries(F.collect_list(F.struct("g", "c")))
+    common = counts.groupBy("rep").agg(F.sum("c").alias("all"), each.alias("by_group"))
+    able = members.select("rep", "n").join(common, "rep").filter(F.col("all") * 100 >= F.col("n") * least_percent)
+    filled = F.expr(f"transform(sequence(0, {GROUPS - 1}), g -> coalesce(by_group[g], 0L))")
+    return crowd.join(able.select("rep", filled.alias("common")), "rep")
 
 
 def op6_minhash_near_dedup(spark, sf_dir) -> DataFrame:
