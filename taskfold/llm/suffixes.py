@@ -28,7 +28,7 @@ LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # windows around an anchor begin up to this many bytes before it
 KEY = LENGTH + REACH + 2  # right context, left context outwards, and how much of both there is
 PIECE = bt.SLICE_BYTES
-ASK_ROWS, RUN_ROWS = 400_000, 100_000
+ASK_ROWS, RUN_ROWS = 250_000, 60_000
 _MAX = U(2**64 - 1)
 
 
@@ -107,7 +107,7 @@ def _asker(parts: int):
                 _, h, owner = anchors(data, offsets)
                 found.append((h, ids[first:][owner], _numbers(owner)))
                 n += len(h)
-                if n > 1_000_000:
+                if n > 500_000:
                     yield pa.RecordBatch.from_pylist(list(flush(found)), schema)
                     found, n = [], 0
         if n:
@@ -268,7 +268,7 @@ def _runner(parts: int):
                         keys = contexts(data[offsets[i] : offsets[i + 1]], own)
                         found.append((keys, np.full(len(own), ids[first + i]), own))
                         n += len(own)
-                if n > 150_000:
+                if n > 80_000:
                     yield from flush(found)
                     found, n = [], 0
         if n:
@@ -391,7 +391,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     dropped(asked)
     n = chosen.agg(F.sum(F.size("numbers"))).first()[0] or 0
     suffixes = stored(
-        texts.join(chosen, "doc_id").select("doc_id", "text", "numbers").mapInArrow(_runner(max(1, n // RUN_ROWS + 1)), _SUFFIXES_SQL), "suffixes"
+        texts.join(chosen.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "numbers").mapInArrow(_runner(max(1, n // RUN_ROWS + 1)), _SUFFIXES_SQL), "suffixes"
     )
     judged = suffixes.filter("part IS NOT NULL").groupBy("part").applyInArrow(_judged, "key long, least long, own long, others long")
     windows = F.expr("if(doc_id = least, own, others)")
@@ -399,7 +399,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "windows")).alias("found")), "found")
     dropped(suffixes, chosen)
 
-    cut = own.select("doc_id", "text").join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(_cut, _RESULT)
+    cut = own.select("doc_id", "text").join(found.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "found").mapInArrow(_cut, _RESULT)
     nothing = hashlib.sha256(b"").hexdigest()
     zero = F.lit(0).cast("long")
     long_copies = copies.filter(F.col("n_bytes") >= LENGTH).select("doc_id").distinct()

@@ -9,28 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taskfold.session import scratch_path
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is made: shuffle files go as soon as a job ends, as what it wrote is read again and never computed
+#: again; and texts, some of which are long, go to the Python workers a thousand at a time.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Jobs in here remove their shuffle files as they end: what they wrote is read again, never computed again."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def while_writing(spark: SparkSession) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in _WHILE_WRITING}
+    for key, value in _WHILE_WRITING.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: computed once, with no lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    with shuffles_dropped(spark):
+    with while_writing(spark):
         df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._llm_path = path

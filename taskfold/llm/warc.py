@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from taskfold.llm.loser_tree import merge
-from taskfold.llm.tables import shuffles_dropped, stored, table
+from taskfold.llm.tables import stored, table, while_writing
 from taskfold.session import scratch_path
 
 FILE_BYTES = 8 << 20
@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes
     each = ((total[0] or 0) + 600 * total[1]) // max(1, total[1])
     own = records(pages, least_bytes).sortWithinPartitions("key", "date", "page_id").select("record")
     most = max(1, file_bytes // max(1, each))
-    with shuffles_dropped(pages.sparkSession):
+    with while_writing(pages.sparkSession):
         own.write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
