@@ -226,7 +226,8 @@ def lexicon(
     """Words, and starts that many words share, that tell toxic documents from clean ones.
 
     Counted are the different words before a word where it first stands in a document, in toxic and in clean ones:
-    however long a toxic document is or however often it was copied, its own rare words gain no weight by it.
+    however long a toxic document is or however often it was copied, its own rare words gain no weight by it. A term
+    needs ``least`` of them, and as many as a fiftieth of the toxic documents.
     A start counts if at least five longer words have it, nine tenths of which are met more among toxic documents.
     Of a start and its continuations the shortest that is as telling is kept. Words that a term would match, but
     that clean documents use as much, are the exceptions.
@@ -235,6 +236,7 @@ def lexicon(
     contexts = contexts.agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
     words = contexts.groupBy("word").agg(F.count_if(F.col("low") == 0).alias("clean"), F.sum("high").alias("toxic"))
     words = stored(words, "words")
+    least = max(least, (sample.agg(F.sum("toxic")).first()[0] or 0) // 50)
     starts = (
         words.select(
             "*", F.explode(F.expr(f"sequence({LEAST_STEM}, least(12, greatest({LEAST_STEM}, length(word) - 1)))")).alias("n")
