@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from taskfold.llm import bytetext as bt
+from taskfold.llm.minhash import band_buckets, one_permutation
 from taskfold.llm.tables import dropped, stored, table
 
 _WORD = re.compile(r"[^\W_]+")
@@ -197,61 +200,128 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     ).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
-def _word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, word before, toxic), where a word first stands in a document."""
-    seen: tuple[set, set] = (set(), set())
+#: Bins of the sketch by which sampled texts are grouped; a group's texts agree with another of it in half of them.
+SKETCH_BINS = 64
 
-    def flush() -> pa.RecordBatch:
-        rows = [(w, b, t) for t in (0, 1) for w, b in seen[t]]
-        for s in seen:
-            s.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))],
-            ["word", "before", "toxic"],
-        )
 
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, MinHash sketch of the pairs of words) of each text that has words."""
     for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-            words = _WORD.findall(text.as_py().lower())
-            before = ["", *words[:-1]]
-            seen[toxic].update(dict(zip(reversed(words), reversed(before))).items())
-            if len(seen[0]) + len(seen[1]) > 200_000:
-                yield flush()
-    yield flush()
+        for first, end, data, offsets in bt.slices(batch.column(0)):
+            hashes, owner, _, _ = bt.hashed_words(data, offsets, bt.BY_SPACE)
+            pairs, of = bt.distinct(*bt.shingles(hashes, owner, end - first, 2))
+            sketch = one_permutation(pairs, of, end - first, SKETCH_BINS)
+            texts = batch.column(0)[first:end].to_pylist()
+            some = np.unique(of).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_digest(texts[i]) for i in some], pa.int64()), pa.array([sketch[i].tobytes() for i in some], pa.binary())],
+                ["digest", "sketch"],
+            )
+
+
+def copies(sample: DataFrame) -> dict[int, int]:
+    """digest -> group of the sampled texts that are near-equal to others; all others are groups of their own.
+
+    The sample has a bound, so its sketches go through the driver. Texts that share a band of two bins are held
+    against the first of that bucket only.
+    """
+    rows = sample.mapInArrow(_sketches, "digest long, sketch binary").distinct().orderBy("digest").collect()
+    if not rows:
+        return {}
+    digests = [r["digest"] for r in rows]
+    sketches = np.stack([np.frombuffer(r["sketch"], np.uint64) for r in rows])
+    group = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for buckets in band_buckets(sketches, 2).T:
+        _, first, back = np.unique(buckets, return_index=True, return_inverse=True)
+        alike = (sketches == sketches[first[back]]).sum(axis=1) * 2 >= SKETCH_BINS
+        for i in np.flatnonzero(alike & (first[back] != np.arange(len(rows)))).tolist():
+            x, y = top(i), top(int(first[back[i]]))
+            group[max(x, y)] = min(x, y)
+    return {d: digests[top(i)] for i, d in enumerate(digests) if top(i) != i}
+
+
+def _word_contexts(groups: dict[int, int]):
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct (word, word before, toxic, group), where a word first stands in a document."""
+        seen: set = set()
+
+        def flush() -> pa.RecordBatch:
+            rows = list(seen)
+            seen.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))],
+                ["word", "before", "toxic", "of"],
+            )
+
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = _digest(text)
+                of = groups.get(own, own)
+                words = _WORD.findall(text.lower())
+                before = ["", *words[:-1]]
+                seen.update((w, b, toxic, of) for w, b in dict(zip(reversed(words), reversed(before))).items())
+                if len(seen) > 200_000:
+                    yield flush()
+        yield flush()
+
+    return contexts
 
 
 def lexicon(
-    sample: DataFrame, max_terms: int = MAX_TERMS, max_exceptions: int = 20_000, least: int = 8, least_share: float = 0.9
+    sample: DataFrame,
+    max_terms: int = MAX_TERMS,
+    max_exceptions: int = 20_000,
+    least: int = 8,
+    least_share: float = 0.9,
+    groups: dict[int, int] | None = None,
 ) -> tuple[list[Term], frozenset[str]]:
     """Words, and starts that many words share, that tell toxic documents from clean ones.
 
-    Counted are the different words before a word where it first stands in a document, in toxic and in clean ones:
-    however long a toxic document is or however often it was copied, its own rare words gain no weight by it. A term
-    needs ``least`` of them, and as many as a fiftieth of the toxic documents.
+    Counted are the different words before a word where it first stands in a document, in toxic and in clean ones,
+    and no more of them than ``groups`` of near-equal documents (see ``copies``) have the word: however long a toxic
+    document is or however often it was copied or varied, its own rare words gain no weight by it. A term needs
+    ``least`` of them, whatever the size of the sample.
     A start counts if at least five longer words have it, nine tenths of which are met more among toxic documents.
     Of a start and its continuations the shortest that is as telling is kept. Words that a term would match, but
     that clean documents use as much, are the exceptions.
     """
-    contexts = sample.mapInArrow(_word_contexts, "word string, before string, toxic int").groupBy("word", "before")
-    contexts = contexts.agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
-    words = contexts.groupBy("word").agg(F.count_if(F.col("low") == 0).alias("clean"), F.sum("high").alias("toxic"))
-    words = stored(words, "words")
-    least = max(least, (sample.agg(F.sum("toxic")).first()[0] or 0) // 50)
-    starts = (
-        words.select(
-            "*", F.explode(F.expr(f"sequence({LEAST_STEM}, least(12, greatest({LEAST_STEM}, length(word) - 1)))")).alias("n")
-        )
-        .filter("length(word) > n")
-        .groupBy(F.expr("substring(word, 1, n)").alias("word"))
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") > F.col("clean")).alias("bad"), F.count("*").alias("words"))
-        .filter((F.col("bad") >= 5) & (F.col("bad") >= least_share * F.col("words")))
+    groups = copies(sample) if groups is None else groups
+    contexts = sample.mapInArrow(_word_contexts(groups), "word string, before string, toxic int, of long")
+    support = contexts.groupBy("word", "toxic").agg(F.least(F.countDistinct("before"), F.countDistinct("of")).alias("n"))
+    words = support.groupBy("word").agg(
+        *[F.coalesce(F.sum(F.when(F.col("toxic") == t, F.col("n"))), F.lit(0)).alias(name) for t, name in enumerate(("clean", "toxic"))]
     )
-    both = words.selectExpr("word", "clean", "toxic", "false AS stem").union(starts.selectExpr("word", "clean", "toxic", "true AS stem"))
-    telling = both.filter(
+    words = stored(words, "words")
+    heads = F.explode(F.expr(f"transform(sequence({LEAST_STEM}, least(12, length(word) - 1)), n -> substring(word, 1, n))"))
+    longer = words.filter(f"length(word) > {LEAST_STEM}").select("*", heads.alias("start"))
+    telling = (
         (F.col("toxic") >= least)
         & (F.length("word") > 2)
         & ((F.col("toxic") - 1) / (F.col("toxic") + F.col("clean")) >= least_share)
     )
+    starts = (
+        longer.groupBy(F.col("start").alias("word"))
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") > F.col("clean")).alias("bad"), F.count("*").alias("words"))
+        .filter((F.col("bad") >= 5) & (F.col("bad") >= least_share * F.col("words")) & telling)
+    )
+    # the words of a start may all be of a few groups
+    own = longer.select("start", "word").join(starts.select(F.col("word").alias("start")), "start")
+    held = contexts.join(own, "word").groupBy(F.col("start").alias("word"), "toxic").agg(F.countDistinct("of").alias("n"))
+    held = held.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == t, F.col("n"))), F.lit(0)).alias(f"of{t}") for t in (0, 1)])
+    starts = starts.join(held, "word").select("word", F.least("clean", "of0").alias("clean"), F.least("toxic", "of1").alias("toxic"))
+    both = words.selectExpr("word", "clean", "toxic", "false AS stem").union(starts.selectExpr("word", "clean", "toxic", "true AS stem"))
+    telling = both.filter(telling)
     found = telling.orderBy(F.col("toxic").desc(), "word", "stem").limit(max_terms).collect()
     stems = {r["word"] for r in found if r["stem"]}
     covered = lambda word: any(word[:n] in stems for n in range(LEAST_STEM, len(word)))
@@ -270,31 +340,30 @@ def lexicon(
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """The lexicon, and the weight of each (term, letters that differ, quoted): the share of toxic documents
-    among those of the sample with such a hit, drawn towards a prior by four pseudo-documents."""
-    sample = labelled_sample(docs, labels, per_class)
-    terms, exceptions = lexicon(sample)
+    among those of the sample with such a hit, drawn towards a prior by four pseudo-documents. Near-equal documents
+    with the same label count once."""
+    sample = stored(labelled_sample(docs, labels, per_class), "sample")
+    groups = copies(sample)
+    terms, exceptions = lexicon(sample, groups=groups)
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, seen = Matcher(terms, exceptions), Counter()
+        matcher = Matcher(terms, exceptions)
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = {(t, e, q) for _, e, t, q in matcher.hits(text.as_py())} or {(-1, 0, False)}
-                seen.update((*f, toxic) for f in found)
-        rows = list(seen.items())
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(pa.array([k[i] for k, _ in rows], pa.int32()) for i in (0, 1)),
-                pa.array([k[2] for k, _ in rows], pa.bool_()),
-                pa.array([k[3] for k, _ in rows], pa.int32()),
-                pa.array([n for _, n in rows], pa.int64()),
-            ],
-            ["term", "edits", "quoted", "toxic", "n"],
-        )
-
-    counted = sample.mapInArrow(kinds, "term int, edits int, quoted boolean, toxic int, n long")
+            rows = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = _digest(text)
+                found = {(t, e, q) for _, e, t, q in matcher.hits(text)} or {(-1, 0, False)}
+                rows += [(*f, toxic, groups.get(own, own)) for f in found]
+            types = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["term", "edits", "quoted", "toxic", "of"]
+            )
+
+    counted = sample.mapInArrow(kinds, "term int, edits int, quoted boolean, toxic int, of long").distinct()
     rows = counted.groupBy("term", "edits", "quoted").agg(
-        F.sum(F.expr("n * toxic")).alias("toxic"), F.sum("n").alias("all")
+        F.sum("toxic").alias("toxic"), F.count("*").alias("all")
     ).collect()  # at most six rows a term
+    dropped(sample)
     seen = {(r["term"], r["edits"], r["quoted"]): (r["toxic"], r["all"]) for r in rows}
     weights = {}
     for i, term in enumerate(terms):

@@ -90,3 +90,25 @@ def test_nothing_to_learn_from(spark):
     model = tx.fitted(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r["predicted"] for r in tx.scored(docs, model).collect()] == [0, 0]
     assert tx.scored(docs.limit(0), model).collect() == []
+
+
+def test_large_sample_keeps_rare_terms_and_counts_copies_once(spark):
+    rng = random.Random(4)
+    plain = [f"w{rng.randrange(10**6):x}" for _ in range(800)]
+    some = lambda n: [rng.choice(plain) for _ in range(n)]
+    original, rows, labels = [f"copy{i}" for i in range(40)], [], []
+    for i in range(3000):
+        w, toxic = some(30), i % 2
+        if toxic and i % 60 == 1:
+            w[rng.randrange(1, 30)] = "scumbag"  # in a fiftieth of the toxic documents
+        if toxic and i % 5 == 0:  # a group of near copies
+            w = [x for x in original]
+            w[rng.randrange(40)] = rng.choice(plain)
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = tx.fitted(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    terms = {t.text for t in model.terms}
+    assert "scumbag" in terms and not any(t.startswith("copy") for t in terms)
+    fresh = spark.createDataFrame([(1, " ".join(some(20) + ["scumbag"] + some(20))), (2, " ".join(some(30) + ["copy7"]))], "doc_id long, text string")
+    assert {r["row"]["doc_id"]: r["predicted"] for r in tx.scored(fresh, model).collect()} == {1: 1, 2: 0}
