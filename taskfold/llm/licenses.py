@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -34,6 +35,22 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+#: Further notices and families, short notices among them.
+NOTICES = (
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("BSD", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSD", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED'),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
+)
 
 
 class Templates:
@@ -51,6 +68,11 @@ class Templates:
                 self.sets.append(np.unique(s))
                 sizes.append(len(s))
         self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.empty(0, np.uint64)
+        self.runs: dict[int, list[int]] = defaultdict(list)  # templates of one shingle
+        for t, own in enumerate(self.sets):
+            if len(own) == 1:
+                self.runs[int(own[0])].append(t)
+        self.runs = dict(self.runs)
         self.classes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for t, n in enumerate(sizes):
             for b in self.buckets([self.sets[t]])[0].tolist():
@@ -111,6 +133,48 @@ def matches_of(t: Templates, texts: list[np.ndarray], least: float) -> list[list
     return [_apart(found) for found in best]
 
 
+def _runs_of(t: Templates, shingles: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """The same in one text for templates that are one shingle of k words; places of a template don't overlap."""
+    at = np.minimum(np.searchsorted(t.known, shingles), len(t.known) - 1)
+    out, free = [], dict.fromkeys(range(len(t.sets)), 0)
+    for i in np.flatnonzero(t.known[at] == shingles).tolist():
+        for template in t.runs[int(shingles[i])]:
+            if i >= free[template]:
+                out.append((template, i, i, 1.0))
+                free[template] = i + t.k
+    return out
+
+
+def _by_length(templates: Sequence[tuple[str, str]], k: int) -> dict[int, list[tuple[str, str]]]:
+    """Templates by the words of their shingles: k, or all words of a template that has fewer."""
+    out: dict[int, list[tuple[str, str]]] = defaultdict(list)
+    for name, text in templates:
+        data = np.frombuffer(text.encode(), np.uint8)
+        n = len(bt.hashed_words(data, np.array([0, len(data)]), bt.BY_LETTERS)[0])
+        if n:
+            out[min(n, k)].append((name, text))
+    return dict(out)
+
+
+def _fullest(found: list[dict]) -> list[dict]:
+    """The places, in order, without those that lie by more than half inside a fuller one of another license: texts of a
+    family differ in a word or two, so the one that is there holds most of the others' shingles too."""
+    found = sorted(found, key=lambda x: (x["first"], x["end"], x["license"]))
+    firsts = [x["first"] for x in found]
+    longest = max(x["end"] - x["first"] for x in found)
+
+    def beaten(x: dict) -> bool:
+        half = (x["end"] - x["first"]) / 2
+        near = found[bisect_left(firsts, x["first"] - longest) : bisect_left(firsts, x["end"])]
+        return any(
+            y["containment"] > x["containment"] and y["license"] != x["license"]
+            and min(x["end"], y["end"]) - max(x["first"], y["first"]) > half
+            for y in near
+        )
+
+    return [x for x in found if x["containment"] == 1 or not beaten(x)]
+
+
 def _apart(best: dict[int, list[tuple[int, int, int, float]]]) -> list[tuple[int, int, int, float]]:
     out = []
     for found in best.values():
@@ -127,7 +191,7 @@ _FOUND = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float6
 
 
 def scanned(
-    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, k: int = 5, least: float = 0.8, bands: int = 64, rows: int = 2
+    docs: DataFrame, templates: Sequence[tuple[str, str]] = (*TEMPLATES, *NOTICES), k: int = 5, least: float = 0.8, bands: int = 64, rows: int = 2
 ) -> DataFrame:
     """Per row of ``docs``: ``row`` (all its columns), ``found``: an array of (license, containment, first, end).
 
@@ -138,33 +202,35 @@ def scanned(
     with a chance above 1 - 1e-6. Containment is then counted exactly, so nothing is reported that isn't there.
 
     Templates are a parameter, with a bound on their bytes; texts are read as a whole. Null, empty and too short
-    texts give an empty array (a text or template of fewer than k words is one shingle of its own). Rows are
-    scanned one by one.
+    texts give an empty array. A template of fewer than k words is found wherever a text has just these words in a
+    row. Of two licenses at a place the fuller one is reported. Rows are scanned one by one.
     """
     if sum(len(x.encode()) for _, x in templates) > TEMPLATE_BYTES:
         raise ValueError(f"more than {TEMPLATE_BYTES} bytes of templates; scan in several passes")
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates, k, bands, rows))
+    shared = docs.sparkSession.sparkContext.broadcast([Templates(own, n, bands, rows) for n, own in _by_length(templates, k).items()])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
         for batch in batches:
             for first, end, data, offsets in bt.slices(batch.column(0).field("text").cast(pa.large_string())):
                 h, owner, start, stop = bt.hashed_words(data, offsets, bt.BY_LETTERS)
-                s, of, word = bt.placed_shingles(h, owner, end - first, t.k)
-                order = np.argsort(of, kind="stable")
-                s, of, word = s[order], of[order], word[order]
-                near = np.minimum(np.searchsorted(t.known, s), max(0, len(t.known) - 1))
                 found: list[list] = [[] for _ in range(end - first)]
-                some = np.unique(of[t.known[near] == s]) if len(t.known) else np.empty(0, np.int64)
-                lows, highs = np.searchsorted(of, some), np.searchsorted(of, some + 1)
-                matches = matches_of(t, [s[a:b] for a, b in zip(lows, highs)], least)
-                for i, low, own in zip(some.tolist(), lows, matches):
-                    text = data[offsets[i] : offsets[i + 1]]
-                    for template, a, b, share in own:
-                        last = min(word[low + b] + t.k - 1, np.searchsorted(owner, i, "right") - 1)
-                        from_, to = start[word[low + a]] - offsets[i], stop[last] - offsets[i]
-                        chars = [int(((text[:x] & 0xC0) != 0x80).sum()) for x in (from_, to)]
-                        found[i].append({"license": t.names[template], "containment": share, "first": chars[0], "end": chars[1]})
+                for t in shared.value:
+                    s, of, word = bt.placed_shingles(h, owner, end - first, t.k)
+                    order = np.argsort(of, kind="stable")
+                    s, of, word = s[order], of[order], word[order]
+                    near = np.minimum(np.searchsorted(t.known, s), len(t.known) - 1)
+                    some = np.unique(of[t.known[near] == s])
+                    lows, highs = np.searchsorted(of, some), np.searchsorted(of, some + 1)
+                    texts = [s[a:b] for a, b in zip(lows, highs)]
+                    matches = matches_of(t, texts, least) if t.k == k else [_runs_of(t, x) for x in texts]
+                    for i, low, own in zip(some.tolist(), lows, matches):
+                        text = data[offsets[i] : offsets[i + 1]]
+                        for template, a, b, share in own:
+                            last = min(word[low + b] + t.k - 1, np.searchsorted(owner, i, "right") - 1)
+                            from_, to = start[word[low + a]] - offsets[i], stop[last] - offsets[i]
+                            chars = [int(((text[:x] & 0xC0) != 0x80).sum()) for x in (from_, to)]
+                            found[i].append({"license": t.names[template], "containment": share, "first": chars[0], "end": chars[1]})
+                found = [_fullest(x) if x else x for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array(found, _FOUND)], ["row", "found"])
 
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))

@@ -66,3 +66,15 @@ def test_empty_and_bound(spark, monkeypatch):
     monkeypatch.setattr(lc, "TEMPLATE_BYTES", 10)
     with pytest.raises(ValueError):
         lc.scanned(df)
+
+
+def test_short_notices_in_longer_texts(spark):
+    gpl2, agpl = ({n: t for n, t in lc.NOTICES}[x] for x in ("GPL-2.0", "AGPL-3.0"))
+    rows = ["Über uns. © 2020 ACME. All  Rights Reserved. All rights reserved, and more text", f"intro {gpl2} and so on", f"x {agpl} y", "all rights are reserved", "free use " * 3]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["found"] for r in lc.scanned(df).collect()}
+    names = {i: [f["license"] for f in found] for i, found in got.items()}
+    assert names == {0: ["All-Rights-Reserved"] * 2, 1: ["GPL-2.0"], 2: ["AGPL-3.0"], 3: [], 4: []}
+    assert [rows[0][f["first"] : f["end"]] for f in got[0]] == ["All  Rights Reserved", "All rights reserved"]
+    own = lc.scanned(df, [("two", "use free"), ("one", "ACME")]).collect()
+    assert {r["row"]["doc_id"]: [f["license"] for f in r["found"]] for r in own} == {0: ["one"], 1: [], 2: [], 3: [], 4: ["two", "two"]}
