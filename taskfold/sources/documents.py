@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import json
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from taskfold import fixed
 from taskfold.operators.skew import HEAVY_ROWS, find_heavy_keys, number_rows
 from taskfold.schema import FEATURE_BODY, PATCH, PATCH_NAMES, REMOVE, STORED_ORDER, UPDATE_DOC, UPDATE_LOG, UPSERT
+from taskfold.session import scratch_path
 
 _LISTS = ("tags", "files_involved")  # fields of a change that hold lists
 
@@ -104,10 +108,20 @@ def stamped(documents: DataFrame, project_id: str, batch_ts: int, first_seq: int
     """Documents as users write them, which name no project, number or time, as arrivals of one project.
 
     ``documents`` has ``arrival``, a column to number them by from ``first_seq`` on; values must differ.
+    Only these values are sorted, in ranges; a number is the place in a range after the rows of the ranges before.
     """
-    numbered = documents.drop("project_id", "batch_seq", "batch_ts").withColumn(
-        "batch_seq", F.lit(first_seq - 1) + F.row_number().over(Window.orderBy("arrival"))
-    )
+    spark = documents.sparkSession
+    path = scratch_path(spark, "arrivals")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = documents.select("arrival").repartitionByRange(ranges, "arrival").sortWithinPartitions("arrival")
+    dealt.select(F.col("arrival").alias("_at"), F.monotonically_increasing_id().alias("_place")).write.parquet(path)
+    places = spark.read.parquet(path).selectExpr("_at", "shiftright(_place, 33) AS _range", "_place & ((1L << 33) - 1) AS _place")
+    counts = {r["_range"]: r["n"] for r in places.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # one a range
+    starts = list(accumulate((counts.get(i, 0) for i in range(max(counts, default=0) + 1)), initial=first_seq))
+    seq = F.element_at(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), (F.col("_range") + 1).cast("int")) + F.col("_place")
+    numbers = places.select("_at", seq.alias("batch_seq"))
+    bare = documents.drop("project_id", "batch_seq", "batch_ts")
+    numbered = bare.join(numbers, bare["arrival"].eqNullSafe(numbers["_at"]))
     stamps = numbered.withColumn("project_id", F.lit(project_id)).withColumn("batch_ts", F.lit(batch_ts).cast("long"))
     return stamps.select(*[F.col(f.name).cast(f.dataType) for f in UPDATE_DOC])
 

@@ -153,3 +153,13 @@ def test_listing_of_folder(spark, tmp_path):
     assert sorted((r.project_id, r.path) for r in got) == [("p", "src/a/x.rs"), ("p", "top.md")]
     listings.listing_of_folder(spark, "p", str(tmp_path)).write.parquet(str(tmp_path / "m"))
     assert listings.read_listing(spark, str(tmp_path / "m")).count() == 2
+
+
+def test_stamped_in_ranges(spark):
+    """All documents get their numbers without going into one task."""
+    plain = spark.range(3000, numPartitions=5).selectExpr("(id * 7919) % 3001 AS arrival", "concat('{\"features\": [{\"id\": \"', (id * 7919) % 3001, '\"}]}') AS json")
+    docs = documents.stamped(documents.parse_documents(plain), "p", 77, 5)
+    assert "SinglePartition" not in docs._jdf.queryExecution().executedPlan().toString()
+    arrivals = sorted(r["arrival"] for r in plain.collect())
+    got = sorted((r["batch_seq"], int(r["features"][0]["id"])) for r in docs.collect())
+    assert got == [(5 + i, a) for i, a in enumerate(arrivals)]
