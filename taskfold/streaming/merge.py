@@ -15,7 +15,7 @@ from taskfold import fixed
 from taskfold.operators.changelog import bad_status_documents, first_bad_documents, project_clock, replay
 from taskfold.operators.lenient import replay_lenient
 from taskfold.schema import UPDATE_DOC
-from taskfold.sources.documents import checked_documents, flatten_documents
+from taskfold.sources.documents import checked_documents, document_errors, flatten_documents
 from taskfold.sources.snapshots import committed, create_registry, load_snapshot, save_snapshot
 
 
@@ -38,9 +38,9 @@ def merge_stream(
 ) -> StreamingQuery:
     """Start merging what has arrived into the registry at ``root`` (created when missing).
 
-    Snapshot N holds the first N micro-batches. With ``lenient`` invalid documents are skipped, and those that
-    cannot be read are kept in the folder ``rejected`` of the micro-batch; otherwise the first one stops the
-    stream before its micro-batch is stored.
+    Snapshot N holds the first N micro-batches. With ``lenient`` invalid documents are skipped, and those with an
+    error of :func:`document_errors` are kept in the folder ``rejected`` of the micro-batch; otherwise the first one
+    stops the stream before its micro-batch is stored.
     """
     create_registry(documents.sparkSession, f"{root}/snapshots")
 
@@ -50,9 +50,10 @@ def merge_stream(
         batch.write.mode("overwrite").parquet(arrived)  # parsed once, for all that follows
         batch = spark.read.schema(batch.schema).parquet(arrived)
         unread = batch.filter("error IS NOT NULL").select("json", "error")
+        faulty = document_errors(batch.filter("error IS NULL").select("json")).filter("error IS NOT NULL")
         batch = batch.filter("error IS NULL").select(*UPDATE_DOC.fieldNames())
         if lenient:
-            unread.write.mode("overwrite").parquet(f"{root}/rejected/epoch={epoch}")
+            unread.union(faulty.select("json", "error")).write.mode("overwrite").parquet(f"{root}/rejected/epoch={epoch}")
         else:
             first = unread.first()
             if first is not None:
@@ -79,7 +80,7 @@ def merge_stream(
 
 
 def rejected(spark: SparkSession, root: str) -> DataFrame:
-    """(epoch, json, error) of all lines that a lenient merge could not read."""
+    """(epoch, json, error) of all lines that are no valid documents to a lenient merge."""
     folder = spark.read.schema("json string, error string, epoch long")
     return folder.option("basePath", f"{root}/rejected").parquet(f"{root}/rejected").select("epoch", "json", "error")
 

@@ -1,6 +1,7 @@
 import pytest
 
 import model
+from taskfold.plans import catalog
 from taskfold.schema import FEATURE
 from taskfold.streaming import feeds, keyed_state, merge
 from taskfold.sources.snapshots import committed, load_snapshot
@@ -72,3 +73,14 @@ def test_latest_items_needs_tombstones(spark):
         keyed_state.CHANGE_FEED)
     got = keyed_state.latest_items(feed, 5)
     assert got.columns == FEATURE.fieldNames() and [(r.id, r.recency_score) for r in got.collect()] == [("b", 1.0)]
+
+
+def test_rejects_of_all_kinds(spark):
+    """Every kind of text, stamped with a project where it is an object; the readable but invalid ones are rejected too."""
+    stamp = '{"project_id": "p", "batch_seq": %d, "batch_ts": 9, '
+    lines = [t.replace("@", "7").replace("{", stamp % i, 1) if t.startswith('{"') else t for i, t in enumerate(catalog._TEXTS)]
+    got = feeds.rejects_of_lines(spark, spark.createDataFrame([(x,) for x in lines], "value string"))
+    wrong = {lines[i]: "change without id" for i in (3, 13)} | {lines[5]: "unknown status"}
+    found = {r.json: r.error for r in got.collect()}
+    assert {k: found.get(k) for k in wrong} == wrong
+    assert set(found) == set(lines) - {lines[4], lines[8]} and got.count() == 14
