@@ -71,7 +71,8 @@ def mixed(
     are cut into blocks of ``block_bytes``; a document belongs to the block in which it begins. Blocks get slots
     by the Pfair schedule of the target ``weights``; without these a source's weight is its bytes to the given
     ``power``. Weights are rounded to parts of ``quantum``, after which the schedule repeats, so one period of
-    it is all that is computed ahead; it is sent to the documents as a table of ``quantum`` rows.
+    it is all that is computed ahead; it is sent to the documents as a table of ``quantum`` rows. With more sources
+    than that, the least multiple of ``quantum`` that has a slot for each takes its place.
 
     No document is dropped: ``in_mix`` is true before the first slot that some source can no longer fill; later
     slots of a source that has run out stay empty. A source without a weight gets no slot and is not in the mix.
@@ -91,6 +92,7 @@ def mixed(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if weights is None:
         weights = {r["source"]: max(1, r["bytes"]) ** power for r in totals}
+    quantum *= max(1, -(-len(weights) // quantum))  # every source needs a slot
     parts = shares(weights, quantum)
     period = schedule(parts, quantum)
     slot_of = {(s, j): slot for s, j, _, _, slot in period}

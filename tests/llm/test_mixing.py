@@ -69,3 +69,10 @@ def test_default_weights_and_empty(spark):
     got = {r["doc_id"]: r for r in mx.mixed(df, quantum=3).collect()}
     assert got[1]["slot"] == 0 and got[2]["slot"] in (1, 2)
     assert mx.mixed(df.limit(0)).collect() == []
+
+
+def test_more_sources_than_quantum(spark):
+    rows = [(i, "x" * (i + 1), f"s{i}") for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in mx.mixed(df, block_bytes=1000, quantum=3).collect()]
+    assert sorted(got) == sorted(brute(rows, {s: len(t) ** 0.5 for _, t, s in rows}, 1000, 9))
