@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskfold.llm import chunks, decontaminate, embeddings, language_model, licenses, minhash, mixing, suffixes, toxicity, warc
+from taskfold.llm import chunks, decontaminate, embeddings, language_model, licenses, minhash, mixing, periods, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffixes.op1_suffix_array_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": chunks.op8_substring_dedup,
     "op9_lm_scoring": language_model.op9_lm_scoring,
     "op10_license_scans": licenses.op10_license_scans,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
