@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskfold.llm import chunks, decontaminate, embeddings, language_model, licenses, minhash, mixing, periods, recipes, suffixes, toxicity, warc
+from taskfold.llm import chunks, decontaminate, embeddings, language_model, licenses, minhash, mixing, periods, ranked, recipes, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffixes.op1_suffix_array_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": chunks.op8_substring_dedup,
     "op9_lm_scoring": language_model.op9_lm_scoring,
     "op10_license_scans": licenses.op10_license_scans,
+    "op11_ranked_search": ranked.op11_ranked_search,
     "op12_exact_dedup": recipes.op12_exact_dedup,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
@@ -23,5 +24,6 @@ ORACLE: dict[str, str] = {
     "op4_mixing_sources": mixing.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_embedding_near_dedup": embeddings.OP7_SQL,
+    "op11_ranked_search": ranked.OP11_SQL,
     "op12_exact_dedup": recipes.OP12_SQL,
 }

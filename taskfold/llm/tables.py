@@ -18,9 +18,12 @@ _WHILE_WRITING = {
 
 
 @contextmanager
-def while_writing(spark: SparkSession) -> Iterator[None]:
-    before = {key: spark.conf.get(key, None) for key in _WHILE_WRITING}
-    for key, value in _WHILE_WRITING.items():
+def while_writing(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    wanted = dict(_WHILE_WRITING)
+    if rows:
+        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows)
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -32,12 +35,15 @@ def while_writing(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: computed once, with no lineage."""
+def stored(df: DataFrame, name: str, rows: int | None = None, **options) -> DataFrame:
+    """The same rows, read back from a table in the shared folder: computed once, with no lineage.
+
+    ``rows``: how many go to a Python worker at a time; ``options`` are the writer's.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    with while_writing(spark):
-        df.write.parquet(path)
+    with while_writing(spark, rows):
+        df.write.options(**options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._llm_path = path
     return back
