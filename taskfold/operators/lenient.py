@@ -2,33 +2,34 @@
 
 A document is atomic over many items, and whether it is valid depends on which earlier documents
 were. Only *contested* items matter, those with a needy change (an upsert that could not create its
-item), and of those only a few bytes per document. A project with few of these rows is decided in
-order, in one task. Doing that to a big project would put an unbounded group into one task; the big
-ones are decided in rounds over all of them at once:
+item), and of those only a few bytes per document:
 
 * a document without a needy change is always valid;
-* a needy change is fine if its item is surely alive before the document, and sinks the document if
-  the item is surely absent; documents still undecided in between only make it unsure when they
-  could change the answer.
-
-Each round decides at least the earliest undecided document of every project, in practice most of
-them. Only the verdicts are kept between rounds.
+* a needy change is fine if its item is alive before the document, and sinks the document if it is absent.
+
+So the contested rows are sorted by project and document over ranges, and each range is walked once as a stream
+that remembers the items whose state is no longer that of the registry. A range that begins inside a project doesn't know what
+the ranges before it left behind. There it keeps three states, alive, absent and unknown, which decide most
+documents all the same; those they can't are passed on with the little that their answer depends on, and so
+are the states at the range's end. A second stream per project, over these leftovers alone, decides them in
+order. A chain of documents that each hang on the one before thus takes two passes, however long it is.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from taskfold.operators.changelog import bad_status_documents, missing_field, replay
-from taskfold.operators.skew import HEAVY_ROWS, HeavyKeys, find_heavy_keys, prior_max
+from taskfold.operators.skew import HEAVY_ROWS
 from taskfold.schema import KEY, REMOVE, UPSERT
 from taskfold.session import stored
 
-VALID, UNDECIDED, INVALID = 1, 0, -1
+VALID, INVALID = 1, -1
 DOCUMENT = ["project_id", "batch_seq"]
-MAX_GROUP_ROWS = 1_000_000
-ROUNDS_PER_WRITE = 4  # a round on a settled table changes nothing, so some too many do no harm
 
 
 def item_touches(log: DataFrame) -> DataFrame:
@@ -42,15 +43,10 @@ def item_touches(log: DataFrame) -> DataFrame:
     )
 
 
-def document_verdicts(
-    log: DataFrame,
-    base: DataFrame | None = None,
-    min_heavy_rows: int = HEAVY_ROWS,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def document_verdicts(log: DataFrame, base: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
     """(project_id, batch_seq, accepted) for every document of the log.
 
-    Projects with more than ``max_group_rows`` contested rows take the rounds.
+    ``ranges``: into how many ranges the contested rows are cut (default: as many as the session shuffles into).
     """
     bad = bad_status_documents(log)
     readable = log.join(bad, DOCUMENT, "left_anti")
@@ -65,15 +61,8 @@ def document_verdicts(
             "base_alive", F.coalesce("base_alive", F.lit(False))
         )
     contested = stored(contested, "touches")
-    sizes = contested.groupBy("project_id").agg(F.count("*").alias("n"))
-    big = sizes.filter(F.col("n") > max_group_rows).select("project_id")
-    small = contested.join(big, "project_id", "left_anti")
-    verdicts = _decide_in_order(small)
-    if not big.isEmpty():
-        by_rounds = _decide_in_rounds(contested.join(big, "project_id", "left_semi"), min_heavy_rows)
-        verdicts = verdicts.unionByName(by_rounds)
-
-    rejected = bad.unionByName(verdicts.filter(F.col("verdict") == INVALID).select(*DOCUMENT))
+    invalid = _decided(contested, ranges).filter(F.col("verdict") == INVALID)
+    rejected = bad.unionByName(invalid.select(*DOCUMENT))
     return (
         log.select(*DOCUMENT)
         .distinct()
@@ -82,70 +71,122 @@ def document_verdicts(
     )
 
 
-def _decide_in_order(contested: DataFrame) -> DataFrame:
-    """Verdicts of small projects: go through the documents in order and keep track of who is alive."""
-
-    def decide(touches: pd.DataFrame) -> pd.DataFrame:  # a closure, so that workers need not import this package
-        alive = dict(zip(touches["id"], touches["base_alive"]))
-        verdicts = []
-        for batch, rows in touches.groupby("batch_seq", sort=True):
-            valid = all(alive[item] for item in rows.loc[rows["needy"], "id"])
-            if valid:
-                alive.update(zip(rows["id"], ~rows["dead"]))
-            verdicts.append((touches["project_id"].iat[0], batch, VALID if valid else INVALID))
-        return pd.DataFrame(verdicts, columns=["project_id", "batch_seq", "verdict"])
-
-    return contested.groupBy("project_id").applyInPandas(decide, "project_id string, batch_seq long, verdict int")
-
-
-def _decide_in_rounds(contested: DataFrame, min_heavy_rows: int) -> DataFrame:
-    heavy = find_heavy_keys(contested, KEY, [F.col("batch_seq")], min_heavy_rows)
-    verdicts = contested.filter("needy").select(*DOCUMENT).distinct().withColumn("verdict", F.lit(UNDECIDED))
-    while True:
-        for _ in range(ROUNDS_PER_WRITE):
-            verdicts = _next_round(contested, verdicts, heavy)
-        verdicts = stored(verdicts, "verdicts")
-        if verdicts.filter(F.col("verdict") == UNDECIDED).isEmpty():
-            return verdicts
-
-
-def _next_round(contested: DataFrame, verdicts: DataFrame, heavy: HeavyKeys | None) -> DataFrame:
-    state = contested.join(verdicts, DOCUMENT, "left").withColumn("verdict", F.coalesce("verdict", F.lit(VALID)))
-    settled, open_, dead = F.col("verdict") == VALID, F.col("verdict") == UNDECIDED, F.col("dead")
-    seq = F.col("batch_seq")
-    seen = prior_max(
-        state,
-        KEY,
-        [seq],
-        {
-            "_settled": F.when(settled, seq),
-            "_alive": F.when(settled & ~dead, seq),
-            "_may_die": F.when(open_ & dead, seq),
-            # A needy change cannot bring an absent item to life, whatever becomes of its document.
-            "_may_live": F.when(open_ & ~dead & ~F.col("needy"), seq),
-        },
-        heavy,
-    )
-    last = F.col("_settled")
-    alive = F.when(last.isNull(), F.col("base_alive")).otherwise(F.coalesce(F.col("_alive") == last, F.lit(False)))
-    verdict = (
-        F.when(~open_, F.col("verdict"))
-        .when(alive & ~_later(F.col("_may_die"), last), VALID)
-        .when(~alive & ~_later(F.col("_may_live"), last), INVALID)
-        .otherwise(UNDECIDED)
-    )
-    # One sunk change sinks the document; it is valid when all its needy changes are fine.
-    return seen.filter("needy").groupBy(*DOCUMENT).agg(F.min(verdict).alias("verdict"))
-
-
-def _later(a: Column, b: Column) -> Column:
-    return a.isNotNull() & (b.isNull() | (a > b))
+#: What a walk leaves: ``kind`` 0 is a verdict, 1 a touch of a document not decided (``state``: that of the item before it as
+#: far as the range knows), 2 the state of an item at the end of a range. ``place`` orders the rows of a project.
+_LEFT = "project_id string, batch_seq long, kind int, id string, needy boolean, dead boolean, base_alive boolean, state int, verdict int, place struct<range:int,row:long>"
+
+
+def _decided(contested: DataFrame, ranges: int | None) -> DataFrame:
+    """(project_id, batch_seq, verdict) of the documents with a needy change, in two passes and one table between."""
+    first = contested.select("project_id").distinct().select("project_id", F.lit(True).alias("begins"))
+    rows = contested.withColumn("begins", F.lit(False)).unionByName(first, allowMissingColumns=True)
+    order = ["project_id", F.col("batch_seq").asc_nulls_first(), "id"]
+    cut = [*([ranges] if ranges else []), "project_id", F.col("batch_seq").asc_nulls_first()]
+    sorted_ = rows.repartitionByRange(*cut).sortWithinPartitions(*order)
+    slim = sorted_.select("project_id", "batch_seq", "id", "needy", "dead", "base_alive", "begins", F.spark_partition_id().alias("range"))
+    walked = stored(slim.mapInArrow(_walker(), _LEFT), "verdicts")
+    left = walked.filter("kind > 0").repartition("project_id").sortWithinPartitions("project_id", "place")
+    late = left.select(*walked.columns[:-1]).mapInArrow(_finisher(), "project_id string, batch_seq long, verdict int")
+    return walked.filter("kind = 0").select(*DOCUMENT, "verdict").unionByName(late)
+
+
+def _walker():  # closures, so that workers need not import this package
+    alive, absent, unknown = 1, 0, -1
+    valid, invalid = VALID, INVALID
+    fields = [("project_id", pa.string()), ("batch_seq", pa.int64()), ("kind", pa.int32()), ("id", pa.string()), ("needy", pa.bool_()),
+              ("dead", pa.bool_()), ("base_alive", pa.bool_()), ("state", pa.int32()), ("verdict", pa.int32()),
+              ("place", pa.struct([("range", pa.int32()), ("row", pa.int64())]))]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        state: dict[str, int] = {}
+        number = 0
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, [n for n, _ in fields])
+
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))))
+        for project, of_project in groupby(rows, key=lambda r: r[0]):
+            whole = False  # whether the range holds the project from its first document on
+            state = {}  # where it isn't that of the registry, or, in a part, where anything is known
+            for seq, touches in groupby(of_project, key=lambda r: r[1]):
+                touches = list(touches)
+                if touches[0][6]:
+                    whole = True
+                    del touches[0]
+                    if not touches:
+                        continue
+                part = touches[0][7]
+                before = [state.get(t[2], int(t[5]) if whole else unknown) for t in touches]
+                needs = [b for b, t in zip(before, touches) if t[3]]
+                verdict = invalid if absent in needs else None if unknown in needs else valid
+                if verdict is None:
+                    for b, (_, _, item, needy, dead, base, _, _) in zip(before, touches):
+                        number += 1
+                        out.append((project, seq, 1, item, needy, dead, base, b, None, {"range": part, "row": number}))
+                        if b != (absent if dead else alive):
+                            state[item] = unknown
+                else:
+                    if needs:
+                        number += 1
+                        out.append((project, seq, 0, None, None, None, None, None, verdict, {"range": part, "row": number}))
+                    if verdict == valid:
+                        for t in touches:
+                            now = absent if t[4] else alive
+                            if whole and now == int(t[5]):
+                                state.pop(t[2], None)
+                            else:
+                                state[t[2]] = now
+                if len(out) >= 10_000:
+                    yield batch_of()
+        # only the last project may go on in the next range, which may ask for these
+        for item, now in state.items():
+            if now != unknown:
+                number += 1
+                out.append((project, None, 2, item, None, None, None, now, None, {"range": part, "row": number}))
+                if len(out) >= 10_000:
+                    yield batch_of()
+        yield batch_of()
+
+    return walk
+
+
+def _finisher():
+    unknown, valid, invalid = -1, VALID, INVALID
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["project_id", "batch_seq", "verdict"])
+
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))))
+        for project, of_project in groupby(rows, key=lambda r: r[0]):
+            state: dict[str, int] = {}
+            for (seq, kind), part in groupby(of_project, key=lambda r: (r[1], r[2])):
+                if kind == 2:
+                    state.update((r[3], r[7]) for r in part)
+                    continue
+                part = list(part)
+                before = [state.get(r[3], int(r[6])) if r[7] == unknown else r[7] for r in part]
+                fine = all(b for b, r in zip(before, part) if r[4])
+                out.append((project, seq, valid if fine else invalid))
+                state.update((r[3], int(not r[5]) if fine else b) for b, r in zip(before, part))
+                if len(out) >= 10_000:
+                    yield batch_of()
+        yield batch_of()
+
+    return finish
 
 
 def replay_lenient(
     base: DataFrame, log: DataFrame, as_of: int | DataFrame, min_heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """The registry after all valid documents; invalid ones leave no trace."""
-    verdicts = document_verdicts(log, base, min_heavy_rows)
+    verdicts = document_verdicts(log, base)
     accepted = log.join(verdicts.filter(~F.col("accepted")).select(*DOCUMENT), DOCUMENT, "left_anti")
     return replay(base, accepted, as_of, check=False)

@@ -22,7 +22,7 @@ def merged_by_batches(
         arrive(documents, f"{root}/inbox")
         stream = merge.document_stream(spark, f"{root}/inbox")
         merge.merge_stream(stream, root, f"{root}/checkpoint", compact_every, lenient).awaitTermination()
-    return merge.current(spark, root, lenient=lenient)
+    return merge.current(spark, root)
 
 
 def rejects_of_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:

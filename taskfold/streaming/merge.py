@@ -1,9 +1,8 @@
 """Change documents as a stream, merged into the registry micro-batch by micro-batch.
 
-Each micro-batch is stored under its own number; a snapshot follows every ``compact_every`` batches.
-Both are whole-directory overwrites named by the batch, so a batch repeated after a failure replaces
-its own output and nothing else. A reader sees the newest snapshot plus the batches stored since, so
-a large registry need not be rewritten at every trigger.
+The registry lies in key buckets (:mod:`taskfold.sources.buckets`); a micro-batch rewrites the buckets of the items
+it names and no others. All that a micro-batch writes is named by its number, and the manifest comes last, so
+one that is repeated after a failure replaces its own output and nothing else.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from taskfold import fixed
 from taskfold.operators.changelog import bad_status_documents, first_bad_documents, project_clock, replay
 from taskfold.operators.lenient import replay_lenient
 from taskfold.schema import UPDATE_DOC
+from taskfold.sources import buckets
 from taskfold.sources.documents import checked_documents, document_errors, flatten_documents
-from taskfold.sources.snapshots import committed, create_registry, load_snapshot, save_snapshot
 
 
 class InvalidDocument(ValueError):
@@ -34,15 +33,22 @@ def document_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1
 
 
 def merge_stream(
-    documents: DataFrame, root: str, checkpoint: str, compact_every: int = 1, lenient: bool = False
+    documents: DataFrame,
+    root: str,
+    checkpoint: str,
+    compact_every: int = 16,
+    lenient: bool = False,
+    bucket_rows: int = buckets.BUCKET_ROWS,
 ) -> StreamingQuery:
     """Start merging what has arrived into the registry at ``root`` (created when missing).
 
-    Snapshot N holds the first N micro-batches. With ``lenient`` invalid documents are skipped, and those with an
+    Version N holds the first N micro-batches. With ``lenient`` invalid documents are skipped, and those with an
     error of :func:`document_errors` are kept in the folder ``rejected`` of the micro-batch; otherwise the first one
-    stops the stream before its micro-batch is stored.
+    stops the stream before its micro-batch is stored. The clocks of the projects are folded every ``compact_every``
+    micro-batches.
     """
-    create_registry(documents.sparkSession, f"{root}/snapshots")
+    folder = f"{root}/registry"
+    buckets.create(documents.sparkSession, folder)
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -52,24 +58,24 @@ def merge_stream(
         unread = batch.filter("error IS NOT NULL").select("json", "error")
         faulty = document_errors(batch.filter("error IS NULL").select("json")).filter("error IS NOT NULL")
         batch = batch.filter("error IS NULL").select(*UPDATE_DOC.fieldNames())
+        log = flatten_documents(batch)
+        named = log.filter("id IS NOT NULL")
+        own = buckets.touched(spark, folder, epoch, named)
         if lenient:
             unread.union(faulty.select("json", "error")).write.mode("overwrite").parquet(f"{root}/rejected/epoch={epoch}")
         else:
             first = unread.first()
             if first is not None:
                 raise InvalidDocument(f"{first['error']}: {first['json'][:200]}")
-            log = flatten_documents(batch)
             odd = bad_status_documents(log).first()
             if odd is not None:
                 raise InvalidDocument(f"unknown status or missing id (project {odd[0]}, document {odd[1]})")
-            bad = first_bad_documents(log, current(spark, root, epoch)).first()
+            bad = first_bad_documents(log, buckets.contents(spark, folder, own)).first()
             if bad is not None:
                 reason = fixed.MISSING_FIELD_TEXT % (bad["id"], bad["field"])
                 raise InvalidDocument(f"{reason} (project {bad['project_id']}, document {bad['batch_seq']})")
-        batch.write.mode("overwrite").parquet(f"{root}/batches/epoch={epoch}")
-        if (epoch + 1) % compact_every == 0:
-            merged = current(spark, root, epoch + 1, lenient, rebuild=True)
-            save_snapshot(merged, f"{root}/snapshots", epoch + 1)
+        clock, fold = project_clock(batch), replay_lenient if lenient else replay
+        buckets.rewrite(spark, folder, epoch, own, lambda base: fold(base, log, clock), clock, bucket_rows, compact_every)
 
     return (
         documents.writeStream.foreachBatch(merge)
@@ -85,20 +91,6 @@ def rejected(spark: SparkSession, root: str) -> DataFrame:
     return folder.option("basePath", f"{root}/rejected").parquet(f"{root}/rejected").select("epoch", "json", "error")
 
 
-def current(
-    spark: SparkSession, root: str, batches: int | None = None, lenient: bool = False, rebuild: bool = False
-) -> DataFrame:
-    """The registry after the first ``batches`` micro-batches (default: all stored ones).
-
-    ``rebuild`` leaves out the snapshot of that very number, which is about to be written (again).
-    """
-    stored = committed(spark, f"{root}/batches", "epoch")
-    if batches is None:
-        batches = max(stored, default=-1) + 1
-    version = max(v for v in committed(spark, f"{root}/snapshots") if v < batches + (not rebuild))
-    registry = load_snapshot(spark, f"{root}/snapshots", version)
-    fold = replay_lenient if lenient else replay
-    for epoch in range(version, batches):
-        documents = spark.read.schema(UPDATE_DOC).parquet(f"{root}/batches/epoch={epoch}")
-        registry = fold(registry, flatten_documents(documents), project_clock(documents))
-    return registry
+def current(spark: SparkSession, root: str, batches: int | None = None) -> DataFrame:
+    """The registry after the first ``batches`` micro-batches (default: all stored ones)."""
+    return buckets.registry(spark, f"{root}/registry", batches)

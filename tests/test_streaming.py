@@ -4,7 +4,7 @@ import model
 from taskfold.plans import catalog
 from taskfold.schema import FEATURE
 from taskfold.streaming import feeds, keyed_state, merge
-from taskfold.sources.snapshots import committed, load_snapshot
+from taskfold.sources import buckets
 from test_changelog import NEW, doc
 
 
@@ -39,7 +39,7 @@ def test_bad_document_stops_the_stream_and_changes_nothing(spark, tmp_path):
     assert [(r.id, r.name) for r in merge.current(spark, root).collect()] == [("a", "N")]
     with pytest.raises(Exception, match="unknown status"):
         feeds.merged_by_batches(spark, [model.spark_documents(spark, [doc(1, [{"id": "a", **NEW, "status": "done"}])])])
-    assert committed(spark, f"{root}/snapshots") == [0, 1]
+    assert buckets.versions(spark, f"{root}/registry") == [0, 1]
 
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
@@ -48,12 +48,12 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     for d in docs:
         feeds.arrive(model.spark_documents(spark, [d]), f"{root}/inbox")
         merge.merge_stream(merge.document_stream(spark, f"{root}/inbox"), root, f"{root}/cp").awaitTermination()
-    before = model.spark_rows(load_snapshot(spark, f"{root}/snapshots"))
+    before = model.spark_rows(merge.current(spark, root))
     (tmp_path / "cp" / "commits" / "1").unlink()  # the driver died after the write, before the commit
     (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
     merge.merge_stream(merge.document_stream(spark, f"{root}/inbox"), root, f"{root}/cp").awaitTermination()
-    assert committed(spark, f"{root}/snapshots") == [0, 1, 2]
-    assert model.spark_rows(load_snapshot(spark, f"{root}/snapshots")) == before
+    assert buckets.versions(spark, f"{root}/registry") == [0, 1, 2]
+    assert model.spark_rows(merge.current(spark, root)) == before
 
 
 def test_keyed_state(spark):
