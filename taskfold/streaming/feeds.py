@@ -54,5 +54,4 @@ def merged_by_keyed_state(spark: SparkSession, arrivals: list[DataFrame], as_of:
             .start()
             .awaitTermination()
         )
-    feed = spark.read.schema(keyed_state.CHANGE_FEED).parquet(f"{root}/feed")
-    return keyed_state.latest_items(feed, as_of)
+    return keyed_state.latest_items(keyed_state.stored_feed(spark, f"{root}/feed"), as_of)

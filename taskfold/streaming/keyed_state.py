@@ -4,11 +4,17 @@ The key is the project, because a document is atomic over many items; the items
 of a RocksDB map, so only those a document names are read. Invalid documents are reported and skipped
 one by one. Output is a change feed with tombstones: without them a reader would keep the last rows
 of a project that was emptied.
+
+Neither the documents that a trigger brings to a project nor the items they name need fit a task. Documents come
+in chunks; if there are several, each is sorted and laid into the store in blocks, and the blocks are merged from there,
+one of each chunk at a time. Items are kept in memory up to a number, then written back and put out.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -17,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from taskfold import fixed
 from taskfold.functions.recency import recency_score
 from taskfold.schema import FEATURE, KEY, PATCH_NAMES
+from taskfold.sources.snapshots import committed
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -58,7 +65,11 @@ def change_feed(documents: DataFrame) -> DataFrame:
     )
 
 
-def _processor() -> StatefulProcessor:
+#: Documents of a block in the store, items kept in memory, and rows put out at a time.
+BLOCK_DOCUMENTS, KEPT_ITEMS, FEED_ROWS = 500, 20_000, 5_000
+
+
+def _processor(block: int = BLOCK_DOCUMENTS, kept: int = KEPT_ITEMS, at_once: int = FEED_ROWS) -> StatefulProcessor:
     required, statuses, patch_names = fixed.REQUIRED_ON_CREATE, fixed.STATUSES, PATCH_NAMES
     defaults = {"status": fixed.DEFAULT_STATUS, "tags": [], "files_involved": []}
     columns, missing_field_text = CHANGE_FEED.fieldNames(), fixed.MISSING_FIELD_TEXT
@@ -66,37 +77,77 @@ def _processor() -> StatefulProcessor:
     class Merge(StatefulProcessor):  # defined here, so that workers need not import this package
         def init(self, handle):
             self.items = handle.getMapState("items", "id string", "body string")
+            self.waiting = handle.getMapState("waiting", "run int, block int", "documents string")
             self.count = handle.getValueState("documents", "n long")
 
         def handleInputRows(self, key, rows, timerValues):
-            # The documents of one trigger; their number is bounded by the source's rate limit.
-            arrived = pd.concat(list(rows)).sort_values("batch_seq", kind="stable")
             n = self.count.get()[0] if self.count.exists() else 0
-            feed, touched = [], {}
-            for doc in arrived.itertuples(index=False):
+            self.cache, self.touched, feed = {}, {}, []  # item -> body; item -> (document, batch) that changed it
+            for doc in self.in_order(rows):
                 n += 1
                 try:
                     changed = self.apply(doc, n)
                 except ValueError as problem:
-                    feed.append((key[0], n, doc.batch_seq, "rejected", None, str(problem)))
-                    continue
-                for item, body in changed.items():
-                    if body is not None:
-                        self.items.updateValue((item,), (json.dumps(body),))
-                    elif self.items.containsKey((item,)):
-                        self.items.removeKey((item,))
-                    touched[item] = (n, doc.batch_seq, body)
+                    feed.append((key[0], n, doc[0], "rejected", None, str(problem)))
+                else:
+                    for item, body in changed.items():
+                        self.cache.pop(item, None)  # the last changed is the last to go
+                        self.cache[item] = body
+                        self.touched[item] = (n, doc[0])
+                if len(self.cache) > kept:
+                    self.write_back(key[0], feed, kept // 2)
+                while len(feed) >= at_once:
+                    yield pd.DataFrame(feed[:at_once], columns=columns)
+                    del feed[:at_once]
             self.count.update((n,))
-            for item, (at, batch, body) in touched.items():
-                kind = "removed" if body is None else "item"
-                feed.append((key[0], at, batch, kind, item, None if body is None else json.dumps(body)))
-            if feed:
-                yield pd.DataFrame(feed, columns=columns)
+            self.write_back(key[0], feed, 0)
+            for first in range(0, len(feed), at_once):
+                yield pd.DataFrame(feed[first : first + at_once], columns=columns)
+
+        def write_back(self, project, feed, leave):
+            """Put the items changed longest ago into the store and the feed, until ``leave`` are left."""
+            while len(self.cache) > leave:
+                item = next(iter(self.cache))
+                body = self.cache.pop(item)
+                if item not in self.touched:
+                    continue
+                n, batch = self.touched.pop(item)
+                if body is not None:
+                    self.items.updateValue((item,), (json.dumps(body),))
+                elif self.items.containsKey((item,)):
+                    self.items.removeKey((item,))
+                feed.append((project, n, batch, "removed" if body is None else "item", item, None if body is None else json.dumps(body)))
+
+        def in_order(self, rows):
+            """(batch_seq, batch_ts, features, removals) of all documents by batch_seq."""
+            rows = iter(rows)
+            first, second = next(rows, None), next(rows, None)
+            if second is None:
+                yield from [] if first is None else self.listed(first)
+                return
+            sizes = []
+            for run, chunk in enumerate(chain((first, second), rows)):
+                documents = self.listed(chunk)
+                sizes.append(-(-len(documents) // block))
+                for at in range(sizes[-1]):
+                    self.waiting.updateValue((run, at), (json.dumps(documents[at * block : (at + 1) * block]),))
+            yield from heapq.merge(*(self.run(run, size) for run, size in enumerate(sizes)), key=lambda d: d[0])
+
+        def run(self, run, size):
+            for at in range(size):
+                documents = json.loads(self.waiting.getValue((run, at))[0])
+                self.waiting.removeKey((run, at))
+                yield from documents
+
+        def listed(self, chunk):
+            chunk = chunk.sort_values("batch_seq", kind="stable")
+            return list(zip(*(chunk[c].tolist() for c in ("batch_seq", "batch_ts", "features", "removals"))))
 
         def apply(self, doc, n):
             """Items after the document (None: removed). Raises, changing nothing, if it is invalid."""
+            batch, time, features, removals = doc
             changed = {}
-            for pos, patch in enumerate(json.loads(doc.features)):
+            for pos, patch in enumerate(json.loads(features)):
                 item = None if patch is None else patch.get("id")
                 if item is None:
                     raise ValueError("change without id")
@@ -108,17 +159,20 @@ def _processor() -> StatefulProcessor:
                     for name in required:
                         if name not in given:
                             raise ValueError(missing_field_text % (item, name))
-                    old = {"id": item, "context": None, **defaults, "created_at": doc.batch_ts,
-                           "ord_batch": doc.batch_seq, "ord_pos": pos}
-                changed[item] = {**old, **given, "last_updated": doc.batch_ts}
-            for item in json.loads(doc.removals):
+                    old = {"id": item, "context": None, **defaults, "created_at": time,
+                           "ord_batch": batch, "ord_pos": pos}
+                changed[item] = {**old, **given, "last_updated": time}
+            for item in json.loads(removals):
                 if item is None:
                     raise ValueError("change without id")
                 changed[item] = None
             return changed
 
         def stored(self, item):
-            return json.loads(self.items.getValue((item,))[0]) if self.items.containsKey((item,)) else None
+            if item not in self.cache:
+                found = self.items.containsKey((item,))
+                self.cache[item] = json.loads(self.items.getValue((item,))[0]) if found else None
+            return self.cache[item]
 
         def close(self):
             pass
@@ -136,3 +190,25 @@ def latest_items(feed: DataFrame, as_of: int) -> DataFrame:
         .withColumn("recency_score", recency_score(F.col("last_updated"), as_of))
         .select(*FEATURE.fieldNames())
     )
+
+
+def stored_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The change feed kept below ``folder``: the newest compacted part and the micro-batches after it."""
+    compact = max(committed(spark, folder, "compact"), default=None)
+    epochs = [e for e in committed(spark, folder, "epoch") if compact is None or e > compact]
+    paths = [f"{folder}/epoch={e}" for e in epochs] + ([] if compact is None else [f"{folder}/compact={compact}"])
+    return spark.read.schema(CHANGE_FEED).parquet(*paths) if paths else spark.createDataFrame([], CHANGE_FEED)
+
+
+def compact_feed(spark: SparkSession, folder: str) -> int | None:
+    """Write the feed up to its newest micro-batch with one row an item, its last state, and without the removed.
+    Rejections stay. Readers then leave out what it covers; returns the number of that micro-batch."""
+    newest = max(committed(spark, folder, "epoch"), default=None)
+    if newest is None or newest in committed(spark, folder, "compact"):
+        return newest
+    feed = stored_feed(spark, folder)
+    others = [F.col(c) for c in CHANGE_FEED.fieldNames() if c not in KEY]
+    last = feed.filter("kind <> 'rejected'").groupBy(*KEY).agg(F.max_by(F.struct(*others), "doc_no").alias("s"))
+    living = last.filter("s.kind = 'item'").select(*KEY, "s.*").select(*CHANGE_FEED.fieldNames())
+    living.unionByName(feed.filter("kind = 'rejected'")).write.mode("overwrite").parquet(f"{folder}/compact={newest}")
+    return newest

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 import model
@@ -84,3 +88,106 @@ def test_rejects_of_all_kinds(spark):
     found = {r.json: r.error for r in got.collect()}
     assert {k: found.get(k) for k in wrong} == wrong
     assert set(found) == set(lines) - {lines[4], lines[8]} and got.count() == 14
+
+
+_MANY = """
+import json, resource, sqlite3, sys
+import pandas as pd
+from taskfold.streaming import keyed_state
+
+class Entries:  # a state store on disk
+    def __init__(self, db, name):
+        self.db, self.name = db, name
+        db.execute(f"CREATE TABLE {name} (k TEXT PRIMARY KEY, v TEXT)")
+    def find(self, key):
+        return self.db.execute(f"SELECT v FROM {self.name} WHERE k = ?", (repr(key),)).fetchone()
+    containsKey = lambda self, key: self.find(key) is not None
+    getValue = find
+    def updateValue(self, key, value):
+        self.db.execute(f"INSERT OR REPLACE INTO {self.name} VALUES (?, ?)", (repr(key), value[0]))
+    def removeKey(self, key):
+        self.db.execute(f"DELETE FROM {self.name} WHERE k = ?", (repr(key),))
+
+class Value:
+    value = None
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    def update(self, value):
+        self.value = value
+
+class Handle:
+    def __init__(self, path):
+        self.db = sqlite3.connect(path)
+        self.db.execute("PRAGMA cache_size = -2000")
+        self.db.execute("PRAGMA temp_store = FILE")
+    getMapState = lambda self, name, *_: Entries(self.db, name)
+    getValueState = lambda self, *_: Value()
+
+n, size = 1_000_000, 10_000
+def chunks(count):
+    of = count // size
+    for c in range(of):  # later chunks hold documents between those of earlier ones
+        seq = [k * of + c for k in range(size)]
+        change = [json.dumps([{"id": "i%d" % (s % 15_000), "name": "n%d" % s, "domain": "d", "description": "x" * 40}]) for s in seq]
+        yield pd.DataFrame({"project_id": "p", "batch_seq": seq, "batch_ts": seq, "features": change, "removals": ["[]"] * size})
+
+def run(count, path):
+    merge = keyed_state._processor()
+    merge.init(Handle(path))
+    last, rows = {}, 0
+    for part in merge.handleInputRows(("p",), chunks(count), None):
+        rows += len(part)
+        assert len(part) <= keyed_state.FEED_ROWS
+        for doc_no, item, body in zip(part["doc_no"], part["id"], part["body"]):
+            last[item] = doc_no
+    assert merge.count.get() == (count,) and len(last) == 15_000
+    assert sorted(last.values()) == list(range(count - 15_000 + 1, count + 1))
+    assert merge.waiting.db.execute("SELECT count(*) FROM waiting").fetchone() == (0,)
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+
+few, many = run(20_000, sys.argv[1] + "/few"), run(n, sys.argv[1] + "/many")
+print(few, many)
+"""
+
+
+def test_a_million_documents_of_one_project_in_one_trigger(tmp_path):
+    """Ten times the documents take no more memory than some blocks."""
+    out = subprocess.run(
+        [sys.executable, "-c", _MANY, str(tmp_path)], capture_output=True, text=True, timeout=900,
+        env={**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))},
+    )
+    assert out.returncode == 0, out.stderr[-2000:]
+    few, many = map(int, out.stdout.split())
+    assert many < 700 and many - few < 200, (few, many)
+
+
+def test_chunks_and_write_backs_change_nothing(spark, monkeypatch):
+    """Small chunks, blocks and caches, so that documents of one trigger go through the store."""
+    make = keyed_state._processor
+    monkeypatch.setattr(keyed_state, "_processor", lambda: make(block=2, kept=3, at_once=4))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        docs = model.random_documents(14, n_docs=24, n_projects=2)
+        expected, _ = model.replay(docs, lenient=True)
+        got = feeds.merged_by_keyed_state(spark, [model.spark_documents(spark, docs[::-1])], 10_000)
+        assert model.spark_rows(got) == model.rows_of(expected)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_compacted_feed_tells_the_same(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [[("p", 1, 1, "item", "a", '{"id":"a"}'), ("p", 2, 2, "item", "b", '{"id":"b"}'), ("p", 3, 3, "rejected", None, "why")],
+            [("p", 4, 4, "removed", "a", None), ("p", 5, 5, "item", "b", '{"id":"b","name":"new"}')],
+            [("p", 6, 6, "item", "a", '{"id":"a","name":"again"}')]]
+    state = lambda: sorted((r.id, r.name) for r in keyed_state.latest_items(keyed_state.stored_feed(spark, folder), 5).collect())
+    assert keyed_state.compact_feed(spark, folder) is None and state() == []
+    for epoch in (0, 1):
+        spark.createDataFrame(rows[epoch], keyed_state.CHANGE_FEED).write.parquet(f"{folder}/epoch={epoch}")
+    before = state()
+    assert keyed_state.compact_feed(spark, folder) == 1 == keyed_state.compact_feed(spark, folder)
+    assert state() == before == [("b", "new")]
+    assert sorted(r.kind for r in keyed_state.stored_feed(spark, folder).collect()) == ["item", "rejected"]
+    spark.createDataFrame(rows[2], keyed_state.CHANGE_FEED).write.parquet(f"{folder}/epoch=2")
+    assert state() == [("a", "again"), ("b", "new")]
