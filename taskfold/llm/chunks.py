@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from taskfold.llm import bytetext as bt
-from taskfold.llm.tables import table
+from taskfold.llm.tables import table, whole_rows, with_row
 
 WINDOW = 16
 _GEAR = np.random.default_rng(88).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -93,7 +93,7 @@ def deduplicated(docs: DataFrame, bits: int = 5, least_run: int = 64) -> DataFra
     known = (
         rows.join(shared, "digest").filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
     )
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"))
+    whole = whole_rows(docs).withColumn("key", F.col("row.doc_id").cast("long"))
     joined = whole.join(known.withColumnRenamed("doc_id", "key"), "key", "left").select("row", "digests")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +125,12 @@ def deduplicated(docs: DataFrame, bits: int = 5, least_run: int = 64) -> DataFra
                     ["row", "kept", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept_sha256"],
                 )
 
-    row_type = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(
-        cut,
-        f"row {row_type}, kept string, n_bytes long, n_chunks long, n_repeated long, n_removed long, n_spans long, kept_sha256 string",
-    )
+    counts = "kept string, n_bytes long, n_chunks long, n_repeated long, n_removed long, n_spans long, kept_sha256 string"
+    return joined.mapInArrow(cut, with_row(joined, counts))
 
 
 def op8_substring_dedup(spark, sf_dir) -> DataFrame:
+    """All documents without passages that earlier ones have; see ``deduplicated``."""
     return deduplicated(table(spark, sf_dir, "documents")).select(
         "row.doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept_sha256"
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from taskfold.llm import bytetext as bt
-from taskfold.llm.tables import stored, table
+from taskfold.llm.tables import stored, table, whole_rows, with_row
 
 #: Bytes of items for which one automaton is built. More items are taken in as many scans as needed.
 ITEM_BYTES = 1 << 20
@@ -123,11 +123,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, n: int = 13, item_bytes: i
     items = items.filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // item_bytes))
-    now = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).selectExpr(
+    now = whole_rows(docs).selectExpr(
         "row", f"CAST(array() AS {_FOUND}) AS runs", "CAST(array() AS array<bigint>) AS items"
     )
-    row_type = now.schema["row"].dataType.simpleString()
-    result = f"row {row_type}, runs {_FOUND}, items array<long>, n_words long, spans {_FOUND}"
+    result = with_row(now, f"runs {_FOUND}, items array<long>, n_words long, spans {_FOUND}")
     for part in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own])
@@ -139,6 +138,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, n: int = 13, item_bytes: i
 
 
 def op2_benchmark_decontamination(spark, sf_dir) -> DataFrame:
+    """Hits of all benchmark items in all documents; see ``decontaminated``."""
     found = decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "row.doc_id",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from taskfold.llm import bytetext as bt
 from taskfold.llm.minhash import band_buckets, one_permutation
-from taskfold.llm.tables import table
+from taskfold.llm.tables import table, whole_rows, with_row
 
 #: Bytes of templates that are sent to the tasks, at most.
 TEMPLATE_BYTES = 16 << 20
@@ -233,12 +233,12 @@ def scanned(
                 found = [_fullest(x) if x else x for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array(found, _FOUND)], ["row", "found"])
 
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    row_type = whole.schema["row"].dataType.simpleString()
-    return whole.mapInArrow(scan, f"row {row_type}, found array<struct<license:string,containment:double,first:bigint,end:bigint>>")
+    whole = whole_rows(docs)
+    return whole.mapInArrow(scan, with_row(whole, "found array<struct<license:string,containment:double,first:bigint,end:bigint>>"))
 
 
 def op10_license_scans(spark, sf_dir) -> DataFrame:
+    """The licenses and notices found in all documents; see ``scanned``."""
     return scanned(table(spark, sf_dir, "documents")).select(
         "row.doc_id",
         F.size("found").cast("long").alias("n_found"),

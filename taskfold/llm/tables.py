@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from taskfold.session import scratch_path
 
@@ -61,3 +61,18 @@ def dropped(*tables: DataFrame | None) -> None:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, whatever dots or spaces are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``row``: all columns of a table as one, so that no other column can clash with them."""
+    return docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"))
+
+
+def with_row(rows: DataFrame, more: str) -> T.StructType:
+    """The schema of ``row`` and further columns."""
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(more).fields])

@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from taskfold.llm import bytetext as bt
 from taskfold.llm.minhash import band_buckets, one_permutation
-from taskfold.llm.tables import dropped, stored, table
-
-_WORD = re.compile(r"[^\W_]+")
-#: Labelled rows of each class that the model is fitted on, at most.
-SAMPLE_PER_CLASS = 4_000
+from taskfold.llm.tables import dropped, stored, table, whole_rows, with_row
+
+_PLAIN = re.compile(r"[^\W_]+")
+#: Words may be disguised by symbols between or before their letters.
+_WORD = re.compile(r"[@$]?[^\W_]+(?:[!@$*_|]+[^\W_]+)*")
+#: Symbols and figures that stand for letters (fixed list); other symbols inside a word are left out.
+_ALIKE = str.maketrans("!|1@4$503€7", "iiiaassoeet", "*_")
+#: Labelled rows that the model is fitted on, at most; their classes are mixed as those of all labelled rows.
+SAMPLE_ROWS = 24_000
 MAX_TERMS = 2_000
 LEAST_STEM = 4
 #: Words of a context window, to either side of a hit.
@@ -38,9 +42,9 @@ class Term:
 
     @property
     def edits(self) -> int:
-        """Letters that may differ; a first letter never does."""
+        """Letters that may differ."""
         n = len(self.text)
-        return (0 if n < 6 else 1) if self.stem else (0 if n < 5 else 1 if n < 8 else 2)
+        return (0 if n < 6 else 1) if self.stem else (0 if n < 4 else 1 if n < 8 else 2)
 
 
 class Matcher:
@@ -70,11 +74,19 @@ class Matcher:
         self._restart()
 
     def _restart(self) -> None:
-        self.states: list[tuple[frozenset, tuple | None]] = [(frozenset({(0, 0)}), None)]
+        start: dict[int, int] = {}
+        self._reach(start, 0, 0)
+        self.states: list[tuple[frozenset, tuple | None]] = [(frozenset(start.items()), None)]
         self.ids = {self.states[0]: 0}
         self.next: list[dict[str, int]] = [{}]
         self.seen: dict[str, tuple[int, int] | None] = {}
 
+    def _reach(self, reached: dict[int, int], node: int, edits: int) -> None:
+        if edits <= self.limit[node] and edits < reached.get(node, 99):
+            reached[node] = edits
+            for child in self.children[node].values():  # a letter of the term is missing in the word
+                self._reach(reached, child, edits + 1)
+
     def _step(self, state: int, letter: str) -> int:
         nodes, best = self.states[state]
         for node, edits in nodes:  # another letter follows, so starts that end here match
@@ -82,20 +94,12 @@ class Matcher:
                 if self.terms[i].stem and edits <= self.terms[i].edits:
                     best = min(best or (99, 0), (edits, i))
         reached: dict[int, int] = {}
-
-        def reach(node: int, edits: int) -> None:
-            if edits <= self.limit[node] and edits < reached.get(node, 99):
-                reached[node] = edits
-                for child in self.children[node].values():  # a letter of the term is missing in the word
-                    reach(child, edits + 1)
-
         for node, edits in nodes:
             if letter in self.children[node]:
-                reach(self.children[node][letter], edits)
-            if node:  # a first letter is never changed
-                reach(node, edits + 1)
-                for child in self.children[node].values():
-                    reach(child, edits + 1)
+                self._reach(reached, self.children[node][letter], edits)
+            self._reach(reached, node, edits + 1)
+            for child in self.children[node].values():
+                self._reach(reached, child, edits + 1)
         if not reached and best is None:
             target = _DEAD
         else:
@@ -132,10 +136,17 @@ class Matcher:
         self.seen[word] = found
         return found
 
+    def find_disguised(self, word: str) -> tuple[int, int] | None:
+        """The closest term to the word, to its parts between symbols, or to what its symbols and figures look like."""
+        if word.isalpha():
+            return self.find(word)
+        forms = {word.translate(_ALIKE), *_PLAIN.findall(word)}
+        return min((f for w in forms if (f := self.find(w)) is not None), default=None)
+
     def hits(self, text: str) -> list[tuple[int, int, int, bool]]:
         """(word number, letters that differ, term, quoted) of all hits, in order."""
         lower = text.lower()
-        find = self.find
+        find = self.find_disguised
         known = {w: f for w in set(_WORD.findall(lower)) if (f := find(w)) is not None}
         if not known:
             return []
@@ -182,8 +193,9 @@ class Model:
         return best
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """text, toxic of at most ``per_class`` training documents of each class, picked by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:
+    """text, toxic of at most ``n_rows`` training documents, picked by a hash of the id and nothing else: the share of
+    toxic ones is that of all labelled rows, however many there are.
 
     The picked ids have a bound, so they are sent to the documents.
     """
@@ -191,10 +203,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
         "doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(CAST(doc_id AS STRING)) % 5 <> 0"
     )
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    picked = None
-    for label in (0, 1):
-        own = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = own if picked is None else picked.union(own)
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_rows)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(picked), "doc_id"
     ).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
@@ -268,7 +277,7 @@ def _word_contexts(groups: dict[int, int]):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = _digest(text)
                 of = groups.get(own, own)
-                words = _WORD.findall(text.lower())
+                words = _PLAIN.findall(text.lower())
                 before = ["", *words[:-1]]
                 seen.update((w, b, toxic, of) for w, b in dict(zip(reversed(words), reversed(before))).items())
                 if len(seen) > 200_000:
@@ -338,11 +347,16 @@ def lexicon(
     return terms, frozenset(r["word"] for r in usual)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """The lexicon, and the weight of each (term, letters that differ, quoted): the share of toxic documents
-    among those of the sample with such a hit, drawn towards a prior by four pseudo-documents. Near-equal documents
-    with the same label count once."""
-    sample = stored(labelled_sample(docs, labels, per_class), "sample")
+def fitted(docs: DataFrame, labels: DataFrame, n_rows: int = SAMPLE_ROWS) -> Model:
+    """The lexicon, and the weight of each (term, letters that differ, quoted): the share of toxic documents among those
+    of the sample with such a hit, drawn towards a prior by four pseudo-documents. Near-equal documents with the same
+    label count once.
+
+    The prior of misspellings is learned as well: it is the share that all misspellings with so many edits have,
+    apart for terms whose misspellings no clean document holds and for the others, which are close to ordinary words.
+    Repeated labels of a document count once, as toxic if one says so; documents are not told apart by a null doc_id.
+    """
+    sample = stored(labelled_sample(docs, labels, n_rows), "sample")
     groups = copies(sample)
     terms, exceptions = lexicon(sample, groups=groups)
 
@@ -365,13 +379,21 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
     ).collect()  # at most six rows a term
     dropped(sample)
     seen = {(r["term"], r["edits"], r["quoted"]): (r["toxic"], r["all"]) for r in rows}
+    ordinary = {t for (t, e, _), (toxic, all_) in seen.items() if e and all_ > toxic}
+    pooled: dict[tuple[bool, int], list[int]] = {}
+    for (t, e, q), (toxic, all_) in seen.items():
+        if e and not q:
+            own = pooled.setdefault((t in ordinary, e), [0, 0])
+            own[0], own[1] = own[0] + toxic, own[1] + all_
     weights = {}
     for i, term in enumerate(terms):
         for edits in range(term.edits + 1):
+            toxic, all_ = pooled.get((i in ordinary, edits), (0, 0))
+            misspelt = (toxic + (0.5 if i in ordinary else 0.75)) / (all_ + 1)
             for q in (False, True):
                 toxic, all_ = seen.get((i, edits, q), (0, 0))
-                prior = 0.35 if q else 0.9 - 0.15 * edits
-                weights[i, edits, q] = min(0.995, (toxic + 4 * prior) / (all_ + 4))
+                prior = 0.35 if q else misspelt if edits else 0.9
+                weights[i, edits, q] = min(0.995, (toxic + 4 * min(prior, 0.9)) / (all_ + 4))
     toxic, all_ = seen.get((-1, 0, False), (0, 0))
     return Model(tuple(terms), exceptions, weights, min(0.45, (toxic + 0.02) / (all_ + 1)))
 
@@ -394,13 +416,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 ["row", "score", "n_hits"],
             )
 
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    row_type = whole.schema["row"].dataType.simpleString()
-    out = whole.mapInArrow(score, f"row {row_type}, score double, n_hits long")
+    whole = whole_rows(docs)
+    out = whole.mapInArrow(score, with_row(whole, "score double, n_hits long"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op3_toxicity(spark, sf_dir) -> DataFrame:
+    """Scores of all documents by a model of the labelled ones; see ``fitted`` and ``scored``."""
     docs = table(spark, sf_dir, "documents")
     model = fitted(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model).select(

@@ -18,11 +18,10 @@ def distance(a, b):
 
 
 def slow_find(terms, word):
-    """The first letter stays, so the distance is that of the rests."""
     best = None
     for i, t in enumerate(terms):
         for part in [word[:n] for n in range(1, len(word))] if t.stem else [word]:
-            if part[:1] == t.text[0] and (d := distance(part[1:], t.text[1:])) <= t.edits:
+            if (d := distance(part, t.text)) <= t.edits:
                 best = min(best or (99, 0), (d, i))
     return best
 
@@ -45,6 +44,79 @@ def test_exceptions():
     assert tx.Matcher([tx.Term("idiot", False)], frozenset(["idiom"])).find("idiom") is None
 
 
+def test_disguises():
+    matcher = tx.Matcher([tx.Term("idiot", False), tx.Term("scum", False), tx.Term("worthless", False)])
+    found = lambda t: [(h[0], h[1], h[2]) for h in matcher.hits(t)]
+    assert found("a jdiot scvm of id!ot and s_cum, 1d10t $cum w0rthle$s") == [
+        (1, 1, 0), (2, 1, 1), (4, 0, 0), (6, 0, 1), (7, 0, 0), (8, 0, 1), (9, 0, 2),
+    ]
+    assert found("idiot_worthless idiot|then") == [(0, 0, 0), (1, 0, 0)]
+    assert found("$ 10 ! the*time 5:30 a|b id!ots?") == [(5, 1, 0)]
+
+
+def share_corpus(spark, n, seed):
+    """One toxic document in ten; rare fragments by the thousand, none of which tells anything."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        w = ["x%x" % int(rng.paretovariate(0.5) % 4000) for _ in range(40)]
+        if i % 10 == 0:
+            for _ in range(3):
+                w[rng.randrange(40)] = rng.choice(["idiot", "worthless", "pathetic", "scum"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 10 == 0)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_share_of_clean_documents_flagged_is_alike_at_all_sizes(spark):
+    docs, labels = share_corpus(spark, 6000, 9)
+    wrong = []
+    for rows in (480, 4800):
+        model = tx.fitted(docs, labels, rows)
+        assert {t.text for t in model.terms} == {"idiot", "worthless", "pathetic", "scum"}
+        got = tx.scored(docs, model).select("row.doc_id", "predicted").collect()
+        wrong.append(sum(r["predicted"] for r in got if r["doc_id"] % 10))
+        assert all(r["predicted"] for r in got if r["doc_id"] % 10 == 0)
+    assert max(wrong) <= 1.5 * min(wrong) + 5
+
+
+def brute_score(model, text):
+    """The scorer word by word, with edit distances."""
+    import re
+
+    words = list(re.finditer(r"[@$]?[^\W_]+(?:[!@$*_|]+[^\W_]+)*", text.lower()))
+    hits = []
+    for n, m in enumerate(words):
+        forms = {m[0]} if m[0].isalpha() else {m[0].translate(tx._ALIKE), *re.findall(r"[^\W_]+", m[0])}
+        found = [f for w in forms if w not in model.exceptions and (f := slow_find(model.terms, w))]
+        if found:
+            edits, term = min(found)
+            hits.append((n, model.weights[term, edits, tx.quoted(text.lower(), words, n)]))
+    best = model.without
+    for n, _ in hits:
+        miss = 1.0
+        for k, w in hits:
+            if n <= k <= n + 2 * tx.REACH:
+                miss *= 1 - w
+        best = max(best, 1 - miss)
+    return best
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    docs, labels = share_corpus(spark, 600, 10)
+    odd = [(9001, "you idjot, wortless id!ot", "a"), (9002, 'he said "scum" twice', "b"), (9003, None, None), (9004, "", "")]
+    docs = docs.selectExpr("doc_id", "text", "'s' AS `a.b: c`").union(spark.createDataFrame(odd, "doc_id long, text string, s string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = tx.fitted(docs, labels)
+    got = tx.op3_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 604
+    for r in got:
+        assert r["score"] == pytest.approx(brute_score(model, texts[r["doc_id"]] or "")), texts[r["doc_id"]]
+        assert r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_context():
     matcher = tx.Matcher([tx.Term("idiot", False)])
     kinds = lambda t: [h[3] for h in matcher.hits(t)]
