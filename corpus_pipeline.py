@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskfold.llm import chunks, decontaminate, minhash, mixing, toxicity
-from taskfold.llm.tables import stored, table
+from taskfold.llm.tables import named, stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +22,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each group of near-duplicates (five words, 80 percent) the document with the smallest doc_id stays."""
     found = minhash.near_duplicates(docs)
     gone = found.filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id has too are cut out; every document stays."""
     cut = chunks.deduplicated(docs).withColumn("text", F.when(F.col("row.text").isNotNull(), F.col("kept")))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return cut.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
