@@ -7,6 +7,8 @@ keywords that occur in it. A query is joined on all it asks for at once, so noth
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taskfold.operators.search import TEXT_FIELDS, keyword_predicate
@@ -17,8 +19,11 @@ _GRAM = 3
 _SMALL = ["_domain", "_status", "_tags", *STORED_ORDER]
 
 
-def search_many(features: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, project_id, id, ord_batch, ord_pos) of every match. A null filter is absent."""
+def search_many(features: DataFrame, queries: DataFrame, kept_words: int | None = None) -> DataFrame:
+    """(query_id, project_id, id, ord_batch, ord_pos) of every match. A null filter is absent.
+
+    ``kept_words``: see :func:`hits_by_gram`; it changes the plan and not the result.
+    """
     asked = _normalised(queries).withColumn("mask", _mask()).withColumn("key", _query_key())
     masks = [r["mask"] for r in asked.select("mask").distinct().collect()]  # at most eight
     with_word = asked.filter("q_word is not null").select("query_id", "key", F.col("q_word").alias("word"))
@@ -30,7 +35,7 @@ def search_many(features: DataFrame, queries: DataFrame) -> DataFrame:
         return rows.select(*KEY, *STORED_ORDER, *more, F.explode(_item_keys(masks)).alias("key"))
 
     out = ["query_id", *KEY, *STORED_ORDER]
-    by_word = keyed(hits_by_gram(features, words), "word").join(with_word, ["word", "key"])
+    by_word = keyed(hits_by_gram(features, words, KEPT_WORDS if kept_words is None else kept_words), "word").join(with_word, ["word", "key"])
     by_key = keyed(_small_columns(features)).join(without_word, "key")
     return by_word.select(*out).unionByName(by_key.select(*out))
 
@@ -89,31 +94,45 @@ def _item_keys(masks: list[int]) -> Column:
     return F.concat(*every) if every else F.array().cast("array<struct<mask:int,tag:string,domain:string,status:string>>")
 
 
-def hits_by_gram(features: DataFrame, words: DataFrame) -> DataFrame:
-    """Small columns and ``word`` for every keyword that occurs in an item: a join on its rarest three-character gram.
+#: Words whose grams are looked up inside the item's row; more are joined.
+KEPT_WORDS = 4_096
+#: Share of the items that tells how frequent grams are. It decides which gram a word goes by, never what is found.
+SAMPLED_ITEMS = 0.02
+
+
+def hits_by_gram(features: DataFrame, words: DataFrame, kept_words: int = KEPT_WORDS) -> DataFrame:
+    """Small columns and ``word`` for every keyword that occurs in an item.
 
-    An item that contains a keyword contains all its grams, so joining on one of them misses nothing;
-    what it brings too much is taken out by the exact test. Keywords of one or two characters go by
-    their first character.
+    An item that contains a keyword contains all its three-character grams, so a word goes by one of them, the
+    rarest in a sample of the items. A text is taken apart inside its row and only the grams that a word goes by
+    leave it; what they bring too much is taken out by the exact test. Up to ``kept_words`` words the grams are a
+    constant of the plan and the test follows at once, so texts are read once and never move. Keywords of one or two
+    characters go by their first character.
     """
     text = F.concat_ws("\u0000", *[F.lower(c) for c in TEXT_FIELDS], F.transform("tags", F.lower))
-    grams = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+    grams = F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
     if not words.filter(F.length("word") < _GRAM).isEmpty():
-        grams = F.array_union(grams, F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1)))
+        grams = F.concat(grams, F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1)))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - (_GRAM - 1)))
     width = F.when(F.length("word") >= _GRAM, _GRAM).otherwise(1)
     word_grams = words.select(
         "word", F.explode(F.array_distinct(F.transform(starts, lambda i: F.col("word").substr(i, width)))).alias("gram")
     )
-    known = word_grams.select("gram").distinct()
-    # Counted first and joined then; taking the texts apart is the costly step, so it is done once.
-    item_grams = stored(features.select(*KEY, F.explode(grams).alias("gram")).join(known, "gram", "left_semi"), "grams")
-    frequency = item_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (
+    sampled = features.sample(SAMPLED_ITEMS, seed=1).select(F.explode(F.array_distinct(grams)).alias("gram"))
+    frequency = sampled.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = stored(
         word_grams.join(frequency, "gram", "left")
         .groupBy("word")
-        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0).cast("long")), F.col("gram"))).alias("gram"))
+        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0).cast("long")), F.col("gram"))).alias("gram")),
+        "grams",
     )
+    texts = [c for c in TEXT_FIELDS if c not in KEY]
+    known = rarest.limit(kept_words + 1).collect()
+    if len(known) <= kept_words:
+        chosen = F.from_json(F.lit(json.dumps(sorted({r["gram"] for r in known}))), "array<string>")
+        items = _small_columns(features, *texts, "tags").select("*", F.explode(F.array_intersect(grams, chosen)).alias("gram"))
+        return items.join(F.broadcast(rarest), "gram").filter(keyword_predicate(F.col("word"))).select(*KEY, *_SMALL, "word")
+    item_grams = features.select(*KEY, F.explode(F.array_distinct(grams)).alias("gram"))
     candidates = item_grams.join(rarest, "gram").select(*KEY, "word")
-    texts = _small_columns(features, *[c for c in TEXT_FIELDS if c not in KEY], "tags")
-    return candidates.join(texts, list(KEY)).filter(keyword_predicate(F.col("word"))).select(*KEY, *_SMALL, "word")
+    items = _small_columns(features, *texts, "tags")
+    return candidates.join(items, list(KEY)).filter(keyword_predicate(F.col("word"))).select(*KEY, *_SMALL, "word")

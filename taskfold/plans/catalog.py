@@ -113,8 +113,8 @@ def search_many_queries(spark, sf):
 
 @query
 def search_many_queries_by_gram(spark, sf):
-    """The same; kept under its former name, as there is one way now."""
-    return many_search.search_many(st.features(spark, sf), st.search_queries(spark, sf))
+    """The same by the joins meant for very many words."""
+    return many_search.search_many(st.features(spark, sf), st.search_queries(spark, sf), kept_words=0)
 
 
 @query
@@ -253,8 +253,11 @@ def document_errors(spark, sf):
 
 @query
 def stream_rejects(spark, sf):
-    """The lines that a lenient merge of all these texts keeps apart."""
-    lines = _event_texts(spark, sf).filter("event_id % 16 NOT IN (3, 5, 8, 13)").select(F.col("json").alias("value"))
+    """The lines that a lenient merge of all these texts, stamped with a project, keeps apart."""
+    stamp = F.format_string('{"project_id": "p", "batch_seq": %d, "batch_ts": 9, ', F.col("event_id"))
+    text = F.col("json")
+    stamped = F.when(text.startswith('{"'), F.concat(stamp, F.expr("substring(json, 2)"))).otherwise(text)
+    lines = _event_texts(spark, sf).select(stamped.alias("value"))
     return feeds.rejects_of_lines(spark, lines).groupBy("json", "error").agg(F.count("*").alias("n"))
 
 
@@ -265,7 +268,7 @@ def ingest_plain_documents(spark, sf):
         '{"features": [{"id": "f-%d", "name": "n%d", "domain": "d", "description": "e%d"}, {"id": "f-%d", "tags": ["t"]}]}',
         *[F.col(c) for c in ("user_id", "user_id", "event_id", "user_id")],
     )
-    texts = st.table(spark, sf, "events").filter("event_type = 'purchase'").select(creation.alias("json"), F.col("event_id").alias("arrival"))
+    texts = st.table(spark, sf, "events").select(creation.alias("json"), F.col("event_id").alias("arrival"))
     docs = documents.stamped(documents.parse_documents(texts), "inbox", st.AS_OF, 1)
     merged = changelog.replay(_empty(spark), documents.flatten_documents(docs), st.AS_OF)
     return merged.select(*KEY, "name", "description", F.array_join("tags", ",").alias("tags"), "created_at", "status")
@@ -454,14 +457,14 @@ def state_documents(spark, sf):
 
 @query
 def item_json(spark, sf):
-    """Items as JSON objects: a null context is written, not left out."""
-    return documents.feature_json(st.features(spark, sf)).selectExpr(
-        "project_id",
-        "get_json_object(json, '$.id') AS id",
-        "json LIKE '%\"context\":null%' AS null_context",
-        "get_json_object(json, '$.tags[0]') AS first_tag",
-        "CAST(get_json_object(json, '$.last_updated') AS BIGINT) AS last_updated",
-        "json_object_keys(json)[10] AS last_field",
+    """Items as JSON objects, read back: all fields in their order, a null context written and not left out."""
+    rows = documents.feature_json(st.features(spark, sf)).select(
+        "project_id", "json", F.from_json("json", FEATURE_BODY, {"mode": "FAILFAST"}).alias("d")
+    )
+    return rows.selectExpr(
+        "project_id", "array_join(json_object_keys(json), ',') AS fields", "json LIKE '%\"context\":null%' AS null_context",
+        "d.id", "d.name", "d.domain", "array_join(d.tags, ',') AS tags", "d.status", "d.description", "d.context",
+        "array_join(d.files_involved, ',') AS files_involved", "d.created_at", "d.last_updated", "round(d.recency_score, 6) AS recency_score",
     )
 
 
@@ -520,17 +523,19 @@ def profile_counts(spark, sf):
 
 @query
 def discovery_reports(spark, sf):
-    """Nested reports, taken apart again into their suggestion files."""
+    """Nested reports, taken apart again into their suggestion files, with the places these have in the lists."""
     shape = (
         "root string, languages map<string,bigint>, directories array<string>, potential_features array<struct<"
         "suggested_id string, suggested_name string, suggested_domain string, files array<string>>>, total_files bigint"
     )
     nested = inventory.report_documents(st.file_listing(spark, sf))
-    parsed = nested.select("project_id", F.from_json("json", shape, {"mode": "FAILFAST"}).alias("d"))
+    parsed = nested.select("project_id", "part", F.from_json("json", shape, {"mode": "FAILFAST"}).alias("d"))
+    head = ["project_id", "part", "root", "total_files"]
     return (
-        parsed.select("project_id", "d.total_files", F.explode("d.potential_features").alias("s"))
-        .select("project_id", "total_files", "s.*")
-        .select("project_id", "total_files", "suggested_id", "suggested_name", "suggested_domain", F.explode("files").alias("path"))
+        parsed.select("project_id", "part", "d.root", "d.total_files", F.posexplode("d.potential_features").alias("place", "s"))
+        .select(*head, F.col("place").cast("long").alias("place"), "s.*")
+        .select(*head, "place", "suggested_id", "suggested_name", "suggested_domain", F.posexplode("files").alias("file_place", "path"))
+        .withColumn("file_place", F.col("file_place").cast("long"))
     )
 
 

@@ -261,19 +261,25 @@ def statements() -> dict[str, str]:
             WHEN 7 THEN 'malformed document' WHEN 9 THEN 'wrong type' WHEN 10 THEN 'wrong type' WHEN 11 THEN 'malformed document'
             WHEN 12 THEN 'wrong type' WHEN 13 THEN 'change without id' WHEN 14 THEN 'malformed document' WHEN 15 THEN 'wrong type'
             END AS error FROM events""",
-        "stream_rejects": """WITH t AS (SELECT CASE event_id % 16 WHEN 0 THEN '  ' WHEN 1 THEN '{"features": [' WHEN 2 THEN '{"features": null}'
+        "stream_rejects": """WITH t AS (SELECT event_id, CASE event_id % 16 WHEN 0 THEN '  ' WHEN 1 THEN '{"features": [' WHEN 2 THEN '{"features": null}'
+              WHEN 3 THEN concat('{"features": [{"name": "x', user_id, '"}]}')
+              WHEN 5 THEN concat('{"features": [{"id": "f-', user_id, '", "status": "complete"}]}')
               WHEN 6 THEN '{"remove_features": null}' WHEN 7 THEN '[1]' WHEN 9 THEN concat('{"features": [{"id": ', user_id, '}]}')
               WHEN 10 THEN concat('{"features": [{"id": "f-', user_id, '", "tags": "t', user_id, '"}]}')
               WHEN 11 THEN concat('{"features": [{"id": "f-', user_id, '"}]} ', user_id)
               WHEN 12 THEN concat('{"features": {"id": "f-', user_id, '"}}')
+              WHEN 13 THEN concat('{"remove_features": ["f-', user_id, '", null]}')
               WHEN 14 THEN concat('{"features": [], "features": [{"id": "f-', user_id, '"}]}')
               WHEN 15 THEN concat('{"features": [{"id": "f-', user_id, '", "files_involved": ["a", ', user_id, ']}]}') END AS json,
             CASE WHEN event_id % 16 = 0 THEN 'blank input' WHEN event_id % 16 IN (1, 7, 11, 14) THEN 'malformed document'
-              WHEN event_id % 16 IN (2, 6) THEN 'null list' ELSE 'wrong type' END AS error
-            FROM events WHERE event_id % 16 NOT IN (3, 4, 5, 8, 13)) SELECT json, error, count(*) AS n FROM t GROUP BY json, error""",
+              WHEN event_id % 16 IN (2, 6) THEN 'null list' WHEN event_id % 16 IN (3, 13) THEN 'change without id'
+              WHEN event_id % 16 = 5 THEN 'unknown status' ELSE 'wrong type' END AS error
+            FROM events WHERE event_id % 16 NOT IN (4, 8)),
+            s AS (SELECT error, CASE WHEN json LIKE '{"%' THEN concat('{"project_id": "p", "batch_seq": ', event_id, ', "batch_ts": 9, ', json[2:])
+              ELSE json END AS json FROM t) SELECT json, error, count(*) AS n FROM s GROUP BY json, error""",
         "ingest_plain_documents": f"""SELECT 'inbox' AS project_id, concat('f-', user_id) AS id, concat('n', user_id) AS name,
             concat('e', max(event_id)) AS description, 't' AS tags, {AS_OF}::bigint AS created_at, 'Pending' AS status
-            FROM events WHERE event_type = 'purchase' GROUP BY user_id""",
+            FROM events GROUP BY user_id""",
         "touch_items": _features(
             f"SELECT project_id, id, CASE WHEN status = 'Blocked' THEN {AS_OF}::bigint ELSE last_updated END AS last_updated FROM f"
         ),
@@ -334,8 +340,9 @@ def statements() -> dict[str, str]:
             FROM pr LEFT JOIN num USING (project_id)"""
         ),
         "item_json": _features(
-            "SELECT project_id, id, context IS NULL AS null_context, tags[1] AS first_tag, last_updated,"
-            " 'recency_score' AS last_field FROM f"
+            "SELECT project_id, 'id,name,domain,tags,status,description,context,files_involved,created_at,last_updated,recency_score' AS fields,"
+            " context IS NULL AS null_context, id, name, domain, array_to_string(tags, ',') AS tags, status, description, context,"
+            " array_to_string(files_involved, ',') AS files_involved, created_at, last_updated, round(recency_score, 6) AS recency_score FROM f"
         ),
         "counted_files": _listing("SELECT project_id, path FROM k"),
         "extension_histogram": _listing("SELECT * FROM hist"),
@@ -360,8 +367,11 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT project_id, 'sub', suggested_id, source_root, count(*) FROM sub GROUP BY ALL"""
         ),
         "discovery_reports": _listing(
-            f"""SELECT project_id, total_files, suggested_id, {NAMED}, path
-            FROM sub JOIN big USING (project_id, source_root, suggested_id)
+            f""", placed AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY suggested_id,
+                list_position(['src', 'lib', 'app', 'pkg'], source_root)) - 1 AS place FROM big)
+            SELECT project_id, 0::bigint AS part, project_id AS root, total_files, place, suggested_id, {NAMED}, path,
+                row_number() OVER (PARTITION BY project_id, place ORDER BY path) - 1 AS file_place
+            FROM sub JOIN placed USING (project_id, source_root, suggested_id)
             JOIN (SELECT project_id, count(*) FILTER (NOT skipped) AS total_files FROM q GROUP BY project_id) USING (project_id)"""
         ),
         "discovery_report_headers": _listing(

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from taskfold import fixed
 from taskfold.operators import many_search, report, search
 from taskfold.schema import FEATURE, SEARCH_QUERY
 
@@ -11,48 +12,62 @@ def item(id, name="N", domain="d", description="D", tags=("backend",), status="P
     return (project, id, name, domain, list(tags), status, description, context, [], 0, 0, 1.0, 0, pos)
 
 
+ALPHABET = ["a", "b", "C", "%", "_", "\\", ".", " ", "é"]
+
+
+def texts(rnd, longest):
+    return "".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(1, longest)))
+
+
+def random_items(seed, n=60):
+    rnd = random.Random(seed)
+    return [
+        item(texts(rnd, 5) + str(i), texts(rnd, 9), rnd.choice(["Xa", "xA", "y_", "q%"]), texts(rnd, 25),
+             [texts(rnd, 3) for _ in range(rnd.randrange(3))], rnd.choice(fixed.STATUSES), rnd.choice([None, texts(rnd, 9)]), rnd.randrange(10**6))
+        for i in range(n)
+    ]
+
+
+ITEMS = random_items(3)
+
+
 @pytest.fixture(scope="module")
 def items(spark):
-    return spark.createDataFrame(
-        [
-            item("gate-entry", "Entry", "access", "Front gate", pos=1),
-            item("it1", "Item", "shell", "Guards the garden gateway", pos=2),
-            item("GATE", "Gate Works", "Access", "ENTRY", ("Backend", "x_y"), "InProgress", pos=3),
-            item("odd", "100% done", "a_b", "back\\slash", ("a%b",), "Complete", "why: growth", pos=4),
-            item("none", "Nothing", "shell", "Stands about", (), "Blocked", pos=5),
-        ],
-        FEATURE,
-    )
+    return spark.createDataFrame(ITEMS, FEATURE)
 
 
 def ids(df):
     return [r.id for r in search.in_stored_order(df).collect()]
 
 
-@pytest.mark.parametrize(
-    "filters, expected",
-    [
-        ({"keyword": "gate"}, ["gate-entry", "it1", "GATE"]),
-        ({"keyword": "gateway"}, ["it1"]),
-        ({"keyword": "absent"}, []),
-        ({"domain": "access"}, ["gate-entry", "GATE"]),
-        ({"keyword": "gate", "domain": "access", "status": "inprogress"}, ["GATE"]),
-        ({"tag": "BACKEND"}, ["gate-entry", "it1", "GATE"]),
-        ({"tag": "back"}, []),
-        ({"keyword": "0%"}, ["odd"]),
-        ({"keyword": "x_y"}, ["GATE"]),
-        ({"keyword": "a_b"}, ["odd"]),
-        ({"keyword": "k\\s"}, ["odd"]),
-        ({"keyword": ""}, ["gate-entry", "it1", "GATE", "odd", "none"]),
-        ({"keyword": ["front", "gate"]}, ["gate-entry"]),
-        ({"keyword": "growth"}, ["odd"]),
-        ({"status": "in progress"}, []),
-        ({"status": "COMPLETE"}, ["odd"]),
-        ({"keyword": "ackend"}, ["gate-entry", "it1", "GATE"]),
-    ],
-)
-def test_search(items, filters, expected):
-    assert ids(search.search(items, **filters)) == expected
+def in_order(rows):
+    return [r[1] for r in sorted(rows, key=lambda r: (r[12], r[13]))]
+
+
+def random_filters(seed, n=40):
+    rnd = random.Random(seed)
+    for _ in range(n):
+        whole = rnd.choice(ITEMS)
+        of = {
+            "keyword": rnd.choice(["", texts(rnd, 4), whole[6][1:4].swapcase(), whole[1][-2:], [texts(rnd, 2), texts(rnd, 2)]]),
+            "domain": rnd.choice([whole[3].upper(), "x", "none"]),
+            "tag": rnd.choice([*whole[4], "a", "B", ""]).swapcase(),
+            "status": rnd.choice([whole[5].lower(), whole[5].upper(), "in progress"]),
+        }
+        yield {k: of[k] for k in rnd.sample(sorted(of), rnd.randrange(1, 4))}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_search(items, seed):
+    """Random filters, one after another, against the same filters in plain Python."""
+    hits = 0
+    for filters in random_filters(seed):
+        word = filters.get("keyword")
+        query = (0, " ".join(word) if isinstance(word, list) else word, *[filters.get(k) for k in ("domain", "tag", "status")])
+        expected = in_order([f for f in ITEMS if matches(query, f)])
+        assert ids(search.search(items, **filters)) == expected, filters
+        hits += len(expected)
+    assert hits > 100
 
 
 def test_a_filter_is_needed(items):
@@ -61,11 +76,12 @@ def test_a_filter_is_needed(items):
 
 
 def test_counts_and_lookup(items):
-    assert search.count_matches(items, keyword="gate").first().n_matches == 3
-    assert ids(search.lookup(items, "p", "it1")) == ["it1"]
+    found = [f for f in ITEMS if matches((0, "a", None, None, None), f)]
+    assert search.count_matches(items, keyword="a").first().n_matches == len(found) > 0
+    assert ids(search.lookup(items, "p", ITEMS[7][1])) == [ITEMS[7][1]]
     assert ids(search.lookup(items, "p", "nope")) == []
     keys = items.filter("status = 'Blocked'").union(items.filter("status = 'Blocked'"))
-    assert ids(search.lookup_many(items, keys)) == ["none"]
+    assert ids(search.lookup_many(items, keys)) == in_order([f for f in ITEMS if f[5] == "Blocked"])
 
 
 def test_literal_filters_reach_the_scan(spark, items, tmp_path):
@@ -77,18 +93,16 @@ def test_literal_filters_reach_the_scan(spark, items, tmp_path):
     assert "description" not in plan
 
 
+def matches(q, f):
+    texts = [f[1], f[2], f[3], f[6], f[7], *f[4]]
+    ok = q[1] is None or any(t is not None and q[1].lower() in t.lower() for t in texts)
+    ok &= q[2] is None or q[2].lower() == f[3].lower()
+    ok &= q[3] is None or q[3].lower() in [t.lower() for t in f[4]]
+    return ok and (q[4] is None or q[4].lower() == f[5].lower())
+
+
 def brute(items, queries):
-    out = []
-    for q in queries:
-        for f in items:
-            texts = [f[1], f[2], f[3], f[6], f[7], *f[4]]
-            ok = q[1] is None or any(t is not None and q[1].lower() in t.lower() for t in texts)
-            ok &= q[2] is None or q[2].lower() == f[3].lower()
-            ok &= q[3] is None or q[3].lower() in [t.lower() for t in f[4]]
-            ok &= q[4] is None or q[4].lower() == f[5].lower()
-            if ok:
-                out.append((q[0], f[0], f[1]))
-    return sorted(out)
+    return sorted((q[0], f[0], f[1]) for q in queries for f in items if matches(q, f))
 
 
 @pytest.mark.parametrize("seed", [0, 10])
@@ -107,8 +121,16 @@ def test_many_queries(spark, seed):
              maybe(word(2), 0.2), maybe(rnd.choice(["pending", "nope"]), 0.3))
         asked.append(q if any(v is not None for v in q[1:]) else (i, "a", None, None, None))
     asked += [(500, "a\u0000b", None, None, None), (501, "", None, None, None)]
-    got = many_search.search_many(spark.createDataFrame(rows, FEATURE), spark.createDataFrame(asked, SEARCH_QUERY))
-    assert sorted((r.query_id, r.project_id, r.id) for r in got.collect()) == brute(rows, asked)
+    for kept in (None, 0):
+        got = many_search.search_many(spark.createDataFrame(rows, FEATURE), spark.createDataFrame(asked, SEARCH_QUERY), kept)
+        assert sorted((r.query_id, r.project_id, r.id) for r in got.collect()) == brute(rows, asked)
+
+
+def test_only_grams_asked_for_leave_the_row(spark, items):
+    """The texts are exploded after they were reduced to the grams of the words, and are not shuffled."""
+    queries = spark.createDataFrame([(1, "abc", None, None, None), (2, "b_C", None, None, None)], SEARCH_QUERY)
+    plan = many_search.search_many(items, queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(array_intersect(" in plan and "Join" not in plan.split("Generate explode(array_intersect(")[1].split("LogicalRDD")[0]
 
 
 def test_many_queries_need_a_filter(spark, items):
@@ -123,11 +145,12 @@ def test_many_queries_never_compare_all_pairs(spark, items):
     assert not any(x in plan for x in ("NestedLoop", "Cartesian", "Python", "Pandas", "Arrow"))
 
 
-def test_many_queries_on_items_without_tags(spark, items):
-    bare = items.withColumn("tags", F.when(F.col("id") != "it1", F.col("tags")))
-    asked = spark.createDataFrame([(1, None, "shell", None, None), (2, "guards", None, None, None), (3, "g", "shell", "backend", None)], SEARCH_QUERY)
-    got = many_search.search_many(bare, asked).collect()
-    assert sorted((r.query_id, r.id) for r in got) == [(1, "it1"), (1, "none"), (2, "it1")]
+def test_many_queries_on_items_without_tags(spark):
+    rows = [f if i % 3 else (*f[:4], [], *f[5:]) for i, f in enumerate(ITEMS)]
+    bare = spark.createDataFrame([f if i % 3 else (*f[:4], None, *f[5:]) for i, f in enumerate(ITEMS)], FEATURE)
+    asked = [(1, None, "xa", None, None), (2, "a", None, None, None), (3, "b", "y_", "a", None)]
+    got = many_search.search_many(bare, spark.createDataFrame(asked, SEARCH_QUERY)).collect()
+    assert sorted((r.query_id, r.project_id, r.id) for r in got) == brute(rows, asked)
 
 
 def test_report(spark):
@@ -156,5 +179,6 @@ def test_top_k_is_cut_before_the_shuffle(items):
 def test_completion(spark, items):
     projects = spark.createDataFrame([("p",), ("void",)], "project_id string")
     got = {r.project_id: r.label for r in report.completion_summary(items, projects).collect()}
-    assert got == {"p": "1/5", "void": "0/0"}
-    assert report.feature_counts(items).first().n_features == 5
+    done = sum(f[5] == "Complete" for f in ITEMS)
+    assert got == {"p": f"{done}/{len(ITEMS)}", "void": "0/0"} and done
+    assert report.feature_counts(items).first().n_features == len(ITEMS)
