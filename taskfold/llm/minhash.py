@@ -119,7 +119,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
     confirmed on the full sets.
 
     Equal sets are one class, whose smallest doc_id stands for all. In a bucket, one document is the centre of
-    a star: it is compared with all others. Members that the star has not joined to one component get further
+    a star: it is compared with all others. It is the one that shares its buckets with most others, as the original of a
+    group of changed copies does, to which more of them are close than to each other. Members that the star has not joined to one component get further
     centres, eight times as many each round (and all of them where few are left), until no bucket holds two members of
     different components that have not been compared, and that the elements each has alone don't keep apart. So
     a group of n copies costs about n comparisons, and no pair that matters is left out.
@@ -141,7 +142,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
     same = stored(same, "copies")
     alone = usable.join(same.select("doc_id").distinct(), "doc_id", "left_anti")
     members = alone.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    crowd = stored(_in_open_buckets(members.withColumn("comp", F.col("rep"))), "crowd")
+    open_ = stored(_in_open_buckets(members.withColumn("comp", F.col("rep"))), "open")
+    crowd = stored(open_.join(open_.groupBy("rep").agg(F.sum("size").alias("weight")), "rep"), "crowd")
+    dropped(open_)
     wanted = crowd.select(F.col("rep").alias("doc_id")).distinct()
     whole = stored(full_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k), "sets")
     out = sets.join(same.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("component_id", F.coalesce("rep", "doc_id"))
@@ -158,21 +161,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
 
 
 #: Members of a bucket that are all compared in the second round, unless joined already; four times as many in each later.
-SMALL_BUCKET = 128
+SMALL_BUCKET = 32
 
 
 def _star_rounds(crowd: DataFrame, whole: DataFrame, least_percent: int) -> list[DataFrame]:
     """Which components each round joins (node, component), where a round's nodes are the components before it.
 
-    ``crowd``: bucket, rep, n (size of its set), size (of the bucket), comp (component of rep so far); from the
-    second round on also common (see ``_that_may_link``).
+    ``crowd``: bucket, rep, n (size of its set), weight (members of all its buckets), size (of the bucket), comp
+    (component of rep so far); from the second round on also common (see ``_that_may_link``).
     """
     rounds, turn = [], 0
     while True:
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(8**turn))
         if turn:
             slot = F.when(F.col("size") <= SMALL_BUCKET * 4 ** (turn - 1), F.col("rep")).otherwise(slot)
-        picked = crowd.groupBy("bucket", slot.alias("slot")).agg(F.min("rep").alias("centre")).select("bucket", "centre")
+        best = F.min(F.struct((-F.col("weight")).alias("weight"), "rep"))
+        picked = crowd.groupBy("bucket", slot.alias("slot")).agg(best.alias("best")).select("bucket", F.col("best.rep").alias("centre"))
         more = [F.col("common").alias("ccommon")] if turn else []
         centres = crowd.select("bucket", F.col("rep").alias("centre"), F.col("comp").alias("ccomp"), F.col("n").alias("cn"), *more)
         centres = picked.join(centres, ["bucket", "centre"])
@@ -197,7 +201,7 @@ def _star_rounds(crowd: DataFrame, whole: DataFrame, least_percent: int) -> list
         rest = (
             crowd.join(picked.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_anti")
             .join(joined, F.col("comp") == F.col("node"), "left")
-            .select("bucket", "rep", "n", F.coalesce("component", "comp").alias("comp"))
+            .select("bucket", "rep", "n", "weight", F.coalesce("component", "comp").alias("comp"))
         )
         rest = stored(_in_open_buckets(rest), "rest")
         dropped(crowd)
