@@ -201,15 +201,20 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
         return F.pmod(F.xxhash64(*parts), F.col("_parts")).cast("long").alias("part")
 
     subs = counts.filter(is_sub).withColumnsRenamed({"root": "source_root", "name": "suggested_id"})
-    # Files: placed by sub-directory, and inside an oversized one by path.
-    sub_parts = F.ceil(F.col("n") / entries_per_document)
-    oversized = subs.filter(F.col("n") > entries_per_document).select(*GROUP, sub_parts.alias("_slices"))
-    slice_ = F.coalesce(F.pmod(F.xxhash64("path"), F.col("_slices")), F.lit(0).cast("long"))
-    suggestions = (
-        _without_small(source_files(listing), subs)
-        .join(oversized, list(GROUP), "left")
+    # Files: placed by sub-directory, and inside an oversized one by path. All that a file needs to know comes with its
+    # sub-directory; they are then dealt by slice, so that neither a big project nor a big directory is one task.
+    wanted = (
+        subs.filter(F.col("n") >= fixed.MIN_SUGGESTION_FILES)
         .join(headers.select(PROJECT, "_parts"), PROJECT)
-        .groupBy(*GROUP, part(F.col("source_root"), F.col("suggested_id"), slice_))
+        .select(*GROUP, "_parts", F.ceil(F.col("n") / entries_per_document).alias("_slices"))
+    )
+    suggestions = (
+        source_files(listing)
+        .join(wanted, list(GROUP))
+        .withColumn("_slice", F.pmod(F.xxhash64("path"), F.col("_slices")))
+        .select(*GROUP, "_slice", part(F.col("source_root"), F.col("suggested_id"), F.col("_slice")), "path")
+        .repartition(*GROUP, "_slice")
+        .groupBy(*GROUP, "_slice", "part")
         .agg(F.sort_array(F.collect_list("path")).alias("files"))
         .select(
             PROJECT,

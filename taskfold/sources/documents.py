@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from taskfold import fixed
 from taskfold.operators.skew import HEAVY_ROWS, find_heavy_keys, number_rows
 from taskfold.schema import FEATURE_BODY, PATCH, PATCH_NAMES, REMOVE, STORED_ORDER, UPDATE_DOC, UPDATE_LOG, UPSERT
-from taskfold.session import scratch_path
+from taskfold.session import scratch_path, stored
 
 _LISTS = ("tags", "files_involved")  # fields of a change that hold lists
 
@@ -186,31 +186,37 @@ def state_documents(
     A project within the size limit is one document, part 0. A bigger one continues in further parts,
     so that no document ever holds more than one part; together they hold every item, and each says its number
     in ``part`` and how many there are in ``parts``. Projects without items get a document with an empty list.
+
+    Only items of projects with several parts are numbered, by their keys alone. Items go to their documents in one
+    exchange by project and part, and headers, one for each part, are joined where the documents lie. So the parts
+    of a big project are spread over all tasks, whatever is broadcast.
     """
-    order = [F.col(c) for c in STORED_ORDER]
-    heavy = find_heavy_keys(features, ["project_id"], order, min_heavy_rows)
-    numbered = number_rows(features, ["project_id"], order, "_n", heavy)
-    parts = (
-        numbered.withColumn("part", F.floor((F.col("_n") - 1) / features_per_document).cast("long"))
+    order, place = [F.col(c) for c in STORED_ORDER], ["project_id", *STORED_ORDER, "id"]
+    sizes = stored(features.groupBy("project_id").agg(F.count("*").alias("n")), "sizes")
+    large = sizes.filter(F.col("n") > features_per_document).select("project_id")
+    slim = features.select(*place).join(large, "project_id", "left_semi")
+    heavy = None
+    if not sizes.filter(F.col("n") > min_heavy_rows).isEmpty():
+        heavy = find_heavy_keys(slim, ["project_id"], order, min_heavy_rows)
+    numbered = number_rows(slim, ["project_id"], order, "_n", heavy)
+    parts = numbered.select(*place, F.floor((F.col("_n") - 1) / features_per_document).cast("long").alias("part"))
+    in_parts = features.join(parts, place)
+    in_one = features.join(large, "project_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    nested = (
+        in_one.unionByName(in_parts)
         .groupBy("project_id", "part")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("_n", F.struct(*FEATURE_BODY.fieldNames()).alias("f")))
-            ).alias("_items")
-        )
+        .agg(F.sort_array(F.collect_list(F.struct(*STORED_ORDER, F.struct(*FEATURE_BODY.fieldNames()).alias("f")))).alias("_items"))
         .select("project_id", "part", F.transform("_items", lambda x: x["f"]).alias("features"))
     )
-    nothing = F.array().cast(parts.schema["features"].dataType)
-    # An inner join and an anti join: unlike one outer join, both let Spark split a big project.
-    sizes = features.groupBy("project_id").agg(F.ceil(F.count("*") / features_per_document).cast("long").alias("parts"))
-    filled = parts.join(projects.join(sizes, "project_id"), "project_id")
-    empty = projects.join(features.select("project_id").distinct(), "project_id", "left_anti").select(
-        "*", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), nothing.alias("features")
-    )
+    nothing = F.array().cast(nested.schema["features"].dataType)
+    many = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / features_per_document)).cast("long")
+    headers = projects.join(sizes, "project_id", "left").withColumn("parts", many)
+    headers = headers.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    filled = headers.join(nested, ["project_id", "part"], "left").withColumn("features", F.coalesce("features", nothing))
     fields = ["project_name", "features", "created_at", "last_updated"]
     nulls = {"ignoreNullFields": "false"}
     whole, piece = F.to_json(F.struct(*fields), nulls), F.to_json(F.struct(*fields, "part", "parts"), nulls)
-    return filled.unionByName(empty).select("project_id", "part", F.when(F.col("parts") > 1, piece).otherwise(whole).alias("json"))
+    return filled.select("project_id", "part", F.when(F.col("parts") > 1, piece).otherwise(whole).alias("json"))
 
 
 def write_json_rows(features: DataFrame, path: str) -> None:

@@ -3,7 +3,7 @@ import json
 import pytest
 
 import model
-from taskfold.operators import changelog
+from taskfold.operators import changelog, inventory
 from taskfold.schema import FEATURE, PROJECT
 from taskfold.sources import documents, listings, snapshots
 
@@ -163,3 +163,43 @@ def test_stamped_in_ranges(spark):
     arrivals = sorted(r["arrival"] for r in plain.collect())
     got = sorted((r["batch_seq"], int(r["features"][0]["id"])) for r in docs.collect())
     assert got == [(5 + i, a) for i, a in enumerate(arrivals)]
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def aggregate_inputs(plan):
+    """The partitioning of the exchange below each nesting aggregate of a plan."""
+    lines = plan._jdf.queryExecution().executedPlan().toString().split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if "ObjectHashAggregate" in line and "functions=[collect_list" in line:
+            out.append(next(x for x in lines[i + 1 :] if "Exchange hashpartitioning" in x))
+    return out
+
+
+def test_nested_documents_are_dealt_by_project_and_part(spark, registry, projects, no_broadcasts, tmp_path):
+    """With all broadcasts off, items meet in an exchange by project and part, and headers come after it."""
+    registry.write.parquet(str(tmp_path / "items"))
+    plan = documents.state_documents(spark.read.parquet(str(tmp_path / "items")), projects, 4)
+    below = aggregate_inputs(plan)
+    assert below and all("hashpartitioning(project_id#" in x and ", part#" in x for x in below)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.index("LeftOuter") < text.index("functions=[collect_list")  # the last join lies above the nesting
+
+
+def test_report_files_are_dealt_by_slice(spark, no_broadcasts, tmp_path):
+    paths = [(f"p{i % 2}", f"src/d{i % 3}/f{i}.py") for i in range(60)]
+    spark.createDataFrame(paths, "project_id string, path string").write.parquet(str(tmp_path / "paths"))
+    plan = inventory.report_documents(spark.read.parquet(str(tmp_path / "paths")), 10)
+    below = aggregate_inputs(plan)
+    assert any("_slice#" in x for x in below) and all("_slice#" in x or ", part#" in x for x in below)
+    docs = [json.loads(r.json) for r in plan.collect()]
+    found = sorted((d["root"], s["suggested_id"], f) for d in docs for s in d["potential_features"] for f in s["files"])
+    assert found == sorted((p, path.split("/")[1], path) for p, path in paths)
