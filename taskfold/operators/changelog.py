@@ -22,9 +22,9 @@ def log_order() -> list[Column]:
     return [F.col("batch_seq"), F.col("op_rank"), F.col("pos")]
 
 
-def heavy_log_keys(log: DataFrame, min_rows: int) -> HeavyKeys | None:
-    """Items with so many changes that one task should not take them all."""
-    return find_heavy_keys(log, KEY, log_order(), min_rows)
+def heavy_log_keys(log: DataFrame, min_rows: int | None) -> HeavyKeys | None:
+    """Items with so many changes that one task should not take them all. None: there are known to be none."""
+    return None if min_rows is None else find_heavy_keys(log, KEY, log_order(), min_rows)
 
 
 def missing_field() -> Column:
@@ -46,7 +46,7 @@ def bad_status_documents(log: DataFrame) -> DataFrame:
     return log.filter(is_unreadable()).select("project_id", "batch_seq").distinct()
 
 
-def with_liveness(log: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def with_liveness(log: DataFrame, min_heavy_rows: int | None = HEAVY_ROWS) -> DataFrame:
     """Add ``is_first`` (no earlier change of the item in the log) and ``opens`` (upsert of an item not alive).
 
     ``opens`` takes the log alone: an item of an earlier snapshot is not known here.
@@ -64,7 +64,7 @@ def with_liveness(log: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame
     return seen.withColumns({"is_first": up.isNull() & down.isNull(), "opens": upsert & ~alive}).drop("_up", "_down")
 
 
-def fold_log(log: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def fold_log(log: DataFrame, min_heavy_rows: int | None = HEAVY_ROWS) -> DataFrame:
     """Net effect of a log, one row per item.
 
     ``removed_at``: batch of the last removal; ``alive``: the item exists at the end of the log;
@@ -126,7 +126,7 @@ def replay(
     log: DataFrame,
     as_of: int | DataFrame,
     check: bool = True,
-    min_heavy_rows: int = HEAVY_ROWS,
+    min_heavy_rows: int | None = HEAVY_ROWS,
 ) -> DataFrame:
     """The registry after all documents of ``log`` are applied to ``base``.
 

@@ -129,10 +129,28 @@ def hits_by_gram(features: DataFrame, words: DataFrame, kept_words: int = KEPT_W
     texts = [c for c in TEXT_FIELDS if c not in KEY]
     known = rarest.limit(kept_words + 1).collect()
     if len(known) <= kept_words:
-        chosen = F.from_json(F.lit(json.dumps(sorted({r["gram"] for r in known}))), "array<string>")
-        items = _small_columns(features, *texts, "tags").select("*", F.explode(F.array_intersect(grams, chosen)).alias("gram"))
+        wanted = sorted({r["gram"] for r in known})
+        chosen = F.from_json(F.lit(json.dumps(wanted)), "array<string>")
+        own = F.array_intersect(_grams_like(text, wanted), chosen)
+        items = _small_columns(features, *texts, "tags").select("*", F.explode(own).alias("gram"))
         return items.join(F.broadcast(rarest), "gram").filter(keyword_predicate(F.col("word"))).select(*KEY, *_SMALL, "word")
     item_grams = features.select(*KEY, F.explode(F.array_distinct(grams)).alias("gram"))
     candidates = item_grams.join(rarest, "gram").select(*KEY, "word")
     items = _small_columns(features, *texts, "tags")
     return candidates.join(items, list(KEY)).filter(keyword_predicate(F.col("word"))).select(*KEY, *_SMALL, "word")
+
+
+def _grams_like(text: Column, wanted: list[str]) -> Column:
+    """The grams of a text whose characters are, place by place, among those of the wanted ones: a few of all."""
+
+    def place(grams: list[str], i: int) -> str:
+        letters = sorted({g[i] for g in grams})
+        return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in letters) + "]" if len(letters) <= 256 else "."
+
+    parts = []
+    for size in (_GRAM, 1):
+        grams = [g for g in wanted if len(g) == size]
+        if grams:
+            pattern = "".join(place(grams, i) for i in range(size))
+            parts.append(F.regexp_extract_all(text, F.lit(rf"(?s)(?=({pattern}))"), F.lit(1)))
+    return F.concat(*parts) if parts else F.array().cast("array<string>")

@@ -65,8 +65,11 @@ def find_heavy_keys(
     """The keys with more than ``min_rows`` rows, or None (the usual case: one aggregate that counts by key).
 
     Needs non-null keys and an ``order`` without ties inside a key. All heavy keys are found, and each is cut into
-    chunks of about ``min_rows`` rows, however many that takes.
+    chunks of about ``min_rows`` rows, however many that takes. A table with no more rows than that in all has none:
+    it is counted first, which moves nothing.
     """
+    if df.count() <= min_rows:
+        return None
     hashed = df.select(F.xxhash64(*keys).alias("_hash"))
     counted = stored(hashed.groupBy("_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_rows), "heavy")
     if counted.isEmpty():

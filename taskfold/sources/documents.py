@@ -23,18 +23,20 @@ def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> D
 def parse_documents(texts: DataFrame, column: str = "json") -> DataFrame:
     """Parse a text column strictly: any structural error of :func:`document_errors` fails the job."""
     others = [c for c in texts.columns if c != column]
-    found = checked_documents(texts, column)
+    # The filter looks at a row number as well: below the parse, where Spark would else move it, it would parse again.
+    found = _parsed(texts, column).withColumn("_row", F.monotonically_increasing_id())
     failed = F.raise_error(F.concat(F.lit("invalid document: "), F.col("error")))
-    kept = found.filter(F.when(F.col("error").isNull(), True).otherwise(failed.cast("boolean")))
-    return kept.select(*others, *UPDATE_DOC.fieldNames())
+    kept = found.filter(F.when(F.col("error").isNull(), F.col("_row") >= 0).otherwise(failed.cast("boolean")))
+    return with_empty_lists(kept.select(*others, "_doc.*"))
 
 
 def checked_documents(texts: DataFrame, column: str = "json") -> DataFrame:
     """All columns, ``error`` and those of a document; an invalid text has its error and null or empty fields."""
-    checked = texts.withColumn("error", _structural_error(F.col(column)))
-    text = F.when(F.col("error").isNull(), F.col(column)).otherwise("{}")
-    parsed = checked.withColumn("_doc", F.from_json(text, UPDATE_DOC))
-    return with_empty_lists(parsed.select(*checked.columns, "_doc.*"))
+    parsed = _parsed(texts, column)
+    names = UPDATE_DOC.fieldNames()
+    return with_empty_lists(
+        parsed.select(*texts.columns, "error", *[F.when(F.col("error").isNull(), F.col("_doc")[n]).alias(n) for n in names])
+    )
 
 
 def document_errors(texts: DataFrame, column: str = "json") -> DataFrame:
@@ -45,8 +47,7 @@ def document_errors(texts: DataFrame, column: str = "json") -> DataFrame:
     change without an id and a status spelled in any other way than the stored ones. Optional fields of a
     change may be null; entries of their lists may not.
     """
-    raw = F.col(column)
-    doc = F.from_json(raw, UPDATE_DOC)
+    doc = F.col("_doc")
     no_id = F.exists(doc["features"], lambda p: p.isNull() | p["id"].isNull())
     odd_status = F.exists(
         doc["features"], lambda p: p["status"].isNotNull() & ~p["status"].isin(*fixed.STATUSES)
@@ -54,22 +55,48 @@ def document_errors(texts: DataFrame, column: str = "json") -> DataFrame:
     null_id = F.exists(doc["remove_features"], lambda r: r.isNull())
     yes = lambda c: F.coalesce(c, F.lit(False))
     error = F.coalesce(
-        _structural_error(raw),
+        "error",
         F.when(yes(no_id) | yes(null_id), "change without id").when(yes(odd_status), "unknown status"),
     )
-    return texts.withColumn("error", error)
+    return _parsed(texts, column).select(*[c for c in texts.columns if c != "error"], error.alias("error"))
+
+
+def _parsed(texts: DataFrame, column: str) -> DataFrame:
+    """``texts`` with ``error`` (structural errors only) and ``_doc``, the typed document.
+
+    Each text is parsed twice, to a tree and to the document; steps are columns of their own, so that none is
+    computed again. Spark's parsers stop at the end of the first value. So the text is put into an array before its own
+    hash: only a text that is one value leaves an array of just these two.
+    """
+    raw = F.col(column)
+    mark = F.xxhash64(raw)
+    whole = texts.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), mark.cast("string"), F.lit("]"))))
+    at = lambda i, kind: F.try_variant_get("_all", f"$[{i}]", kind)
+    one_value = F.coalesce((at(1, "long") == mark) & at(2, "variant").isNull(), F.lit(False))
+    tree = whole.withColumn("_tree", F.when(one_value, at(0, "variant"))).drop("_all")
+    shaped = tree.withColumns({
+        "_shape": F.schema_of_variant("_tree"),
+        "_doc": F.when(F.col("_tree").isNotNull(), F.from_json(raw, UPDATE_DOC)),
+    })
+    return shaped.withColumn("error", _structural_error(raw)).drop("_tree", "_shape")
+
+
+def _usual_shape() -> str:
+    """A pattern for the shape of documents that hold nothing but known fields of the right types."""
+    text, texts = "(STRING|VOID)", "(ARRAY<(STRING|VOID)>|VOID)"
+    fields = "|".join(f"{n}: {texts if n in _LISTS else text}" for n in ("id", *PATCH_NAMES))
+    change = f"OBJECT<(({fields})(, )?)*>"
+    top = [f"features: ARRAY<({change}|VOID)>", "remove_features: ARRAY<(STRING|VOID)>", f"project_id: {text}", "batch_(seq|ts): (BIGINT|VOID)"]
+    return f"^OBJECT<(({'|'.join(top)})(, )?)*>$"
 
 
 def _structural_error(raw: Column) -> Column:
     """What is wrong with a text before its changes are looked at; null if nothing is.
 
-    Spark's parsers stop at the end of the first value. Text that is one value is so inside an array and inside
-    an object, which no text with something behind its first value can be.
+    A usual shape needs no more than a look for nulls in lists, which shapes don't tell. Only in other ones is
+    each field looked at.
     """
-    tree = F.try_parse_json(raw)
-    in_array = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
-    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), raw, F.lit("}")))
-    one_value = tree.isNotNull() & in_object.isNotNull() & F.coalesce(F.size(in_array) == 1, F.lit(False))
+    tree, shape, doc = F.col("_tree"), F.col("_shape"), F.col("_doc")
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
     at = lambda v, field: F.try_variant_get(v, f"$.{field}", "variant")
     listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
@@ -96,9 +123,16 @@ def _structural_error(raw: Column) -> Column:
         & ((kind(features) == "ABSENT") | F.coalesce(F.forall(listed(features), change), F.lit(False)))
         & strings(removals, True)
     )
+    holes = F.exists(
+        doc["features"],
+        lambda p: F.coalesce(F.exists(p["tags"], lambda t: t.isNull()), F.lit(False))
+        | F.coalesce(F.exists(p["files_involved"], lambda t: t.isNull()), F.lit(False)),
+    )
+    usual = shape.rlike(_usual_shape())
     return (
         F.when(raw.isNull() | (F.trim(raw) == ""), "blank input")
-        .when(~one_value | ~kind(tree).startswith("OBJECT"), "malformed document")
+        .when(tree.isNull() | ~shape.startswith("OBJECT"), "malformed document")
+        .when(usual, F.when(F.coalesce(holes, F.lit(False)), "wrong type"))
         .when((kind(features) == "VOID") | (kind(removals) == "VOID"), "null list")
         .when(~typed, "wrong type")
     )
