@@ -55,7 +55,7 @@ def _normalised(queries: DataFrame) -> DataFrame:
     )
 
 
-def _small_columns(features: DataFrame, *more: str) -> DataFrame:
+def _small_columns(features: DataFrame, *more: str | Column) -> DataFrame:
     return features.select(
         *KEY,
         F.lower("domain").alias("_domain"),
@@ -132,8 +132,14 @@ def hits_by_gram(features: DataFrame, words: DataFrame, kept_words: int = KEPT_W
         wanted = sorted({r["gram"] for r in known})
         chosen = F.from_json(F.lit(json.dumps(wanted)), "array<string>")
         own = F.array_intersect(_grams_like(text, wanted), chosen)
-        items = _small_columns(features, *texts, "tags").select("*", F.explode(own).alias("gram"))
-        return items.join(F.broadcast(rarest), "gram").filter(keyword_predicate(F.col("word"))).select(*KEY, *_SMALL, "word")
+        # lowered once; only a word with the separator in it could be found across two fields
+        odd = any("\u0000" in r["word"] for r in known)
+        more = [*texts, "tags"] if odd else []
+        items = _small_columns(features, text.alias("_text"), own.alias("_grams"), *more).withColumn("gram", F.explode("_grams"))
+        found = F.contains("_text", F.col("word"))
+        if odd:
+            found = found & keyword_predicate(F.col("word"))
+        return items.join(F.broadcast(rarest), "gram").filter(found).select(*KEY, *_SMALL, "word")
     item_grams = features.select(*KEY, F.explode(F.array_distinct(grams)).alias("gram"))
     candidates = item_grams.join(rarest, "gram").select(*KEY, "word")
     items = _small_columns(features, *texts, "tags")
