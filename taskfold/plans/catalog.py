@@ -663,3 +663,14 @@ def nearest_in_subset(spark, sf):
     return similarity.nearest(vectors, direction, 10, key="vec_id").selectExpr(
         "vec_id", "round(similarity, 6) AS similarity"
     )
+
+
+@query
+def nearest_many_in_subsets(spark, sf):
+    """The ten closest to each vector with an id divisible by 100: half of these ask for their own label alone."""
+    vectors = st.table(spark, sf, "embeddings")
+    index = similarity.index_vectors(vectors, "vec_id", facet="label")
+    asked = vectors.filter("vec_id % 100 = 0").selectExpr(
+        "vec_id AS query_id", "embedding", "CASE WHEN vec_id % 200 = 0 THEN CAST(label AS STRING) END AS facet"
+    )
+    return similarity.nearest_many(index, asked, 10).selectExpr("query_id", "rank", "id AS vec_id", "round(similarity, 6) AS similarity")

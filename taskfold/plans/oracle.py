@@ -428,6 +428,11 @@ def statements() -> dict[str, str]:
         ),
         "attention_map": """SELECT (user_id % 10)::varchar AS project_id, concat('f-', user_id) AS feature_id,
             event_type AS target, count(*) AS n_visits FROM events GROUP BY ALL""",
+        "nearest_many_in_subsets": """WITH e AS (SELECT vec_id, label, embedding::double[] AS x FROM embeddings),
+            c AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(e.x, q.x) / (sqrt(list_inner_product(e.x, e.x)) * sqrt(list_inner_product(q.x, q.x))) AS s
+                  FROM e AS q JOIN e ON q.vec_id % 100 = 0 AND (q.vec_id % 200 <> 0 OR e.label = q.label)),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM c)
+            SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM r WHERE rank <= 10""",
         "nearest_in_subset": """WITH v AS (SELECT [(((i * 7) % 13 - 6) / 10)::double for i in range(64)] AS d),
             e AS (SELECT vec_id, embedding::double[] AS x, d FROM embeddings, v WHERE label = 1)
             SELECT vec_id, round(list_inner_product(x, d) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(d, d))), 6)
