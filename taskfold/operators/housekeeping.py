@@ -18,7 +18,12 @@ def file_index(
     features: DataFrame, ids_per_row: int = fixed.MAX_FEATURES, min_heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """Inverted index with nested, sorted item lists; a long list goes on in further parts."""
-    postings, key, order = file_postings(features), ["project_id", "file"], [F.col("id")]
+    return nested_postings(file_postings(features), ids_per_row, min_heavy_rows)
+
+
+def nested_postings(postings: DataFrame, ids_per_row: int = fixed.MAX_FEATURES, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """The same of flat postings (project_id, file, id)."""
+    key, order = ["project_id", "file"], [F.col("id")]
     numbered = number_rows(postings, key, order, "_n", find_heavy_keys(postings, key, order, min_heavy_rows))
     return (
         numbered.withColumn("part", F.floor((F.col("_n") - 1) / ids_per_row).cast("long"))

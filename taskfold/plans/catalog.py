@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from taskfold.functions import paths, text
 from taskfold.functions.recency import percent_label, recency_score
-from taskfold.operators import changelog, housekeeping, inventory, lenient, many_search, report, search, similarity
+from taskfold.operators import changelog, housekeeping, inventory, lenient, many_search, report, search, similarity, views
 from taskfold.plans import standins as st
 from taskfold.schema import FEATURE, FEATURE_BODY, KEY, PATCH_NAMES, STORED_ORDER
-from taskfold.session import scratch_path
+from taskfold.session import scratch_path, stored
 from taskfold.sources import documents, listings, snapshots
 from taskfold.streaming import feeds
 
@@ -674,3 +674,45 @@ def nearest_many_in_subsets(spark, sf):
         "vec_id AS query_id", "embedding", "CASE WHEN vec_id % 200 = 0 THEN CAST(label AS STRING) END AS facet"
     )
     return similarity.nearest_many(index, asked, 10).selectExpr("query_id", "rank", "id AS vec_id", "round(similarity, 6) AS similarity")
+
+
+def _halves(spark, sf):
+    """The registry after the first half of the log, and after all of it; stored, as a user would have them."""
+    log = st.clean_log(spark, sf)
+    middle = F.col("batch_seq") < st.MIDDLE_DAY
+    base = stored(changelog.replay(_empty(spark), log.filter(middle), st.AS_OF), "half")
+    return base, stored(changelog.replay(base, log.filter(~middle), st.AS_OF), "whole")
+
+
+@query
+def facets_by_changes(spark, sf):
+    """Facet counts of the first half of the log, brought up to date by what the second half changes."""
+    before, after = _halves(spark, sf)
+    root = scratch_path(spark, "facets")
+    views.create(views.FACETS, before, root, 0)
+    views.apply(views.FACETS, before, after, root, 1)
+    return views.read(spark, root)
+
+
+@query
+def completion_by_changes(spark, sf):
+    """Counts per project, of the facets kept by changes."""
+    before, after = _halves(spark, sf)
+    root = scratch_path(spark, "facets")
+    views.create(views.FACETS, before, root, 0)
+    views.apply(views.FACETS, before, after, root, 1)
+    views.fold(spark, root)
+    facets = views.read(spark, root)
+    return views.completion_summary(facets).join(views.feature_counts(facets), "project_id")
+
+
+@query
+def postings_by_changes(spark, sf):
+    """The file index of the stand-in items, a third of them added and a third of the files dropped by changes."""
+    items = st.features(spark, sf)
+    fewer = items.withColumn("files_involved", F.expr("IF(ord_pos % 3 = 1, slice(files_involved, 1, 1), files_involved)"))
+    root = scratch_path(spark, "postings")
+    views.create(views.POSTINGS, items.filter("ord_pos % 3 <> 0"), root, 0)
+    views.apply(views.POSTINGS, items.limit(0), items.filter("ord_pos % 3 = 0"), root, 1)
+    views.apply(views.POSTINGS, items.filter("ord_pos % 3 = 1"), fewer.filter("ord_pos % 3 = 1"), root, 2)
+    return views.read(spark, root).select("project_id", "file", "id")

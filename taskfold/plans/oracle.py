@@ -428,6 +428,17 @@ def statements() -> dict[str, str]:
         ),
         "attention_map": """SELECT (user_id % 10)::varchar AS project_id, concat('f-', user_id) AS feature_id,
             event_type AS target, count(*) AS n_visits FROM events GROUP BY ALL""",
+        "facets_by_changes": f"""WITH q AS (WITH {CLEAN}, {registry()})
+            SELECT project_id, 'status' AS facet, status AS value, count(*) AS n FROM q GROUP BY ALL
+            UNION ALL SELECT project_id, 'domain', domain, count(*) FROM q GROUP BY ALL
+            UNION ALL SELECT project_id, 'tag', tag, count(*) FROM (SELECT project_id, unnest(list_distinct(string_split(tags, ','))) AS tag
+              FROM q WHERE tags <> '') GROUP BY ALL""",
+        "completion_by_changes": f"""WITH q AS (WITH {CLEAN}, {registry()})
+            SELECT project_id, count(*) FILTER (status = 'Complete') AS n_complete, count(*) AS n_total,
+              concat(count(*) FILTER (status = 'Complete'), '/', count(*)) AS label, count(*) AS n_features FROM q GROUP BY project_id""",
+        "postings_by_changes": _features(
+            """SELECT DISTINCT project_id, unnest(CASE WHEN ord_pos % 3 = 1 THEN files_involved[1:1] ELSE files_involved END) AS file, id FROM f"""
+        ),
         "nearest_many_in_subsets": """WITH e AS (SELECT vec_id, label, embedding::double[] AS x FROM embeddings),
             c AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(e.x, q.x) / (sqrt(list_inner_product(e.x, e.x)) * sqrt(list_inner_product(q.x, q.x))) AS s
                   FROM e AS q JOIN e ON q.vec_id % 100 = 0 AND (q.vec_id % 200 <> 0 OR e.label = q.label)),

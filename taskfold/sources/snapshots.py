@@ -19,23 +19,45 @@ def save_snapshot(features: DataFrame, root: str, version: int, cluster: bool =
     Rows are dealt by ranges of (project_id, id) and sorted inside files, so a project lies in few files (a big one
     still spans many) and statistics let a reader of one project or item skip the rest. ``cluster=False``
     saves that shuffle. ``domain_lc`` makes the case-insensitive domain filter a plain equality the scan can
-    push down.
+    push down. The keys of what was written are counted once, and a version without repeated ones is marked so; one with
+    an item twice is removed again, and an error.
     """
     out = features.select(*FEATURE.fieldNames()).withColumn("domain_lc", F.lower("domain"))
     if cluster:
         out = out.repartitionByRange(*KEY)
     path = f"{root}/v={version}"
     out.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(path)
+    spark = features.sparkSession
+    try:
+        reject_duplicates(spark.read.schema(_STORED).parquet(path).select(*KEY))
+    except ValueError:
+        _files(spark, path)[0].delete(_files(spark, path)[1], True)
+        raise
+    fs, mark = _files(spark, f"{path}/{_UNIQUE}")
+    fs.create(mark, True).close()
     return path
 
 
+#: Marks a version in which no item is stored twice; readers of the folder pass over such names.
+_UNIQUE = "_UNIQUE"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def load_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """Read a version (default: the newest complete one). A missing registry is an error, as is an item stored twice."""
+    """Read a version (default: the newest complete one). A missing registry is an error, as is an item stored twice;
+    that is counted only where the version wasn't marked when it was saved."""
     if version is None:
         version = latest_version(spark, root)
     if version is None:
         raise FileNotFoundError(f"registry not initialized: {root}")
-    return reject_duplicates(spark.read.schema(_STORED).parquet(f"{root}/v={version}"))
+    rows = spark.read.schema(_STORED).parquet(f"{root}/v={version}")
+    fs, mark = _files(spark, f"{root}/v={version}/{_UNIQUE}")
+    return rows if fs.exists(mark) else reject_duplicates(rows)
 
 
 def committed(spark: SparkSession, root: str, name: str = "v") -> list[int]:

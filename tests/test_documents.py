@@ -139,6 +139,19 @@ def test_duplicates_are_rejected(registry):
         snapshots.reject_duplicates(registry.union(registry))
 
 
+def test_uniqueness_is_found_out_when_saving(spark, registry, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    with pytest.raises(ValueError, match="stored 2 times"):
+        snapshots.save_snapshot(registry.union(registry), root, 1)
+    assert snapshots.latest_version(spark, root) is None
+    snapshots.save_snapshot(registry, root, 1)
+    registry.union(registry).write.parquet(f"{root}/v=2")  # by someone else, so it has no mark
+    with pytest.raises(ValueError, match="stored 2 times"):
+        snapshots.load_snapshot(spark, root)
+    monkeypatch.setattr(snapshots, "reject_duplicates", lambda rows: pytest.fail("counted again"))
+    assert snapshots.load_snapshot(spark, root, 1).count() == registry.count()
+
+
 def test_add_projects(spark, projects):
     ids = spark.createDataFrame([("p",), ("new",), ("new",)], "project_id string")
     got = {r.project_id: (r.project_name, r.created_at) for r in snapshots.add_projects(projects, ids, 50).collect()}
