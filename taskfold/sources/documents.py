@@ -227,18 +227,17 @@ def state_documents(
     """
     order, place = [F.col(c) for c in STORED_ORDER], ["project_id", *STORED_ORDER, "id"]
     sizes = stored(features.groupBy("project_id").agg(F.count("*").alias("n")), "sizes")
-    large = sizes.filter(F.col("n") > features_per_document).select("project_id")
-    slim = features.select(*place).join(large, "project_id", "left_semi")
-    heavy = None
-    if not sizes.filter(F.col("n") > min_heavy_rows).isEmpty():
-        heavy = find_heavy_keys(slim, ["project_id"], order, min_heavy_rows)
-    numbered = number_rows(slim, ["project_id"], order, "_n", heavy)
-    parts = numbered.select(*place, F.floor((F.col("_n") - 1) / features_per_document).cast("long").alias("part"))
-    in_parts = features.join(parts, place)
-    in_one = features.join(large, "project_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    placed = features.withColumn("part", F.lit(0).cast("long"))
+    if most > features_per_document:
+        large = sizes.filter(F.col("n") > features_per_document).select("project_id")
+        slim = features.select(*place).join(large, "project_id", "left_semi")
+        heavy = find_heavy_keys(slim, ["project_id"], order, min_heavy_rows) if most > min_heavy_rows else None
+        numbered = number_rows(slim, ["project_id"], order, "_n", heavy)
+        parts = numbered.select(*place, F.floor((F.col("_n") - 1) / features_per_document).cast("long").alias("part"))
+        placed = placed.join(large, "project_id", "left_anti").unionByName(features.join(parts, place))
     nested = (
-        in_one.unionByName(in_parts)
-        .groupBy("project_id", "part")
+        placed.groupBy("project_id", "part")
         .agg(F.sort_array(F.collect_list(F.struct(*STORED_ORDER, F.struct(*FEATURE_BODY.fieldNames()).alias("f")))).alias("_items"))
         .select("project_id", "part", F.transform("_items", lambda x: x["f"]).alias("features"))
     )
