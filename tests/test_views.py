@@ -13,7 +13,7 @@ def rows(df):
 
 
 def test_views_after_every_batch(spark, tmp_path):
-    docs = model.valid_documents(31, n_docs=11, n_projects=2, n_ids=7)
+    docs = model.valid_documents(31, n_docs=16, n_projects=2, n_ids=7)
     for d in docs:
         for k, p in enumerate(d["features"]):
             p.setdefault("files_involved", [f"src/{(d['batch_seq'] + k) % 4}.py", "lib/x.rs"])
