@@ -107,14 +107,14 @@ def class_of(endings, classes: int):
 class Trainer:
     """Noise-contrastive estimation of both factors: tell each true outcome from noise drawn by frequency.
 
-    The noise of the groups is shared in a batch; a word's noise comes from its own group. A step touches only the rows
-    that occur in it, so its cost doesn't depend on the number of outcomes.
+    The noise is shared in a batch: that of the groups by all tokens, that of one group's outcomes by its tokens. A
+    step touches only the rows that occur in it, so its cost doesn't depend on the number of outcomes.
     """
 
     def __init__(self, model: LogBilinear, noise: int, rate: float, seed: int):
         self.tables = {k: getattr(model, k).copy() for k in ("inputs", "outputs", "groups", "mixing")}
         self.m = replace(model, **self.tables)
-        self.noise, self.inner, self.rate, self.rng = noise, max(1, noise // 4), rate, np.random.default_rng(seed)
+        self.noise, self.inner, self.rate, self.rng = noise, max(1, noise // 2), rate, np.random.default_rng(seed)
         self.cumulated = np.concatenate([[0], np.cumsum(model.frequency)])
         self.cuts = np.minimum(np.arange(len(model.groups) + 1) * model.width, len(model.frequency))
         mass = np.diff(self.cumulated[self.cuts])
@@ -133,24 +133,31 @@ class Trainer:
         m, n = self.m, len(word)
         self.steps += 1
         self.counts += np.bincount(word, minlength=len(self.counts))
+        order = np.argsort(word)
+        far, near, word = far[order], near[order], word[order]
         context, group = m.contexts(far, near), word // m.width
-        low, high = self.cuts[group], self.cuts[group + 1]
+        first, of_group = _firsts(word), _firsts(group)
+        groups = group[of_group]
         drawn = np.searchsorted(self.cumulated, self.rng.random(self.noise), "right") - 1
         drawn = np.minimum(drawn, len(self.counts) - 1) // m.width
         true, false = m.groups[group], m.groups[drawn]
-        up = _sigmoid(self.log_groups[group] - np.einsum("ij,ij->i", context, true))
+        up = _sigmoid(self.log_groups[group] - np.einsum("ij,ij->i", context, true))[:, None]
         down = _sigmoid(context @ false.T - self.log_groups[drawn])
-        to_context = up[:, None] * true - down @ false
-        self._move("groups", np.concatenate([group, drawn]), np.concatenate([up[:, None] * context, -(down.T @ context)]), n)
-        start, end = self.cumulated[low][:, None], self.cumulated[high][:, None]
-        drawn = np.searchsorted(self.cumulated, start + self.rng.random((n, self.inner)) * (end - start), "right") - 1
-        drawn = np.clip(drawn, low[:, None], high[:, None] - 1)
-        true, false = m.outputs[word], m.outputs[drawn]
-        up = _sigmoid(self.log_inside[word] - np.einsum("ij,ij->i", context, true))
-        down = _sigmoid(np.einsum("ij,ikj->ik", context, false) - self.log_inside[drawn])
-        to_context += up[:, None] * true - np.einsum("ik,ikj->ij", down, false)
-        pushed = -(down[:, :, None] * context[:, None, :]).reshape(-1, context.shape[1])
-        self._move("outputs", np.concatenate([word, drawn.ravel()]), np.concatenate([up[:, None] * context, pushed]), n)
+        to_context = up * true - down @ false
+        pulled = np.add.reduceat(up * context, of_group)
+        self._move("groups", np.concatenate([groups, drawn]), np.concatenate([pulled, -(down.T @ context)]), n)
+        low, high = self.cuts[groups, None], self.cuts[groups + 1, None]
+        start, end = self.cumulated[low], self.cumulated[high]
+        drawn = np.searchsorted(self.cumulated, start + self.rng.random((len(groups), self.inner)) * (end - start), "right") - 1
+        drawn = np.clip(drawn, low, high - 1)
+        at = np.repeat(np.arange(len(groups)), np.diff(np.append(of_group, n)))
+        true, false = m.outputs[word], m.outputs[drawn][at]
+        up = _sigmoid(self.log_inside[word] - np.einsum("ij,ij->i", context, true))[:, None]
+        down = _sigmoid(np.einsum("ij,ikj->ik", context, false) - self.log_inside[drawn][at])
+        to_context += up * true - np.einsum("ik,ikj->ij", down, false)
+        pushed = np.add.reduceat((down[:, :, None] * context[:, None, :]).reshape(n, -1), of_group).reshape(drawn.size, -1)
+        pulled = np.add.reduceat(up * context, first)
+        self._move("outputs", np.concatenate([word[first], drawn.ravel()]), np.concatenate([pulled, -pushed]), n)
         to_context, x, y = to_context[:, :-1], m.inputs[near], m.inputs[far]
         mixing = np.stack([(to_context * x).sum(axis=0), (to_context * y).sum(axis=0)])
         self._move("inputs", np.concatenate([near, far]), np.concatenate([to_context * m.mixing[0], to_context * m.mixing[1]]), n)
@@ -158,12 +165,18 @@ class Trainer:
 
     def _move(self, name: str, rows: np.ndarray, steps: np.ndarray, tokens: int) -> None:
         """Adds to the rows of a table what their steps, summed, say (AdaGrad)."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows)
         rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g, at = np.add.reduceat(steps[order], first, axis=0) / np.float32(tokens), rows[first]
-        self.squares[name][at] += g * g
-        self.tables[name][at] += np.float32(self.rate) * g / np.sqrt(self.squares[name][at])
+        first = _firsts(rows)
+        g, at = np.add.reduceat(steps[order], first) / np.float32(tokens), rows[first]
+        squares = self.squares[name][at] + g * g
+        self.squares[name][at] = squares
+        self.tables[name][at] += np.float32(self.rate) * g / np.sqrt(squares)
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where new values begin."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -180,14 +193,14 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray):
     return hashes, endings, owner
 
 
-def _sequences(model: LogBilinear, hashes: np.ndarray, endings: np.ndarray, owner: np.ndarray, n_texts: int):
+def _sequences(model: LogBilinear, outcomes: np.ndarray, owner: np.ndarray, n_texts: int):
     """(word before the last, last word, word, text number, is an end) of all tokens, each text followed by its end."""
     counts = np.bincount(owner, minlength=n_texts) if len(owner) else np.zeros(n_texts, np.int64)
     ends = np.cumsum(counts + 1) - 1
-    word = np.empty(len(hashes) + n_texts, np.int64)
+    word = np.empty(len(outcomes) + n_texts, np.int64)
     is_end = np.zeros(len(word), bool)
     is_end[ends] = True
-    word[~is_end] = model.numbers(hashes, endings)
+    word[~is_end] = outcomes
     word[is_end] = model.end
     near = np.concatenate([[model.end], word[:-1]])
     far = np.concatenate([[model.end, model.end], word[:-2]])[: len(word)]
@@ -212,7 +225,7 @@ def _counter(docs_of_block: pa.Table) -> pa.Table:
 def _summed_counts(hashes: np.ndarray, weights: np.ndarray, endings: np.ndarray):
     order = np.argsort(hashes)
     h, w = hashes[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    first = _firsts(h)[: len(h)]
     return h[first], np.add.reduceat(w, first) if len(h) else w, endings[order][first]
 
 
@@ -266,7 +279,8 @@ def trained(docs: DataFrame, model: LogBilinear, copies: int, noise: int = 16, r
                         yield rows_of(trainer)
                     copy, trainer, rest = numbers[low], Trainer(shared.value, noise, rate, 7), [np.empty(0, np.int64)] * 3
                 for first, end, data, offsets in bt.slices(batch.column(1).slice(low, high - low)):
-                    new = _sequences(shared.value, *hashed_words(data, offsets), end - first)[:3]
+                    h, endings, owner = hashed_words(data, offsets)
+                    new = _sequences(shared.value, shared.value.numbers(h, endings), owner, end - first)[:3]
                     rest, at = [np.concatenate(x) for x in zip(rest, new)], 0
                     while len(rest[0]) - at >= (n := trainer.batch):
                         trainer.step(*(x[at : at + n] for x in rest))
@@ -359,24 +373,29 @@ def scored(docs: DataFrame, per_root: int = 8, size: int = 16, block_bytes: int
         model, rest = shared.value
         if not own.num_rows:
             return pa.table({n: pa.array([], t) for n, t in _RESULT.items()})
-        mine = _counter(own)
-        hashes, c = mine.column("hash").to_numpy().view(U), mine.column("c").to_numpy().copy()
-        c[np.searchsorted(hashes, told.column("hash").to_numpy().view(U))] = told.column("c").to_numpy()
-        parts = []
+        found = []
         for first, end, data, offsets in bt.slices(own.column("text").combine_chunks()):
             h, endings, owner = hashed_words(data, offsets)
-            n = end - first
-            far, near, word, text, is_end = _sequences(model, h, endings, owner, n)
-            count = np.full(len(word), texts)
-            count[~is_end] = c[np.searchsorted(hashes, h)]
-            logs = model.log_probability(far, near, word) / np.log(10)
-            rare = rest[word] > 0
-            logs[rare] += np.log10((count[rare] + 1) / rest[word[rare]])
-            parts.append((np.bincount(text, minlength=n), np.bincount(text, count > 0, n).astype(np.int64),
-                          np.bincount(text, np.log10((count + 1) / base_of), n), np.bincount(text, logs, n)))
-        tokens, known_tokens, base, scores = (np.concatenate(x) for x in zip(*parts))
+            found.append((h, endings, owner + first))
+        h, endings, owner = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(h)
+        first = _firsts(h[order])[: len(h)]
+        hashes, same = h[order][first], np.empty(len(h), np.int64)
+        same[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        learn = own.column("learn").to_numpy()
+        c = np.bincount(same, learn[owner], len(first)).astype(np.int64)
+        c[np.searchsorted(hashes, told.column("hash").to_numpy().view(U))] = told.column("c").to_numpy()
+        n = own.num_rows
+        far, near, word, text, is_end = _sequences(model, model.numbers(hashes, endings[order][first])[same], owner, n)
+        count = np.full(len(word), texts)
+        count[~is_end] = c[same]
+        logs = model.log_probability(far, near, word) / np.log(10)
+        rare = rest[word] > 0
+        logs[rare] += np.log10((count[rare] + 1) / rest[word[rare]])
+        tokens, known_tokens = np.bincount(text, minlength=n), np.bincount(text, count > 0, n)
+        base, scores = np.bincount(text, np.log10((count + 1) / base_of), n), np.bincount(text, logs, n)
         return pa.table({
-            "doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": tokens.astype(np.int64), "n_known": known_tokens,
+            "doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": tokens.astype(np.int64), "n_known": known_tokens.astype(np.int64),
             "train_tokens": np.full(len(tokens), all_tokens), "base_score": base, "score": scores,
         })
 
