@@ -16,8 +16,8 @@ from taskfold.llm.tables import stored, table
 U = np.uint64
 BLOCK_BYTES = 16 << 20
 BATCH = 2048
-#: Tokens whose probabilities are computed at a time.
-TOKENS = 1 << 14
+#: Tokens whose probabilities are computed at a time, and of these against all groups: few, so that scores stay in the cache.
+TOKENS, FEW = 1 << 16, 1 << 11
 
 
 def remainder(doc_id: Column) -> Column:
@@ -82,20 +82,24 @@ class LogBilinear:
         for i in range(0, len(word), TOKENS):
             part = slice(i, i + TOKENS)
             context, group, own = self.contexts(far[part], near[part]), word[part] // self.width, out[part]
-            own[:] = _log_share(context @ self.groups.T, group)
-            order = np.argsort(group, kind="stable")
+            for j in range(0, len(group), FEW):
+                own[j : j + FEW] = _log_share(context[j : j + FEW] @ self.groups.T, group[j : j + FEW])
+            order = np.argsort(word[part])
             cuts = np.searchsorted(group[order], np.arange(len(self.groups) + 1))
             for g in np.flatnonzero(np.diff(cuts)):
-                at, first = order[cuts[g] : cuts[g + 1]], g * self.width
-                own[at] += _log_share(context[at] @ self.outputs[first : first + self.width].T, word[part][at] - first)
+                first = g * self.width
+                for j in range(cuts[g], cuts[g + 1], FEW):
+                    at = order[j : min(j + FEW, cuts[g + 1])]
+                    own[at] += _log_share(context[at] @ self.outputs[first : first + self.width].T, word[part][at] - first)
         return out
 
 
 def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """log of exp(score chosen) / sum of exp(score), row by row."""
-    scores -= scores.max(axis=1, keepdims=True)
+    if max(scores.max(), -scores.min()) > 60:  # beyond it a sum of exponentials might leave single precision
+        scores -= scores.max(axis=1, keepdims=True)
     own = scores[np.arange(len(chosen)), chosen]
-    return own - np.log(np.exp(scores, out=scores).sum(axis=1))
+    return own - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
 
 
 def class_of(endings, classes: int):
@@ -380,15 +384,17 @@ def scored(docs: DataFrame, per_root: int = 8, size: int = 16, block_bytes: int
         h, endings, owner = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(h)
         first = _firsts(h[order])[: len(h)]
-        hashes, same = h[order][first], np.empty(len(h), np.int64)
+        hashes, same = h[order[first]], np.empty(len(h), np.int64)
         same[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
         learn = own.column("learn").to_numpy()
         c = np.bincount(same, learn[owner], len(first)).astype(np.int64)
         c[np.searchsorted(hashes, told.column("hash").to_numpy().view(U))] = told.column("c").to_numpy()
-        n = own.num_rows
-        far, near, word, text, is_end = _sequences(model, model.numbers(hashes, endings[order][first])[same], owner, n)
+        n, outcomes = own.num_rows, model.numbers(hashes, endings[order[first]])[same]
+        del found, h, endings, order
+        far, near, word, text, is_end = _sequences(model, outcomes, owner, n)
         count = np.full(len(word), texts)
         count[~is_end] = c[same]
+        del same, outcomes, owner
         logs = model.log_probability(far, near, word) / np.log(10)
         rare = rest[word] > 0
         logs[rare] += np.log10((count[rare] + 1) / rest[word[rare]])
