@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from taskfold import fixed
 from taskfold.operators import many_search, report, search
+from taskfold.plans import standins
 from taskfold.schema import FEATURE, SEARCH_QUERY
 
 
@@ -182,3 +184,12 @@ def test_completion(spark, items):
     done = sum(f[5] == "Complete" for f in ITEMS)
     assert got == {"p": f"{done}/{len(ITEMS)}", "void": "0/0"} and done
     assert report.feature_counts(items).first().n_features == len(ITEMS)
+
+
+def test_search_queries_are_the_labels_divisible_by_100(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    labels = [r.doc_id for r in standins.table(spark, folder, "labels").select("doc_id").collect()]
+    asked = [r.query_id for r in standins.search_queries(spark, folder).select("query_id").collect()]
+    assert sorted(asked) == sorted(i for i in labels if i % 100 == 0) and asked
