@@ -193,3 +193,14 @@ def test_search_queries_are_the_labels_divisible_by_100(spark):
     labels = [r.doc_id for r in standins.table(spark, folder, "labels").select("doc_id").collect()]
     asked = [r.query_id for r in standins.search_queries(spark, folder).select("query_id").collect()]
     assert sorted(asked) == sorted(i for i in labels if i % 100 == 0) and asked
+
+
+def test_only_grams_of_asked_letters_leave_a_row(spark):
+    grams = spark.createDataFrame([("a-1",), ("é-2",), ("x",)], "gram string")
+    letters = many_search._letters(grams)
+    assert letters == {(3, 0, "a"), (3, 0, "é"), (3, 1, "-"), (3, 2, "1"), (3, 2, "2"), (1, 0, "x")}
+    text = spark.createDataFrame([("a-1 a-2 b-1 éé-1x",)], "text string")
+    assert text.select(many_search._grams_like(F.col("text"), letters)).first()[0] == ["a-1", "a-2", "é-1", "x"]
+    many = spark.createDataFrame([(chr(0x4E00 + i) + "b",) for i in range(300)], "gram string").selectExpr("concat(gram, 'c') AS gram")
+    letters = many_search._letters(many)
+    assert text.select(many_search._grams_like(F.lit("\u4e01bc \u4fffbc Abd"), letters)).first()[0] == ["\u4e01bc", "\u4fffbc"]
