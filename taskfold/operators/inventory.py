@@ -14,6 +14,7 @@ from taskfold.functions.paths import (
     under_skipped_directory,
 )
 from taskfold.functions.text import infer_domain, title_case
+from taskfold.operators.skew import HEAVY_ROWS, find_heavy_keys, number_rows
 from taskfold.session import stored
 
 PROJECT = "project_id"
@@ -175,14 +176,17 @@ def _counts(listing: DataFrame) -> DataFrame:
     )
 
 
-def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_FILES) -> DataFrame:
+def report_documents(
+    listing: DataFrame, entries_per_document: int = fixed.MAX_FILES, min_heavy_rows: int = HEAVY_ROWS
+) -> DataFrame:
     """(project_id, part, json): the discovery report of each project as nested JSON.
 
     A project with up to ``entries_per_document`` entries (suggestion files, extensions, directories) is
     one document, part 0. The entries of a bigger one are spread over several parts of about that size
     by hash, so no task nests more than a part; a sub-directory stays whole unless it is bigger than a
-    part itself. ``root`` and ``total_files`` are in every part, and where there is more than one, so are
-    ``part`` and ``parts``: its number and how many there are.
+    part itself, and is then cut in the order of its paths. ``root`` and ``total_files`` are in every part, and where
+    there is more than one, so are ``part`` and ``parts``: its number and how many there are. A suggested item of such
+    a project says where it stands in the whole report: ``place`` among the suggested items, ``first`` of its files.
     """
     # Used several times below; written once, it leaves two scans of the listing: for counts and for files.
     counts = stored(_counts(listing), "profile")
@@ -201,20 +205,23 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
         return F.pmod(F.xxhash64(*parts), F.col("_parts")).cast("long").alias("part")
 
     subs = counts.filter(is_sub).withColumnsRenamed({"root": "source_root", "name": "suggested_id"})
-    # Files: placed by sub-directory, and inside an oversized one by path. All that a file needs to know comes with its
-    # sub-directory; they are then dealt by slice, so that neither a big project nor a big directory is one task.
-    wanted = (
-        subs.filter(F.col("n") >= fixed.MIN_SUGGESTION_FILES)
-        .join(headers.select(PROJECT, "_parts"), PROJECT)
-        .select(*GROUP, "_parts", F.ceil(F.col("n") / entries_per_document).alias("_slices"))
-    )
+    # Files: placed by sub-directory, an oversized one in slices that follow each other. All that a file needs to know comes
+    # with its sub-directory; they are then dealt by slice, so that neither a big project nor a big directory is one task.
+    big = subs.filter(F.col("n") >= fixed.MIN_SUGGESTION_FILES)
+    order = [F.col("suggested_id"), root_position(F.col("source_root"))]
+    numbered = number_rows(big, [PROJECT], order, "_place", find_heavy_keys(big, [PROJECT], order, min_heavy_rows))
+    wanted = numbered.join(headers.select(PROJECT, "_parts"), PROJECT).select(*GROUP, "_parts", (F.col("_place") - 1).alias("_place"))
+    most = big.agg(F.max("n")).first()[0] or 0
+    files = source_files(listing).join(wanted, list(GROUP)).withColumn("_slice", F.lit(0).cast("long"))
+    if most > entries_per_document:
+        heavy = find_heavy_keys(files, GROUP, [F.col("path")], min_heavy_rows) if most > min_heavy_rows else None
+        numbered = number_rows(files, GROUP, [F.col("path")], "_n", heavy)
+        files = numbered.withColumn("_slice", F.floor((F.col("_n") - 1) / entries_per_document).cast("long"))
+    many = F.col("_parts") > 1
     suggestions = (
-        source_files(listing)
-        .join(wanted, list(GROUP))
-        .withColumn("_slice", F.pmod(F.xxhash64("path"), F.col("_slices")))
-        .select(*GROUP, "_slice", part(F.col("source_root"), F.col("suggested_id"), F.col("_slice")), "path")
+        files.select(*GROUP, "_slice", part(F.col("source_root"), F.col("suggested_id"), F.col("_slice")), "path", "_place", "_parts")
         .repartition(*GROUP, "_slice")
-        .groupBy(*GROUP, "_slice", "part")
+        .groupBy(*GROUP, "_slice", "part", "_place", "_parts")
         .agg(F.sort_array(F.collect_list("path")).alias("files"))
         .select(
             PROJECT,
@@ -227,6 +234,8 @@ def report_documents(listing: DataFrame, entries_per_document: int = fixed.MAX_F
                     title_case(F.col("suggested_id")).alias("suggested_name"),
                     infer_domain(F.col("suggested_id")).alias("suggested_domain"),
                     "files",
+                    F.when(many, F.col("_place")).alias("place"),
+                    F.when(many, F.col("_slice") * entries_per_document).alias("first"),
                 ).alias("body"),
             ).alias("_sugg"),
         )

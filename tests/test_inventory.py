@@ -6,6 +6,7 @@ import pytest
 
 from taskfold import fixed
 from taskfold.operators import inventory
+from taskfold.plans import catalog
 from taskfold.schema import FILE_LISTING
 
 SKIP = set(fixed.SKIP_DIRS)
@@ -102,6 +103,18 @@ def test_reports_in_parts_hold_everything(listing, projects):
         assert files == sorted(f for _, fs in e["suggestions"] for f in fs)
 
 
+@pytest.mark.parametrize("size, heavy", [(3, 10**6), (7, 10**6), (7, 4), (10**6, 10**6)])
+def test_parts_put_together_are_the_whole_report(listing, projects, size, heavy):
+    found = catalog._report_files(inventory.report_documents(listing, size, heavy)).collect()
+    want = [
+        (p, 0, place, item, at, path)
+        for p, fs in projects.items()
+        for place, (item, files) in enumerate(brute(fs)["suggestions"])
+        for at, path in enumerate(files)
+    ]
+    assert sorted((r.project_id, r.part, r.place, r.suggested_id, r.file_place, r.path) for r in found) == sorted(want)
+
+
 def test_summary(listing, projects):
     got = {r.project_id: r.summary for r in inventory.extension_summary(listing).collect()}
     assert got["skipped"] == "none detected"
