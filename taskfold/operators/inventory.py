@@ -212,11 +212,10 @@ def report_documents(
     numbered = number_rows(big, [PROJECT], order, "_place", find_heavy_keys(big, [PROJECT], order, min_heavy_rows))
     wanted = numbered.join(headers.select(PROJECT, "_parts"), PROJECT).select(*GROUP, "_parts", (F.col("_place") - 1).alias("_place"))
     most = big.agg(F.max("n")).first()[0] or 0
-    files = source_files(listing).join(wanted, list(GROUP)).withColumn("_slice", F.lit(0).cast("long"))
-    if most > entries_per_document:
-        heavy = find_heavy_keys(files, GROUP, [F.col("path")], min_heavy_rows) if most > min_heavy_rows else None
-        numbered = number_rows(files, GROUP, [F.col("path")], "_n", heavy)
-        files = numbered.withColumn("_slice", F.floor((F.col("_n") - 1) / entries_per_document).cast("long"))
+    files = source_files(listing).join(wanted, list(GROUP))
+    heavy = find_heavy_keys(files, GROUP, [F.col("path")], min_heavy_rows) if most > min_heavy_rows else None
+    numbered = number_rows(files, GROUP, [F.col("path")], "_n", heavy)
+    files = numbered.withColumn("_slice", F.floor((F.col("_n") - 1) / entries_per_document).cast("long"))
     many = F.col("_parts") > 1
     suggestions = (
         files.select(*GROUP, "_slice", part(F.col("source_root"), F.col("suggested_id"), F.col("_slice")), "path", "_place", "_parts")
