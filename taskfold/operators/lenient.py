@@ -48,6 +48,17 @@ def document_verdicts(log: DataFrame, base: DataFrame | None = None, ranges: int
 
     ``ranges``: into how many ranges the contested rows are cut (default: as many as the session shuffles into).
     """
+    rejected = rejected_documents(log, base, ranges)
+    return (
+        log.select(*DOCUMENT)
+        .distinct()
+        .join(rejected.withColumn("_rejected", F.lit(True)), DOCUMENT, "left")
+        .select(*DOCUMENT, F.col("_rejected").isNull().alias("accepted"))
+    )
+
+
+def rejected_documents(log: DataFrame, base: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
+    """(project_id, batch_seq) of the documents that are not valid, of :func:`document_verdicts`."""
     bad = bad_status_documents(log)
     readable = log.join(bad, DOCUMENT, "left_anti")
     touches = item_touches(readable)
@@ -62,13 +73,7 @@ def document_verdicts(log: DataFrame, base: DataFrame | None = None, ranges: int
         )
     contested = stored(contested, "touches")
     invalid = _decided(contested, ranges).filter(F.col("verdict") == INVALID)
-    rejected = bad.unionByName(invalid.select(*DOCUMENT))
-    return (
-        log.select(*DOCUMENT)
-        .distinct()
-        .join(rejected.withColumn("_rejected", F.lit(True)), DOCUMENT, "left")
-        .select(*DOCUMENT, F.col("_rejected").isNull().alias("accepted"))
-    )
+    return bad.unionByName(invalid.select(*DOCUMENT))
 
 
 #: What a walk leaves: ``kind`` 0 is a verdict, 1 a touch of a document not decided (``state``: that of the item before it as
@@ -187,7 +192,6 @@ def replay_lenient(
     base: DataFrame, log: DataFrame, as_of: int | DataFrame, min_heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """The registry after all valid documents; invalid ones leave no trace."""
-    verdicts = document_verdicts(log, base)
-    accepted = log.join(verdicts.filter(~F.col("accepted")).select(*DOCUMENT), DOCUMENT, "left_anti")
+    accepted = log.join(rejected_documents(log, base), DOCUMENT, "left_anti")
     few = log.count() <= min_heavy_rows  # then no item has more changes than that, and the accepted need no look
     return replay(base, accepted, as_of, check=False, min_heavy_rows=None if few else min_heavy_rows)

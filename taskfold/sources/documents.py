@@ -48,37 +48,41 @@ def document_errors(texts: DataFrame, column: str = "json") -> DataFrame:
     change may be null; entries of their lists may not.
     """
     doc = F.col("_doc")
-    no_id = F.exists(doc["features"], lambda p: p.isNull() | p["id"].isNull())
-    odd_status = F.exists(
-        doc["features"], lambda p: p["status"].isNotNull() & ~p["status"].isin(*fixed.STATUSES)
-    )
-    null_id = F.exists(doc["remove_features"], lambda r: r.isNull())
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    error = F.coalesce(
-        "error",
-        F.when(yes(no_id) | yes(null_id), "change without id").when(yes(odd_status), "unknown status"),
-    )
+    error = F.coalesce("error", change_error(doc["features"], doc["remove_features"]))
     return _parsed(texts, column).select(*[c for c in texts.columns if c != "error"], error.alias("error"))
 
 
+def change_error(features: Column, removals: Column) -> Column:
+    """What is wrong with the changes of a well-formed document; null if nothing is."""
+    no_id = F.exists(features, lambda p: p.isNull() | p["id"].isNull())
+    odd_status = F.exists(features, lambda p: p["status"].isNotNull() & ~p["status"].isin(*fixed.STATUSES))
+    null_id = F.exists(removals, lambda r: r.isNull())
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(no_id) | yes(null_id), "change without id").when(yes(odd_status), "unknown status")
+
+
 def _parsed(texts: DataFrame, column: str) -> DataFrame:
     """``texts`` with ``error`` (structural errors only) and ``_doc``, the typed document.
 
-    Each text is parsed twice, to a tree and to the document; steps are columns of their own, so that none is
-    computed again. Spark's parsers stop at the end of the first value. So the text is put into an array before its own
-    hash: only a text that is one value leaves an array of just these two.
+    A text that is just what its document is written as has no other structure than a document's. Only other texts are
+    also parsed to a tree; steps are columns of their own, so that none is computed again. Spark's parsers stop at the end of
+    the first value. So the text is put into an array before its own hash: only a text that is one value leaves an array of
+    just these two.
     """
     raw = F.col(column)
     mark = F.xxhash64(raw)
-    whole = texts.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), mark.cast("string"), F.lit("]"))))
+    typed = texts.withColumn("_doc", F.from_json(raw, UPDATE_DOC))
+    plain = typed.withColumn("_plain", F.coalesce(F.to_json("_doc") == raw, F.lit(False)))
+    array = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), mark.cast("string"), F.lit("]")))
+    whole = plain.withColumn("_all", F.when(~F.col("_plain"), array))
     at = lambda i, kind: F.try_variant_get("_all", f"$[{i}]", kind)
     one_value = F.coalesce((at(1, "long") == mark) & at(2, "variant").isNull(), F.lit(False))
     tree = whole.withColumn("_tree", F.when(one_value, at(0, "variant"))).drop("_all")
     shaped = tree.withColumns({
         "_shape": F.schema_of_variant("_tree"),
-        "_doc": F.when(F.col("_tree").isNotNull(), F.from_json(raw, UPDATE_DOC)),
+        "_doc": F.when(F.col("_plain") | F.col("_tree").isNotNull(), F.col("_doc")),
     })
-    return shaped.withColumn("error", _structural_error(raw)).drop("_tree", "_shape")
+    return shaped.withColumn("error", _structural_error(raw)).drop("_tree", "_shape", "_plain")
 
 
 def _usual_shape() -> str:
@@ -93,7 +97,7 @@ def _usual_shape() -> str:
 def _structural_error(raw: Column) -> Column:
     """What is wrong with a text before its changes are looked at; null if nothing is.
 
-    A usual shape needs no more than a look for nulls in lists, which shapes don't tell. Only in other ones is
+    A text as it would be written, or a usual shape, needs no more than a look for nulls in lists, which shapes don't tell. Only in other ones is
     each field looked at.
     """
     tree, shape, doc = F.col("_tree"), F.col("_shape"), F.col("_doc")
@@ -130,7 +134,8 @@ def _structural_error(raw: Column) -> Column:
     )
     usual = shape.rlike(_usual_shape())
     return (
-        F.when(raw.isNull() | (F.trim(raw) == ""), "blank input")
+        F.when(F.col("_plain"), F.when(F.coalesce(holes, F.lit(False)), "wrong type"))
+        .when(raw.isNull() | (F.trim(raw) == ""), "blank input")
         .when(tree.isNull() | ~shape.startswith("OBJECT"), "malformed document")
         .when(usual, F.when(F.coalesce(holes, F.lit(False)), "wrong type"))
         .when((kind(features) == "VOID") | (kind(removals) == "VOID"), "null list")

@@ -7,7 +7,7 @@ one that is repeated after a failure replaces its own output and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from taskfold import fixed
@@ -15,7 +15,7 @@ from taskfold.operators.changelog import bad_status_documents, first_bad_documen
 from taskfold.operators.lenient import replay_lenient
 from taskfold.schema import UPDATE_DOC
 from taskfold.sources import buckets
-from taskfold.sources.documents import checked_documents, document_errors, flatten_documents
+from taskfold.sources.documents import change_error, checked_documents, flatten_documents
 
 
 class InvalidDocument(ValueError):
@@ -56,7 +56,8 @@ def merge_stream(
         batch.write.mode("overwrite").parquet(arrived)  # parsed once, for all that follows
         batch = spark.read.schema(batch.schema).parquet(arrived)
         unread = batch.filter("error IS NOT NULL").select("json", "error")
-        faulty = document_errors(batch.filter("error IS NULL").select("json")).filter("error IS NOT NULL")
+        read = batch.filter("error IS NULL").withColumn("error", change_error(F.col("features"), F.col("remove_features")))
+        faulty = read.filter("error IS NOT NULL")
         batch = batch.filter("error IS NULL").select(*UPDATE_DOC.fieldNames())
         log = flatten_documents(batch)
         named = log.filter("id IS NOT NULL")

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import model
 from taskfold.operators import changelog, inventory
@@ -216,3 +217,24 @@ def test_report_files_are_dealt_by_slice(spark, no_broadcasts, tmp_path):
     docs = [json.loads(r.json) for r in plan.collect()]
     found = sorted((d["root"], s["suggested_id"], f) for d in docs for s in d["potential_features"] for f in s["files"])
     assert found == sorted((p, path.split("/")[1], path) for p, path in paths)
+
+
+def test_texts_as_written_and_others_have_equal_errors(spark):
+    changes = ['{"id":"a"}', '{"id":"a","status":"Pending","tags":["x"]}', '{"id":"a","tags":[null]}', '{"name":"a"}', '{"id":"a","status":"done"}', "null"]
+    plain = ["{}"] + [f'{{"project_id":"p","batch_seq":1,"batch_ts":2,"features":[{c}],"remove_features":[{r}]}}' for c in changes for r in ('"b"', "null")]
+    plain += ['{"project_id":"p","batch_seq":1.0}', '{"project_id":5}', '{"project_id":"p","project_id":"p"}', '{"features":null}', "{}{}", ""]
+    rows = [(i, t) for i, text in enumerate(plain) for t in (text, text.replace(",", " , ") if text else " ")]
+    found = {}
+    for r in documents.checked_documents(spark.createDataFrame(rows, "i int, json string")).withColumn(
+        "error", F.coalesce("error", documents.change_error(F.col("features"), F.col("remove_features")))
+    ).collect():
+        found.setdefault(r.i, []).append((r.error, r.project_id, r.features, r.remove_features))
+    assert all(a == b for a, b in found.values())
+    again = documents.document_errors(spark.createDataFrame(rows, "i int, json string")).select("i", "error").distinct().collect()
+    assert dict(again) == {i: e[0][0] for i, e in found.items()} and len(set(dict(again).values())) == 7
+
+
+def test_plain_texts_need_no_tree(spark):
+    texts = spark.createDataFrame([('{"project_id":"p"}',), ('{"project_id": "p"}',)], "json string")
+    plan = documents.checked_documents(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_plain" in plan and "CASE WHEN NOT _plain" in plan
