@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 from itertools import chain
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -51,7 +52,8 @@ def change_feed(documents: DataFrame) -> DataFrame:
     Lines that are no documents name no project; they are left to the merge's folder of rejects.
     """
     if "error" in documents.columns:
-        documents = documents.filter("error IS NULL")
+        # The filter looks at the partition as well: below the parse, where Spark would else move it, it would parse again.
+        documents = documents.withColumn("_at", F.spark_partition_id()).filter("error IS NULL AND _at >= 0")
     # Lists travel as JSON: a field that is not provided is simply absent there.
     slim = documents.select(
         "project_id",
@@ -70,10 +72,13 @@ BLOCK_DOCUMENTS, KEPT_ITEMS, FEED_ROWS = 500, 20_000, 5_000
 
 
 def _processor(block: int = BLOCK_DOCUMENTS, kept: int = KEPT_ITEMS, at_once: int = FEED_ROWS) -> StatefulProcessor:
-    required, statuses, patch_names = fixed.REQUIRED_ON_CREATE, fixed.STATUSES, PATCH_NAMES
+    required, statuses, patch_names = fixed.REQUIRED_ON_CREATE, fixed.STATUSES, frozenset(PATCH_NAMES)
     defaults = {"status": fixed.DEFAULT_STATUS, "tags": [], "files_involved": []}
     columns, missing_field_text = CHANGE_FEED.fieldNames(), fixed.MISSING_FIELD_TEXT
 
+    def plain(column):
+        return column.tolist() if column.dtype.kind in "iu" else [json.dumps(value) for value in column.tolist()]
+
     class Merge(StatefulProcessor):  # defined here, so that workers need not import this package
         def init(self, handle):
             self.items = handle.getMapState("items", "id string", "body string")
@@ -81,7 +86,8 @@ def _processor(block: int = BLOCK_DOCUMENTS, kept: int = KEPT_ITEMS, at_once: in
             self.count = handle.getValueState("documents", "n long")
 
         def handleInputRows(self, key, rows, timerValues):
-            n = self.count.get()[0] if self.count.exists() else 0
+            self.empty = not self.count.exists()  # nothing to look up until something is written
+            n = 0 if self.empty else self.count.get()[0]
             self.cache, self.touched, feed = {}, {}, []  # item -> body; item -> (document, batch) that changed it
             for doc in self.in_order(rows):
                 n += 1
@@ -112,26 +118,29 @@ def _processor(block: int = BLOCK_DOCUMENTS, kept: int = KEPT_ITEMS, at_once: in
                 if item not in self.touched:
                     continue
                 n, batch = self.touched.pop(item)
-                if body is not None:
-                    self.items.updateValue((item,), (json.dumps(body),))
-                elif self.items.containsKey((item,)):
+                text = None if body is None else json.dumps(body)
+                if text is not None:
+                    self.items.updateValue((item,), (text,))
+                    self.empty = False
+                elif not self.empty and self.items.containsKey((item,)):
                     self.items.removeKey((item,))
-                feed.append((project, n, batch, "removed" if body is None else "item", item, None if body is None else json.dumps(body)))
+                feed.append((project, n, batch, "removed" if text is None else "item", item, text))
 
         def in_order(self, rows):
             """(batch_seq, batch_ts, features, removals) of all documents by batch_seq."""
             rows = iter(rows)
             first, second = next(rows, None), next(rows, None)
             if second is None:
-                yield from [] if first is None else self.listed(first)
+                for documents in [] if first is None else self.blocks(first):
+                    yield from json.loads(documents)
                 return
             sizes = []
             for run, chunk in enumerate(chain((first, second), rows)):
-                documents = self.listed(chunk)
-                sizes.append(-(-len(documents) // block))
-                for at in range(sizes[-1]):
-                    self.waiting.updateValue((run, at), (json.dumps(documents[at * block : (at + 1) * block]),))
-            yield from heapq.merge(*(self.run(run, size) for run, size in enumerate(sizes)), key=lambda d: d[0])
+                sizes.append(0)
+                for at, documents in enumerate(self.blocks(chunk)):
+                    self.waiting.updateValue((run, at), (documents,))
+                    sizes[-1] += 1
+            yield from heapq.merge(*(self.run(run, size) for run, size in enumerate(sizes)), key=itemgetter(0))
 
         def run(self, run, size):
             for at in range(size):
@@ -139,19 +148,24 @@ def _processor(block: int = BLOCK_DOCUMENTS, kept: int = KEPT_ITEMS, at_once: in
                 self.waiting.removeKey((run, at))
                 yield from documents
 
-        def listed(self, chunk):
+        def blocks(self, chunk):
+            """The documents of a chunk by batch_seq, ``block`` at a time as a JSON list. Their lists are JSON already, so all
+            of a block is read by one call."""
             chunk = chunk.sort_values("batch_seq", kind="stable")
-            return list(zip(*(chunk[c].tolist() for c in ("batch_seq", "batch_ts", "features", "removals"))))
+            columns = plain(chunk["batch_seq"]), plain(chunk["batch_ts"]), chunk["features"].tolist(), chunk["removals"].tolist()
+            documents = ["[%s,%s,%s,%s]" % document for document in zip(*columns)]
+            for at in range(0, len(documents), block):
+                yield "[" + ",".join(documents[at : at + block]) + "]"
 
         def apply(self, doc, n):
             """Items after the document (None: removed). Raises, changing nothing, if it is invalid."""
             batch, time, features, removals = doc
             changed = {}
-            for pos, patch in enumerate(json.loads(features)):
+            for pos, patch in enumerate(features):
                 item = None if patch is None else patch.get("id")
                 if item is None:
                     raise ValueError("change without id")
-                given = {name: patch[name] for name in patch_names if patch.get(name) is not None}
+                given = {name: value for name, value in patch.items() if value is not None and name in patch_names}
                 if given.get("status", statuses[0]) not in statuses:
                     raise ValueError(f"unknown status '{given['status']}'")
                 old = changed[item] if item in changed else self.stored(item)
@@ -162,7 +176,7 @@ def _processor(block: int = BLOCK_DOCUMENTS, kept: int = KEPT_ITEMS, at_once: in
                     old = {"id": item, "context": None, **defaults, "created_at": time,
                            "ord_batch": batch, "ord_pos": pos}
                 changed[item] = {**old, **given, "last_updated": time}
-            for item in json.loads(removals):
+            for item in removals:
                 if item is None:
                     raise ValueError("change without id")
                 changed[item] = None
@@ -170,7 +184,7 @@ def _processor(block: int = BLOCK_DOCUMENTS, kept: int = KEPT_ITEMS, at_once: in
 
         def stored(self, item):
             if item not in self.cache:
-                found = self.items.containsKey((item,))
+                found = not self.empty and self.items.containsKey((item,))
                 self.cache[item] = json.loads(self.items.getValue((item,))[0]) if found else None
             return self.cache[item]
 

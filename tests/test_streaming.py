@@ -9,6 +9,7 @@ from taskfold.plans import catalog
 from taskfold.schema import FEATURE
 from taskfold.streaming import feeds, keyed_state, merge
 from taskfold.sources import buckets
+from taskfold.sources.documents import checked_documents
 from test_changelog import NEW, doc
 
 
@@ -191,3 +192,10 @@ def test_a_compacted_feed_tells_the_same(spark, tmp_path):
     assert sorted(r.kind for r in keyed_state.stored_feed(spark, folder).collect()) == ["item", "rejected"]
     spark.createDataFrame(rows[2], keyed_state.CHANGE_FEED).write.parquet(f"{folder}/epoch=2")
     assert state() == [("a", "again"), ("b", "new")]
+
+
+def test_documents_of_the_feed_are_parsed_once(spark):
+    """The filter on errors stays above the parse, which Spark would else do again for it."""
+    lines = spark.createDataFrame([('{"project_id":"p"}',)], "json string")
+    plan = keyed_state.change_feed(checked_documents(lines))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 3  # a text as written, and two lists
