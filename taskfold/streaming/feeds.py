@@ -34,8 +34,8 @@ def rejects_of_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
     return merge.rejected(spark, root)
 
 
-def merged_by_keyed_state(spark: SparkSession, arrivals: list[DataFrame], as_of: int) -> DataFrame:
-    """The same through the state store and its change feed, kept in a Parquet sink."""
+def merged_by_keyed_state(spark: SparkSession, arrivals: list[DataFrame], as_of: int, slices: int = 1) -> DataFrame:
+    """The same through the state store and its change feed, kept in a Parquet sink. ``slices`` as in :func:`keyed_state.change_feed`."""
     root = scratch_path(spark, "feed")
     keyed_state.use_rocksdb(spark)
     for documents in arrivals:
@@ -46,7 +46,7 @@ def merged_by_keyed_state(spark: SparkSession, arrivals: list[DataFrame], as_of:
             feed.write.mode("overwrite").parquet(f"{root}/feed/epoch={epoch}")
 
         (
-            keyed_state.change_feed(stream)
+            keyed_state.change_feed(stream, slices)
             .writeStream.outputMode("update")
             .foreachBatch(keep)
             .option("checkpointLocation", f"{root}/checkpoint")

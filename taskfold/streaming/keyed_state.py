@@ -5,6 +5,9 @@ of a RocksDB map, so only those a document names are read. Invalid documents are
 one by one. Output is a change feed with tombstones: without them a reader would keep the last rows
 of a project that was emptied.
 
+A stream whose documents each name one item, or items of one slice of a project, may be started with several slices, by a
+hash of the ids: each is a key of its own, so that a project is not one task's.
+
 Neither the documents that a trigger brings to a project nor the items they name need fit a task. Documents come
 in chunks; if there are several, each is sorted and laid into the store in blocks, and the blocks are merged from there,
 one of each chunk at a time. Items are kept in memory up to a number, then written back and put out.
@@ -18,7 +21,7 @@ from itertools import chain
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from taskfold import fixed
@@ -28,7 +31,7 @@ from taskfold.sources.snapshots import committed
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: ``doc_no`` counts the documents of a project as they were applied; ``kind`` is item, removed or rejected;
+#: ``doc_no`` counts the documents of a project, or of its slice, as they were applied; ``kind`` is item, removed or rejected;
 #: ``body`` is the item as JSON, or the reason of a rejection.
 CHANGE_FEED = T.StructType([
     T.StructField("project_id", T.StringType()),
@@ -46,10 +49,12 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def change_feed(documents: DataFrame) -> DataFrame:
+def change_feed(documents: DataFrame, slices: int = 1) -> DataFrame:
     """Turn a stream of change documents into the stream of resulting item states.
 
-    Lines that are no documents name no project; they are left to the merge's folder of rejects.
+    Lines that are no documents name no project; they are left to the merge's folder of rejects. With more than one of
+    ``slices`` a document that names items of several stops the stream: it is atomic, and no key holds all it needs. A
+    stream keeps the number it was started with.
     """
     if "error" in documents.columns:
         # The filter looks at the partition as well: below the parse, where Spark would else move it, it would parse again.
@@ -61,12 +66,22 @@ def change_feed(documents: DataFrame) -> DataFrame:
         "batch_ts",
         F.to_json("features").alias("features"),
         F.to_json("remove_features").alias("removals"),
+        *([_slice(slices).alias("slice")] if slices > 1 else []),
     )
-    return slim.groupBy("project_id").transformWithStateInPandas(
+    return slim.groupBy("project_id", *(["slice"] if slices > 1 else [])).transformWithStateInPandas(
         statefulProcessor=_processor(), outputStructType=CHANGE_FEED, outputMode="Update", timeMode="None"
     )
 
 
+def _slice(slices: int) -> Column:
+    """The slice all items of a document are in; the first for one that names none."""
+    ids = F.filter(F.concat(F.transform("features", lambda p: p["id"]), "remove_features"), lambda i: i.isNotNull())
+    slice_of = lambda i: F.pmod(F.xxhash64(i), F.lit(slices)).cast("int")
+    several = F.raise_error(F.concat(F.lit("a document of several slices of project "), F.coalesce("project_id", F.lit("null"))))
+    found = F.array_distinct(F.transform(ids, slice_of))
+    return F.when(F.size(found) > 1, several.cast("int")).otherwise(F.coalesce(F.get(found, F.lit(0)), F.lit(0)))
+
+
 #: Documents of a block in the store, items kept in memory, and rows put out at a time.
 BLOCK_DOCUMENTS, KEPT_ITEMS, FEED_ROWS = 500, 20_000, 5_000
 

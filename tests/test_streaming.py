@@ -199,3 +199,16 @@ def test_documents_of_the_feed_are_parsed_once(spark):
     lines = spark.createDataFrame([('{"project_id":"p"}',)], "json string")
     plan = keyed_state.change_feed(checked_documents(lines))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("StructsToJsonEvaluator") == 3  # a text as written, and two lists
+
+
+def test_slices_of_a_project_are_keys_of_their_own(spark):
+    docs = [d | {"features": d["features"][:1], "remove_features": d["remove_features"][: not d["features"]]}
+            for d in model.random_documents(15, n_docs=40, n_projects=2)]
+    docs.append(doc(90, [{"id": None, "name": "n"}], [], "p1"))
+    expected, verdicts = model.replay(docs, lenient=True)
+    assert not all(verdicts.values()) and any(d["remove_features"] for d in docs)
+    got = feeds.merged_by_keyed_state(spark, thirds(spark, docs), 10_000, slices=3)
+    assert model.spark_rows(got) == model.rows_of(expected)
+    spread = doc(91, [{"id": f"i{k}", **NEW} for k in range(9)], [], "p1")
+    with pytest.raises(Exception, match="several slices of project p1"):
+        feeds.merged_by_keyed_state(spark, [model.spark_documents(spark, [spread])], 10_000, slices=3)
