@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from taskfold.llm import bytetext as bt
 from taskfold.llm.components import components
@@ -120,9 +120,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
 
     Equal sets are one class, whose smallest doc_id stands for all. In a bucket, one document is the centre of
     a star: it is compared with all others. It is the one that shares its buckets with most others, as the original of a
-    group of changed copies does, to which more of them are close than to each other. Members that the star has not joined to one component get further
-    centres, eight times as many each round (and all of them where few are left), until no bucket holds two members of
-    different components that have not been compared, and that the elements each has alone don't keep apart. So
+    group of changed copies does, to which more of them are close than to each other. Of the members that the star has not joined to
+    one component, those whose elements the others don't have are told apart; the rest of a bucket is compared in all pairs, a
+    large one in blocks, by products of incidence matrices. Only of a bucket with more than LARGE_BUCKET members left
+    further centres come first, eight times as many each round, until it is small or its pairs have all been compared. So
     a group of n copies costs about n comparisons, and no pair that matters is left out.
 
     Null text and text without words: empty set, linked with nothing. Rows with a null doc_id: linked with
@@ -160,46 +161,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, least_percent: int = 80, bands:
     )
 
 
-#: Members of a bucket that are all compared in the second round, unless joined already; four times as many in each later.
-SMALL_BUCKET = 32
+#: Members of a bucket that are all compared in pairs of columns, and in blocks of numpy, in the second round; of the latter
+#: four times as many in each later round.
+SMALL_BUCKET, LARGE_BUCKET = 32, 4096
+#: Members and elements of a block, about; columns of a matrix.
+BLOCK_MEMBERS, BLOCK_ELEMENTS, COLUMNS = 512, 1 << 18, 1 << 11
 
 
 def _star_rounds(crowd: DataFrame, whole: DataFrame, least_percent: int) -> list[DataFrame]:
     """Which components each round joins (node, component), where a round's nodes are the components before it.
 
-    ``crowd``: bucket, rep, n (size of its set), weight (members of all its buckets), size (of the bucket), comp
-    (component of rep so far); from the second round on also common (see ``_that_may_link``).
+    ``crowd``: bucket, rep, n (size of its set), weight (members of all its buckets), size (of the bucket), elements (of all
+    its sets), comp (component of rep so far).
     """
-    rounds, turn = [], 0
+    rounds, turn, shared = [], 0, None
     while True:
+        large = F.col("size") > (LARGE_BUCKET * 4 ** (turn - 1) if turn else 0)
+        best = F.min(F.struct((-F.col("weight")).alias("weight"), "rep"))
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(8**turn))
+        picked = crowd.filter(large).groupBy("bucket", slot.alias("slot")).agg(best.alias("best")).select("bucket", F.col("best.rep").alias("centre"))
         if turn:
-            slot = F.when(F.col("size") <= SMALL_BUCKET * 4 ** (turn - 1), F.col("rep")).otherwise(slot)
-        best = F.min(F.struct((-F.col("weight")).alias("weight"), "rep"))
-        picked = crowd.groupBy("bucket", slot.alias("slot")).agg(best.alias("best")).select("bucket", F.col("best.rep").alias("centre"))
-        more = [F.col("common").alias("ccommon")] if turn else []
-        centres = crowd.select("bucket", F.col("rep").alias("centre"), F.col("comp").alias("ccomp"), F.col("n").alias("cn"), *more)
-        centres = picked.join(centres, ["bucket", "centre"])
-        # more elements can't be common
-        most = F.expr("aggregate(zip_with(common, ccommon, (a, b) -> least(a, b)), 0L, (s, v) -> s + v)") if turn else F.least("n", "cn")
-        possible = most * 100 >= (F.col("n") + F.col("cn") - most) * least_percent
-        pairs = (
-            crowd.join(centres, "bucket")
-            .filter((F.col("comp") != F.col("ccomp")) & possible)
-            .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"),
-                    F.least("comp", "ccomp").alias("ca"), F.greatest("comp", "ccomp").alias("cb"))
-            .distinct()
-        )
-        found = (
-            pairs.join(whole.alias("x"), F.col("a") == F.col("x.doc_id"))
-            .join(whole.alias("y"), F.col("b") == F.col("y.doc_id"))
-            .filter(_close_enough(least_percent))
-            .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        )
+            found = _linked_by_pairs(crowd, shared, least_percent).union(_linked_in_blocks(crowd, picked, large, shared, least_percent))
+        else:
+            found = _linked_to_centres(crowd, picked, whole, least_percent)
         joined = components(found)
         rounds.append(joined)
+        dropped(shared)
+        if turn and crowd.filter(large).isEmpty():
+            return rounds
         rest = (
-            crowd.join(picked.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_anti")
+            crowd.filter(large)
+            .join(picked.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_anti")
             .join(joined, F.col("comp") == F.col("node"), "left")
             .select("bucket", "rep", "n", "weight", F.coalesce("component", "comp").alias("comp"))
         )
@@ -207,37 +199,120 @@ def _star_rounds(crowd: DataFrame, whole: DataFrame, least_percent: int) -> list
         dropped(crowd)
         if rest.isEmpty():
             return rounds
-        crowd, turn = stored(_in_open_buckets(_that_may_link(rest, whole, least_percent)), "crowd"), turn + 1
+        shared, turn = stored(_that_may_link(rest, whole, least_percent), "shared"), turn + 1
+        crowd = stored(_in_open_buckets(rest.join(shared.select("rep"), "rep", "left_semi")), "crowd")
         dropped(rest)
 
 
 def _in_open_buckets(crowd: DataFrame) -> DataFrame:
-    """The rows of buckets with members of two components, with the number of members."""
-    still = crowd.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    return crowd.drop("size").join(still.filter("low < high").select("bucket", "size"), "bucket")
-
-
-#: Hash groups in which the elements that members may have in common are counted.
-GROUPS = 64
+    """The rows of buckets with members of two components, with the number of members and of their elements."""
+    still = crowd.groupBy("bucket").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.sum("n").alias("elements")
+    )
+    return crowd.drop("size", "elements").join(still.filter("low < high").select("bucket", "size", "elements"), "bucket")
+
+
+def _linked_to_centres(crowd: DataFrame, picked: DataFrame, whole: DataFrame, least_percent: int) -> DataFrame:
+    """a, b: components of members close to the centre of a bucket."""
+    centres = crowd.select("bucket", F.col("rep").alias("centre"), F.col("comp").alias("ccomp"), F.col("n").alias("cn"))
+    centres = picked.join(centres, ["bucket", "centre"])
+    most = F.least("n", "cn")  # more elements can't be common
+    possible = most * 100 >= (F.col("n") + F.col("cn") - most) * least_percent
+    pairs = (
+        crowd.join(centres, "bucket")
+        .filter((F.col("comp") != F.col("ccomp")) & possible)
+        .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"),
+                F.least("comp", "ccomp").alias("ca"), F.greatest("comp", "ccomp").alias("cb"))
+        .distinct()
+    )
+    return (
+        pairs.join(whole.alias("x"), F.col("a") == F.col("x.doc_id"))
+        .join(whole.alias("y"), F.col("b") == F.col("y.doc_id"))
+        .filter(_close_enough(least_percent))
+        .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    )
 
 
 def _that_may_link(crowd: DataFrame, whole: DataFrame, least_percent: int) -> DataFrame:
-    """The rows of members that may have a link to another component, with ``common``.
+    """rep, n, comp and ``shared`` of the members that may have a link to another component.
 
-    An element that no open member of another component has is never common to a linked pair. ``common`` counts
-    the others of a set in GROUPS hash groups; two sets have at most the sum of the smaller counts in common. So
-    copies with changes of their own are told apart, exactly, without a look at their sets.
+    An element that no open member of another component has is never common to a linked pair. ``shared`` are the
+    others, so it gives the exact number of common elements of two members of different components. A member with
+    too few of them can be linked with none.
     """
     members = crowd.select("rep", "n", "comp").distinct()
-    elements = members.join(whole.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", F.explode("shingles").alias("e"))
+    elements = members.join(whole.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "comp", F.explode("shingles").alias("e"))
     spread = elements.groupBy("e").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    group = F.pmod("e", F.lit(GROUPS)).cast("int").alias("g")
-    counts = elements.join(spread.select("e"), "e").groupBy("rep", group).agg(F.count("*").alias("c"))
-    each = F.map_from_entries(F.collect_list(F.struct("g", "c")))
-    common = counts.groupBy("rep").agg(F.sum("c").alias("all"), each.alias("by_group"))
-    able = members.select("rep", "n").join(common, "rep").filter(F.col("all") * 100 >= F.col("n") * least_percent)
-    filled = F.expr(f"transform(sequence(0, {GROUPS - 1}), g -> coalesce(by_group[g], 0L))")
-    return crowd.join(able.select("rep", filled.alias("common")), "rep")
+    lists = elements.join(spread.select("e"), "e").groupBy("rep", "n", "comp").agg(F.collect_list("e").alias("shared"))
+    return lists.filter(F.size("shared") * 100 >= F.col("n") * least_percent)
+
+
+def _linked_by_pairs(crowd: DataFrame, shared: DataFrame, least_percent: int) -> DataFrame:
+    """a, b: components of close members of small buckets."""
+    small = crowd.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "rep", "n", "comp")
+    least, most = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    pairs = (
+        small.alias("x")
+        .join(small.alias("y"), "bucket")
+        .filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & (least * 100 >= most * least_percent))
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .distinct()
+    )
+    common = F.size(F.array_intersect("x.shared", "y.shared"))
+    return (
+        pairs.join(shared.alias("x"), F.col("a") == F.col("x.rep"))
+        .join(shared.alias("y"), F.col("b") == F.col("y.rep"))
+        .filter(common * 100 >= (F.col("x.n") + F.col("y.n") - common) * least_percent)
+        .select(F.least("x.comp", "y.comp").alias("a"), F.greatest("x.comp", "y.comp").alias("b"))
+    )
+
+
+def _linked_in_blocks(crowd: DataFrame, picked: DataFrame, large: Column, shared: DataFrame, least_percent: int) -> DataFrame:
+    """a, b: components of close members of all other buckets, of whose members a large one compares its centres alone.
+
+    A bucket is cut into blocks of bounded size. Each two blocks (or a block and itself) meet in a group of their own.
+    """
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    cut = crowd.filter(F.col("size") > SMALL_BUCKET).select("bucket", "rep", large.alias("large"), blocks.alias("blocks"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = "transform(sequence(0, blocks - 1), i -> struct(least(i, own) AS p, greatest(i, own) AS q, own AS at))"
+    within = cut.filter("NOT large").select("bucket", "rep", F.expr(f"inline({every})"))
+    # the centres of a large bucket are dealt to as many blocks as they need, numbered after those of its members
+    beside = picked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("more"))
+    cut = cut.filter("large").join(beside, "bucket")
+    to_centres = "transform(sequence(0, more - 1), i -> struct(own AS p, blocks + i AS q, own AS at))"
+    ahead = "blocks + cast(pmod(xxhash64(rep), more) AS int)"
+    to_members = f"transform(sequence(0, blocks - 1), i -> struct(i AS p, {ahead} AS q, {ahead} AS at))"
+    centres = cut.join(picked.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_semi")
+    rows = within.union(cut.select("bucket", "rep", F.expr(f"inline({to_centres})"))).union(centres.select("bucket", "rep", F.expr(f"inline({to_members})")))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        return _close_in_block(rows, least_percent)
+
+    return rows.join(shared, "rep").groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long")
+
+
+def _close_in_block(rows: pa.Table, least_percent: int) -> pa.Table:
+    """The components (a, b) of close members of block p and block q, by products of their incidence matrices."""
+    at, n, comp = (rows.column(c).to_numpy() for c in ("at", "n", "comp"))
+    left, right = (np.flatnonzero(at == rows.column(c)[0].as_py()) for c in ("p", "q"))
+    lists = rows.column("shared").combine_chunks()
+    owner = np.repeat(np.arange(len(at)), lists.value_lengths().to_numpy())
+    _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+        has = np.zeros((len(at), COLUMNS), np.float32)
+        has[owner[part], column[part] - first] = 1
+        common += has[left] @ has[right].T
+    common = common.astype(np.int64)
+    close = common * 100 >= (n[left][:, None] + n[right] - common) * least_percent
+    x, y = np.nonzero(close & (comp[left][:, None] != comp[right]))
+    x, y = comp[left[x]], comp[right[y]]
+    links = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
 
 def op6_minhash_near_dedup(spark, sf_dir) -> DataFrame:

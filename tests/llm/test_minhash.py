@@ -61,6 +61,51 @@ def test_against_all_pairs(spark, k, percent):
     assert got == brute(rows, k, percent)
 
 
+def changed_copies(n, edits, vocabulary, words=60):
+    """Copies whose changes come from few words, so that most are too far from each other and share much."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(words)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randrange(*edits)):
+            w[at] = f"x{rng.randrange(vocabulary)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_large_group_of_changed_copies_takes_two_rounds(spark, monkeypatch):
+    rows, rounds, components = changed_copies(500, (1, 6), 3), [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda links: rounds.append(1) or components(links))
+    got = sorted((tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()), key=repr)
+    assert got == brute(rows, 3, 85) and len({r[2] for r in got}) > 100
+    assert len(rounds) == 2
+
+
+@pytest.mark.parametrize(("large", "members"), [(8, 4), (64, 7), (4096, 30)])
+def test_blocks_and_centres_of_large_buckets(spark, monkeypatch, large, members):
+    """Every pair of a bucket is compared, however it is cut and however many rounds of centres come first."""
+    for name, value in (("SMALL_BUCKET", 4), ("LARGE_BUCKET", large), ("BLOCK_MEMBERS", members), ("COLUMNS", 16)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = changed_copies(160, (1, 5), 3)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()), key=repr)
+    assert got == brute(rows, 3, 85)
+
+
+def test_close_in_block():
+    import pyarrow as pa
+
+    sets = [{1, 2, 3, 4}, {1, 2, 3, 4, 5}, {1, 2, 3, 9}, {7}]
+    table = lambda at, comp, q: pa.table({
+        "p": [0] * 4, "q": [q] * 4, "at": at, "n": [len(s) for s in sets], "comp": comp, "shared": [sorted(s) for s in sets],
+    })
+    links = lambda *x: {tuple(r.values()) for r in minhash._close_in_block(table(*x), 60).to_pylist()}
+    assert links([0] * 4, [10, 11, 12, 13], 0) == {(10, 11), (10, 12)}
+    assert links([0, 1, 0, 1], [10, 11, 12, 13], 1) == {(10, 11)}
+    assert links([0] * 4, [10, 10, 12, 13], 0) == {(10, 12)}
+    assert links([1] * 4, [10, 11, 12, 13], 1) == set()
+
+
 def test_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).collect() == []
