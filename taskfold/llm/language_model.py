@@ -18,6 +18,10 @@ BLOCK_BYTES = 16 << 20
 BATCH = 2048
 #: Tokens whose probabilities are computed at a time, and of these against all groups: few, so that scores stay in the cache.
 TOKENS, FEW = 1 << 16, 1 << 11
+#: Tokens of one group that are multiplied with its noise at a time.
+BLOCK = 8
+#: Tokens of a block of texts that are scored at a time; a longer text is alone.
+RUN = 1 << 18
 
 
 def remainder(doc_id: Column) -> Column:
@@ -73,7 +77,7 @@ class LogBilinear:
     def contexts(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Context vectors, and a one for the bias."""
         out = np.ones((len(far), self.inputs.shape[1] + 1), np.float32)
-        out[:, :-1] = self.inputs[near] * self.mixing[0] + self.inputs[far] * self.mixing[1]
+        out[:, :-1] = _rows(self.inputs, near) * self.mixing[0] + _rows(self.inputs, far) * self.mixing[1]
         return out
 
     def log_probability(self, far: np.ndarray, near: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -81,22 +85,26 @@ class LogBilinear:
         out = np.empty(len(word))
         for i in range(0, len(word), TOKENS):
             part = slice(i, i + TOKENS)
-            context, group, own = self.contexts(far[part], near[part]), word[part] // self.width, out[part]
+            of_part, own = word[part], out[part]
+            context, group = self.contexts(far[part], near[part]), of_part // self.width
             for j in range(0, len(group), FEW):
-                own[j : j + FEW] = _log_share(context[j : j + FEW] @ self.groups.T, group[j : j + FEW])
-            order = np.argsort(word[part])
+                own[j : j + FEW] = _log_share(context[j : j + FEW], self.groups, group[j : j + FEW])
+            order = np.argsort(of_part)
             cuts = np.searchsorted(group[order], np.arange(len(self.groups) + 1))
             for g in np.flatnonzero(np.diff(cuts)):
                 first = g * self.width
                 for j in range(cuts[g], cuts[g + 1], FEW):
                     at = order[j : min(j + FEW, cuts[g + 1])]
-                    own[at] += _log_share(context[at] @ self.outputs[first : first + self.width].T, word[part][at] - first)
+                    own[at] += _log_share(_rows(context, at), self.outputs[first : first + self.width], of_part[at] - first)
         return out
 
 
-def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """log of exp(score chosen) / sum of exp(score), row by row."""
-    if max(scores.max(), -scores.min()) > 60:  # beyond it a sum of exponentials might leave single precision
+def _log_share(context: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """log of exp(score chosen) / sum of exp(score), context by context; scores are products with the rows."""
+    scores = context @ rows.T
+    most = math.sqrt(np.einsum("ij,ij->i", context, context).max() * np.einsum("ij,ij->i", rows, rows).max())
+    # beyond 60 a sum of exponentials might leave single precision
+    if not most <= 60 and max(scores.max(), -scores.min()) > 60:
         scores -= scores.max(axis=1, keepdims=True)
     own = scores[np.arange(len(chosen)), chosen]
     return own - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
@@ -144,7 +152,7 @@ class Trainer:
         groups = group[of_group]
         drawn = np.searchsorted(self.cumulated, self.rng.random(self.noise), "right") - 1
         drawn = np.minimum(drawn, len(self.counts) - 1) // m.width
-        true, false = m.groups[group], m.groups[drawn]
+        true, false = _rows(m.groups, group), _rows(m.groups, drawn)
         up = _sigmoid(self.log_groups[group] - np.einsum("ij,ij->i", context, true))[:, None]
         down = _sigmoid(context @ false.T - self.log_groups[drawn])
         to_context = up * true - down @ false
@@ -154,15 +162,23 @@ class Trainer:
         start, end = self.cumulated[low], self.cumulated[high]
         drawn = np.searchsorted(self.cumulated, start + self.rng.random((len(groups), self.inner)) * (end - start), "right") - 1
         drawn = np.clip(drawn, low, high - 1)
-        at = np.repeat(np.arange(len(groups)), np.diff(np.append(of_group, n)))
-        true, false = m.outputs[word], m.outputs[drawn][at]
+        # tokens of a group lie in blocks of a few, filled up with zeros, so that all blocks are multiplied at once
+        counts = np.diff(np.append(of_group, n))
+        blocks = -(-counts // BLOCK)
+        begin = np.cumsum(blocks) - blocks
+        place = np.arange(n) + np.repeat(begin * BLOCK - of_group, counts)
+        packed = np.zeros((blocks.sum() * BLOCK, context.shape[1]), np.float32)
+        packed[place] = context
+        packed, of_block = packed.reshape(-1, BLOCK, context.shape[1]), np.repeat(np.arange(len(groups)), blocks)
+        true, false = _rows(m.outputs, word), _rows(_rows(m.outputs, drawn), of_block)
         up = _sigmoid(self.log_inside[word] - np.einsum("ij,ij->i", context, true))[:, None]
-        down = _sigmoid(np.einsum("ij,ikj->ik", context, false) - self.log_inside[drawn][at])
-        to_context += up * true - np.einsum("ik,ikj->ij", down, false)
-        pushed = np.add.reduceat((down[:, :, None] * context[:, None, :]).reshape(n, -1), of_group).reshape(drawn.size, -1)
+        down = _sigmoid(packed @ false.transpose(0, 2, 1) - self.log_inside[drawn][of_block][:, None, :])
+        to_context += up * true - _rows((down @ false).reshape(-1, context.shape[1]), place)
+        pushed = down.transpose(0, 2, 1) @ packed
+        pushed = np.add.reduceat(pushed.reshape(len(of_block), -1), begin).reshape(drawn.size, -1)
         pulled = np.add.reduceat(up * context, first)
         self._move("outputs", np.concatenate([word[first], drawn.ravel()]), np.concatenate([pulled, -pushed]), n)
-        to_context, x, y = to_context[:, :-1], m.inputs[near], m.inputs[far]
+        to_context, x, y = to_context[:, :-1], _rows(m.inputs, near), _rows(m.inputs, far)
         mixing = np.stack([(to_context * x).sum(axis=0), (to_context * y).sum(axis=0)])
         self._move("inputs", np.concatenate([near, far]), np.concatenate([to_context * m.mixing[0], to_context * m.mixing[1]]), n)
         self._move("mixing", np.arange(2), mixing, n)
@@ -172,10 +188,15 @@ class Trainer:
         order = np.argsort(rows)
         rows = rows[order]
         first = _firsts(rows)
-        g, at = np.add.reduceat(steps[order], first) / np.float32(tokens), rows[first]
-        squares = self.squares[name][at] + g * g
+        g, at = np.add.reduceat(_rows(steps, order), first) / np.float32(tokens), rows[first]
+        squares = _rows(self.squares[name], at) + g * g
         self.squares[name][at] = squares
-        self.tables[name][at] += np.float32(self.rate) * g / np.sqrt(squares)
+        self.tables[name][at] = _rows(self.tables[name], at) + np.float32(self.rate) * g / np.sqrt(squares)
+
+
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of a table; faster than an index where they are short."""
+    return table.take(at, axis=0)
 
 
 def _firsts(ordered: np.ndarray) -> np.ndarray:
@@ -374,38 +395,59 @@ def scored(docs: DataFrame, per_root: int = 8, size: int = 16, block_bytes: int
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
-        model, rest = shared.value
-        if not own.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in _RESULT.items()})
-        found = []
-        for first, end, data, offsets in bt.slices(own.column("text").combine_chunks()):
-            h, endings, owner = hashed_words(data, offsets)
-            found.append((h, endings, owner + first))
-        h, endings, owner = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(h)
-        first = _firsts(h[order])[: len(h)]
-        hashes, same = h[order[first]], np.empty(len(h), np.int64)
-        same[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-        learn = own.column("learn").to_numpy()
-        c = np.bincount(same, learn[owner], len(first)).astype(np.int64)
-        c[np.searchsorted(hashes, told.column("hash").to_numpy().view(U))] = told.column("c").to_numpy()
-        n, outcomes = own.num_rows, model.numbers(hashes, endings[order[first]])[same]
-        del found, h, endings, order
-        far, near, word, text, is_end = _sequences(model, outcomes, owner, n)
+        return _scored_block(own, told, *shared.value, texts, all_tokens, base_of)
+
+    return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, result)
+
+
+def _scored_block(own: pa.Table, told: pa.Table, model: LogBilinear, rest: np.ndarray, texts: int, all_tokens: int, base_of: int) -> pa.Table:
+    """The scores of a block's texts; ``told`` has the counts of its words that differ from those of the block itself.
+
+    Only a word's number is kept for all tokens of the block, beside its text; the arrays that scoring needs are those of a run.
+    """
+    n = own.num_rows
+    if not n:
+        return pa.table({n: pa.array([], t) for n, t in _RESULT.items()})
+    hashes, endings, same, owner = _numbered_words(own.column("text").combine_chunks())
+    c = np.bincount(same, own.column("learn").to_numpy()[owner], len(hashes)).astype(np.int64)
+    c[np.searchsorted(hashes, told.column("hash").to_numpy().view(U))] = told.column("c").to_numpy()
+    outcomes = model.numbers(hashes, endings)
+    tokens = np.bincount(owner, minlength=n) + 1
+    known_tokens, base, scores = (np.empty(n) for _ in range(3))
+    start = np.concatenate([[0], np.cumsum(tokens - 1)])
+    first = 0
+    while first < n:
+        end = min(n, max(first + 1, int(np.searchsorted(start, start[first] + RUN, "right")) - 1))
+        words = same[start[first] : start[end]]
+        far, near, word, text, is_end = _sequences(model, outcomes[words], owner[start[first] : start[end]] - first, end - first)
         count = np.full(len(word), texts)
-        count[~is_end] = c[same]
-        del same, outcomes, owner
+        count[~is_end] = c[words]
         logs = model.log_probability(far, near, word) / np.log(10)
         rare = rest[word] > 0
         logs[rare] += np.log10((count[rare] + 1) / rest[word[rare]])
-        tokens, known_tokens = np.bincount(text, minlength=n), np.bincount(text, count > 0, n)
-        base, scores = np.bincount(text, np.log10((count + 1) / base_of), n), np.bincount(text, logs, n)
-        return pa.table({
-            "doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": tokens.astype(np.int64), "n_known": known_tokens.astype(np.int64),
-            "train_tokens": np.full(len(tokens), all_tokens), "base_score": base, "score": scores,
-        })
+        for out, weights in ((known_tokens, count > 0), (base, np.log10((count + 1) / base_of)), (scores, logs)):
+            out[first:end] = np.bincount(text, weights, end - first)
+        first = end
+    return pa.table({
+        "doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": tokens.astype(np.int64), "n_known": known_tokens.astype(np.int64),
+        "train_tokens": np.full(n, all_tokens), "base_score": base, "score": scores,
+    })
 
-    return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, result)
+
+def _numbered_words(column: pa.Array):
+    """(hashes, last three bytes) of the distinct words, ordered by hash; (number of the word, text number) of all tokens."""
+    found = []
+    for first, _, data, offsets in bt.slices(column):
+        h, endings, owner = hashed_words(data, offsets)
+        found.append((h, endings.astype(np.int32), (owner + first).astype(np.int32)))
+    h, endings, owner = (np.concatenate(x) for x in zip(*found))
+    del found
+    order = np.argsort(h)
+    h = h[order]
+    first = _firsts(h)[: len(h)]
+    same = np.empty(len(h), np.int32)
+    same[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(h))))
+    return h[first], endings[order[first]].astype(np.int64), same, owner
 
 
 _RESULT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),

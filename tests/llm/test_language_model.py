@@ -117,6 +117,50 @@ def test_training_lowers_the_loss():
     assert loss(trainer.m) < loss(model) - 0.3
 
 
+def test_a_block_is_scored_in_runs(monkeypatch):
+    """Equal scores however many texts are scored at a time; the arrays of all tokens of a block stay few."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, rng.integers(0, 60))) for _ in range(4000)] + ["", "w1 " * 9000]
+    n = len(texts)
+    own = lm.pa.table({"doc_id": range(n), "held_out": [False] * n, "learn": [i % 3 > 0 for i in range(n)], "text": texts})
+    told = lm.pa.table({"hash": lm.pa.array([], lm.pa.int64()), "c": lm.pa.array([], lm.pa.int64())})
+    model = small_model(30)
+    rest = np.zeros(len(model.frequency), np.int64)
+    rest[model.of_class] = 1000
+    tables, tokens = [], sum(len(words(t)) for t in texts)
+    for run in (1 << 18, 5000, 1):
+        monkeypatch.setattr(lm, "RUN", run)
+        tracemalloc.start()
+        tables.append(lm._scored_block(own, told, model, rest, n, 10**5, 10**5 + 300))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    for t in tables[1:]:
+        assert t.drop_columns("score").equals(tables[0].drop_columns("score"))
+        assert np.allclose(t.column("score"), tables[0].column("score"), rtol=1e-5)
+    assert peak < 64 * tokens
+    want = [sum(len(words(t)) for t in texts[i : i + 1]) + 1 for i in range(n)]
+    assert tables[0].column("n_tokens").to_pylist() == want
+
+
+def test_a_step_sums_the_noise_of_each_group():
+    """One step against plain sums, whatever the number of tokens a group has."""
+    model, rng = small_model(30), np.random.default_rng(4)
+    n = len(model.frequency)
+    far, near, word = rng.integers(0, n, (3, 200))
+    word[:120] = 3
+    one, other = lm.Trainer(model, 8, 0.1, 1), lm.Trainer(model, 8, 0.1, 1)
+    one.step(far, near, word)
+    try:
+        size, lm.BLOCK = lm.BLOCK, 1
+        other.step(far, near, word)
+    finally:
+        lm.BLOCK = size
+    for name in one.tables:
+        assert np.allclose(one.tables[name], other.tables[name], rtol=1e-3, atol=1e-5)
+
+
 def test_scores_do_not_change_with_partitions(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     key = lambda r: repr(r[:3])
