@@ -1,12 +1,13 @@
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from taskfold import fixed
 from taskfold.operators import many_search, report, search
-from taskfold.plans import standins
+from taskfold.plans import catalog, oracle, standins
 from taskfold.schema import FEATURE, SEARCH_QUERY
 
 
@@ -186,13 +187,29 @@ def test_completion(spark, items):
     assert report.feature_counts(items).first().n_features == len(ITEMS)
 
 
-def test_search_queries_are_the_labels_divisible_by_100(spark):
+def test_every_label_asks(spark):
+    """Query and SQL ask for all labels, those with a number not divisible by 100 as well."""
     folder = "/root/testdata/sf0.01"
     if not os.path.isdir(folder):
         pytest.skip("no test tables")
     labels = [r.doc_id for r in standins.table(spark, folder, "labels").select("doc_id").collect()]
     asked = [r.query_id for r in standins.search_queries(spark, folder).select("query_id").collect()]
-    assert sorted(asked) == sorted(i for i in labels if i % 100 == 0) and asked
+    assert sorted(asked) == sorted(labels) and any(i % 100 for i in asked)
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    found = catalog.search_many_queries(spark, folder).select("query_id", "project_id", "id").collect()
+    theirs = con.sql(oracle.statements()["search_many_queries"]).project("query_id, project_id, id").fetchall()
+    assert sorted(map(tuple, found)) == sorted(theirs) and any(r.query_id % 100 for r in found)
+
+
+@pytest.mark.parametrize("n", [1, 256, 769])
+def test_queries_of_one_key_in_blocks(spark, n):
+    rows = [item(f"i{i}", domain=["hot", "x"][i % 2], pos=i) for i in range(7)]
+    asked = [(i, None, "hot", None, None) for i in range(n)] + [(-1, None, "x", None, "Pending"), (-2, None, "none", None, None)]
+    many = spark.createDataFrame(asked, SEARCH_QUERY)
+    got = many_search.search_many(spark.createDataFrame(rows, FEATURE), many)
+    assert sorted((r.query_id, r.project_id, r.id) for r in got.collect()) == brute(rows, asked)
 
 
 def test_only_grams_of_asked_letters_leave_a_row(spark):
