@@ -221,3 +221,25 @@ def test_only_grams_of_asked_letters_leave_a_row(spark):
     many = spark.createDataFrame([(chr(0x4E00 + i) + "b",) for i in range(300)], "gram string").selectExpr("concat(gram, 'c') AS gram")
     letters = many_search._letters(many)
     assert text.select(many_search._grams_like(F.lit("\u4e01bc \u4fffbc Abd"), letters)).first()[0] == ["\u4e01bc", "\u4fffbc"]
+
+
+@pytest.mark.parametrize("kept", [None, 0])
+def test_words_of_all_lengths(spark, kept):
+    rnd = random.Random(5)
+    rows = [item(f"i{i}", texts(rnd, 9), description=texts(rnd, 60) + "\U0001f600éa" * (i % 3 == 0) + texts(rnd, 30), pos=i) for i in range(60)]
+    asked = []
+    for n in (1, 2, 3, 5, 6, 7, 11, 12, 13, 20):
+        for f in rnd.sample(rows, 12):
+            at = rnd.randrange(max(1, len(f[6]) - n))
+            asked.append((len(asked), f[6][at : at + n], None, None, None))
+    asked.append((len(asked), "\U0001f600éa", None, None, None))
+    got = many_search.search_many(spark.createDataFrame(rows, FEATURE), spark.createDataFrame(asked, SEARCH_QUERY), kept)
+    assert sorted((r.query_id, r.project_id, r.id) for r in got.collect()) == brute(rows, asked)
+
+
+def test_many_long_words_meet_few_items(spark, monkeypatch):
+    """What grams alone bring together grows with the matches, not with words times items."""
+    monkeypatch.setattr(many_search, "keyword_predicate", lambda word: F.lit(True))
+    items = spark.createDataFrame([item(f"i{i}", f"note {i}", pos=i) for i in range(10_000, 30_000, 7)], FEATURE)
+    words = items.select(F.col("name").alias("word"))
+    assert words.count() <= many_search.hits_by_gram(items, words, kept_words=0).count() < 2 * words.count()
