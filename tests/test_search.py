@@ -243,3 +243,11 @@ def test_many_long_words_meet_few_items(spark, monkeypatch):
     items = spark.createDataFrame([item(f"i{i}", f"note {i}", pos=i) for i in range(10_000, 30_000, 7)], FEATURE)
     words = items.select(F.col("name").alias("word"))
     assert words.count() <= many_search.hits_by_gram(items, words, kept_words=0).count() < 2 * words.count()
+
+
+def test_blocks_of_items_and_queries(spark, monkeypatch):
+    monkeypatch.setattr(many_search, "BLOCK", 4)
+    rows = [item(f"i{i}", domain=["hot", "x", "alone"][i % 3 if i else 2], tags=["t", "t", "u"], pos=i, project=f"p{i % 4}") for i in range(50)]
+    asked = [(i, None, ["hot", "x", "none"][i % 3], [None, "t", "u"][i % 7 % 3], None) for i in range(60)]
+    got = many_search.search_many(spark.createDataFrame(rows, FEATURE), spark.createDataFrame(asked, SEARCH_QUERY))
+    assert sorted((r.query_id, r.project_id, r.id) for r in got.collect()) == brute(rows, asked)
