@@ -245,8 +245,10 @@ def test_many_long_words_meet_few_items(spark, monkeypatch):
     assert words.count() <= many_search.hits_by_gram(items, words, kept_words=0).count() < 2 * words.count()
 
 
-def test_blocks_of_items_and_queries(spark, monkeypatch):
+@pytest.mark.parametrize("kept_keys", [100, 2])
+def test_blocks_of_items_and_queries(spark, monkeypatch, kept_keys):
     monkeypatch.setattr(many_search, "BLOCK", 4)
+    monkeypatch.setattr(many_search, "KEPT_KEYS", kept_keys, raising=False)
     rows = [item(f"i{i}", domain=["hot", "x", "alone"][i % 3 if i else 2], tags=["t", "t", "u"], pos=i, project=f"p{i % 4}") for i in range(50)]
     asked = [(i, None, ["hot", "x", "none"][i % 3], [None, "t", "u"][i % 7 % 3], None) for i in range(60)]
     got = many_search.search_many(spark.createDataFrame(rows, FEATURE), spark.createDataFrame(asked, SEARCH_QUERY))
